@@ -43,6 +43,7 @@ from lexiloom.llm.vocabulary import encoder
 
 MAGIC = b"LXKEYED1"
 SHARD_BYTES = 64 << 20
+BLOCK = 5 << 20
 SLOT = np.dtype([("first", "<u8"), ("count", "<u4"), ("print", "<u4")])
 KEY = np.dtype([("doc_id", "<i8"), ("ordinal", "<u4"), ("null", "<u4")])
 MANIFEST = "task long, shard long, path string, documents long, ids long"
@@ -200,7 +201,7 @@ def write_store(docs: DataFrame, spec: str, end_id: int, keeps_blanks: bool = Fa
             shard += 1
             return pa.record_batch({"task": pa.array([task.partitionId()], pa.int64()), "shard": pa.array([shard - 1], pa.int64()), "path": [f"{folder}/{name}"], "documents": pa.array([len(keys)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
 
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", BLOCK):
             ids, off = enc.encode(b.column("text"))
             n = b.num_rows
             doc_ids = b.column("doc_id").to_pylist()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import keyed_store, packing, vocabulary
+from lexiloom.llm import cotraining, keyed_store, packing, toxicity, vocabulary
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = vocabulary.read_vocabulary(tokenizer_path("byte_bpe_50k.json"))
     return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), spec, window=1024, end_id=0))
@@ -29,9 +34,16 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_store.read_store(keyed_store.write_store(table(spark, sf_dir, "documents"), spec, end_id=2))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op3_packing": op3_packing,
     "op5_token_store": op5_token_store,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -14,12 +14,26 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexiloom.llm.textblocks import ascii_lower, buffer_of, encoded, gather, pretoken_chunks, slices
 
+#: Chunks that need neither normalising nor splitting, with and without blanks and capitals.
+_SIMPLE_KEEPING = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_SIMPLE_FOLDED = "^[a-zß-öø-ÿ]+$"
 _loaded: dict[tuple[int, bool], "ChunkEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 signs stand for themselves, the others count up from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def read_vocabulary(path: str) -> str:
     """The tokenizer file's text, read on the driver and shipped with the tasks."""
     with open(path, encoding="utf-8") as f:
@@ -40,12 +54,24 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.keeps_blanks = keeps_blanks
+        self.simple = _SIMPLE_KEEPING if keeps_blanks else _SIMPLE_FOLDED
 
     def distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of the chunks, one after the other."""
+        """(ids, counts) of the chunks, one after the other.
+
+        A chunk of Latin letters that normalising leaves as it is and that the
+        splitting pattern takes whole goes to the tokenizer's model at once.
+        """
         counts, ids = [], []
+        tokens, pipeline = self.tokenizer.model.tokenize, self.tokenizer.encode_batch_fast
         for i in range(0, len(chunks), 8192):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks.slice(i, 8192).to_pylist(), add_special_tokens=False)]
+            part = chunks.slice(i, 8192)
+            simple = pc.match_substring_regex(part, self.simple)
+            rest = iter(pipeline(part.filter(pc.invert(simple)).to_pylist(), add_special_tokens=False))
+            got = [
+                [t.id for t in tokens(c.encode().decode("latin-1").translate(_BYTE_LETTERS))] if s else next(rest).ids
+                for c, s in zip(part.to_pylist(), simple.to_pylist())
+            ]
             counts.append(np.fromiter(map(len, got), np.int64, len(got)))
             ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
