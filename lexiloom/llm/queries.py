@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import cotraining, keyed_store, packing, toxicity, vocabulary
+from lexiloom.llm import cotraining, keyed_store, near_duplicates, packing, toxicity, vocabulary
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,11 +39,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining": op1_cotraining,
     "op3_packing": op3_packing,
     "op5_token_store": op5_token_store,
     "op8_toxicity": op8_toxicity,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
