@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import cotraining, keyed_store, near_duplicates, packing, toxicity, vocabulary
+from lexiloom.llm import cotraining, fm_index, keyed_store, near_duplicates, packing, suffix_dedup, toxicity, vocabulary
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,11 +29,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), spec, window=1024, end_id=0))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), width=400)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = vocabulary.read_vocabulary(tokenizer_path("word_bpe_49k.json"))
     return keyed_store.read_store(keyed_store.write_store(table(spark, sf_dir, "documents"), spec, end_id=2))
 
 
+def op6_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.report(table(spark, sf_dir, "documents"), width=35)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +54,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining": op1_cotraining,
     "op3_packing": op3_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_store": op5_token_store,
+    "op6_fm_dedup": op6_fm_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
 }
