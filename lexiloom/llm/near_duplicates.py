@@ -7,7 +7,7 @@ node picks one or two coordinates (1 / threshold on average), and every class in
 the node goes on to the child of each picked coordinate and of its own minwise
 token there, so that a pair as similar as the threshold meets in one child on
 average.  After ``DEPTH`` levels the nodes are compared exhaustively on
-128-bit sketches; a node of more than ``NODE_ROWS`` classes first compares the
+256-bit sketches and set sizes; a node of more than ``NODE_ROWS`` classes first compares the
 classes that resemble its first ones with all others and sends the rest one
 level down.  With 16 trees a pair just at a similarity of 0.8 is missed with a
 probability of about one in a million.
@@ -34,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.components import components
+from lexiloom.llm.bitmaps import bitmap, only_maybe
 from lexiloom.llm.rolling import Slices, mixed
 from lexiloom.llm.scratch import materialize, task_count
 from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of, words
 
 COORDINATES = 128
+SKETCH_BITS = 256
+SKETCH = ("s1", "s2", "s3", "s4")
 TREES = 16
 DEPTH = 4
 LAST_DEPTH = 12
@@ -47,8 +50,8 @@ FIRST_ROWS = 16
 BLOCK = 4 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(11))
-_FACTORS = _random.integers(0, 1 << 31, COORDINATES, np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _random.integers(0, 1 << 32, COORDINATES, np.uint32)
+_FACTORS = _random.integers(0, 1 << 31, SKETCH_BITS, np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _random.integers(0, 1 << 32, SKETCH_BITS, np.uint32)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +74,10 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minwise(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Minwise hashes of non-empty sets: (sets, COORDINATES) of 32 bits."""
+    """Minwise hashes of non-empty sets: (sets, SKETCH_BITS) of 32 bits."""
     x = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(off) - 1, COORDINATES), np.uint32)
-    for c in range(COORDINATES):
+    out = np.empty((len(off) - 1, SKETCH_BITS), np.uint32)
+    for c in range(SKETCH_BITS):
         v = x * _FACTORS[c]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
@@ -85,7 +88,7 @@ def minwise(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate: (rows, 2) of 64 bits."""
+    """One bit of each minwise hash: (rows, 4) of 64 bits."""
     bits = (signature * np.uint32(0x9E3779B1)) >> np.uint32(31)
     return np.packbits(bits.astype(np.uint8), axis=1).view("<u8")
 
@@ -103,16 +106,35 @@ def children(node: np.ndarray, signature: np.ndarray, row: np.ndarray, threshold
 
 
 def most_bits(threshold: float) -> int:
-    """Sketch bits that a pair at ``threshold`` differs in at most, five standard deviations up."""
+    """Sketch bits that a pair at ``threshold`` differs in at most, four standard deviations up."""
     p = (1 - threshold) / 2
-    return int(128 * p + 5 * (128 * p * (1 - p)) ** 0.5) + 1
+    return int(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5) + 1
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16) + np.bitwise_count(a[..., 1] ^ b[..., 1])
+class Look:
+    """What a node knows of its rows: sketches and set sizes."""
 
+    def __init__(self, sketch: np.ndarray, size: np.ndarray, threshold: float):
+        self.sketch, self.size, self.threshold, self.bits = sketch, size.astype(np.int64), threshold, most_bits(threshold)
 
-def first_alike(key: np.ndarray, sketch: np.ndarray, bits: int, oversize: bool) -> tuple[np.ndarray, np.ndarray]:
+    def alike(self, i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
+        """Whether rows may be as similar as the threshold; ``i`` and ``j`` broadcast against each other.
+
+        Sets can't be if the smaller one is below that share of the larger.
+        """
+        x, y = self.size[i], self.size[j]
+        percent = round(self.threshold * 100)
+        return (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (self._distance(i, j) <= self.bits)
+
+    def _distance(self, i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
+        a, b = self.sketch[i], self.sketch[j]
+        out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+        for c in range(1, SKETCH_BITS // 64):
+            out += np.bitwise_count(a[..., c] ^ b[..., c])
+        return out
+
+
+def first_alike(key: np.ndarray, look: Look, oversize: bool) -> tuple[np.ndarray, np.ndarray]:
     """For rows sorted by key: an earlier row of the node that looks alike (the row itself where only later ones do, -1 where none does), and whether the row must go a level down."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
@@ -122,24 +144,24 @@ def first_alike(key: np.ndarray, sketch: np.ndarray, bits: int, oversize: bool)
     small = size[owner] <= 64
     for lag in range(min(63, int(size[size <= 64].max(initial=0)) - 1), 0, -1):
         i = np.flatnonzero(small[: n - lag] & (owner[: n - lag] == owner[lag:]))
-        i = i[_distance(sketch[i], sketch[i + lag]) <= bits]
+        i = i[look.alike(i, i + lag)]
         found[i] = np.where(found[i] < 0, i, found[i])
         found[i + lag] = i  # lags go down, so the nearest earlier row stays
     for g in np.flatnonzero(size > 64):
         a, b = start[g], start[g] + size[g]
-        own = sketch[a:b]
+        own = np.arange(a, b)
         big = oversize and b - a > NODE_ROWS
         near = np.zeros(b - a, bool)
         if big:
             for f in range(FIRST_ROWS):
-                near |= _distance(own[f], own) <= bits
+                near |= look.alike(own[f : f + 1], own)
             rows = np.flatnonzero(near)
             down[a:b] = ~near
         else:
             rows = np.arange(b - a)
         for k in range(0, len(rows), 256):
             part = rows[k : k + 256]
-            alike = _distance(own[part][:, None], own[None, :]) <= bits
+            alike = look.alike(own[part][:, None], own[None, :])
             alike[np.arange(len(part)), part] = False
             some = alike.any(1)
             other = alike.argmax(1)
@@ -152,7 +174,7 @@ def first_alike(key: np.ndarray, sketch: np.ndarray, bits: int, oversize: bool)
     return found, down
 
 
-def cross_pairs(key: np.ndarray, sketch: np.ndarray, part_of: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cross_pairs(key: np.ndarray, look: Look, part_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Look-alike pairs of rows in one node whose ``part_of`` differs, in bounded pieces; rows are sorted by key."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
@@ -161,12 +183,12 @@ def cross_pairs(key: np.ndarray, sketch: np.ndarray, part_of: np.ndarray, bits:
     small = size[owner] <= 64
     for lag in range(1, int(size[size <= 64].max(initial=0))):
         i = np.flatnonzero(small[: n - lag] & (owner[: n - lag] == owner[lag:]) & (part_of[: n - lag] != part_of[lag:]))
-        yield i[k := _distance(sketch[i], sketch[i + lag]) <= bits], (i + lag)[k]
+        yield i[k := look.alike(i, i + lag)], (i + lag)[k]
     for g in np.flatnonzero(size > 64):
         a, b = start[g], start[g] + size[g]
         for k in range(a, b, 256):
             top = min(k + 256, b)
-            alike = (_distance(sketch[k:top][:, None], sketch[None, k:b]) <= bits) & (part_of[k:top][:, None] != part_of[None, k:b])
+            alike = look.alike(np.arange(k, top)[:, None], np.arange(k, b)[None, :]) & (part_of[k:top][:, None] != part_of[None, k:b])
             i, j = np.nonzero(alike)
             yield k + i[i < j], k + j[i < j]
 
@@ -192,13 +214,13 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iter
             yield t
 
 
-def _sketch_of(t: pa.Table) -> np.ndarray:
-    return np.stack([t.column("s1").to_numpy().view(np.uint64), t.column("s2").to_numpy().view(np.uint64)], 1)
+def _look(t: pa.Table, threshold: float) -> Look:
+    return Look(np.stack([t.column(c).to_numpy().view(np.uint64) for c in SKETCH], 1), t.column("size").to_numpy(), threshold)
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set (null if empty) and the minwise signature of every row."""
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
@@ -206,12 +228,14 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             n = np.diff(off)
             some = n > 0
             inner = np.append(off[:-1][some], len(h))
-            h1, h2, signature = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.full(len(n), None, object)
+            h1, h2, signature, sketch = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.full(len(n), None, object), np.full(len(n), None, object)
             if some.any():
                 h1[some] = np.add.reduceat(mixed(h.copy()), inner[:-1]).view(np.int64)
                 h2[some] = np.add.reduceat(mixed(h ^ np.uint64(_GOLD)), inner[:-1]).view(np.int64)
-                signature[some] = [row.tobytes() for row in minwise(h, inner)]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": n, "h1": pa.array(h1, mask=~some), "h2": pa.array(h2, mask=~some), "signature": pa.array(signature, pa.binary())})
+                low = minwise(h, inner)
+                signature[some] = [row.tobytes() for row in low[:, :COORDINATES]]
+                sketch[some] = [row.tobytes() for row in sketches(low)]
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": n, "h1": pa.array(h1, mask=~some), "h2": pa.array(h2, mask=~some), "signature": pa.array(signature, pa.binary()), "sketch": pa.array(sketch, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -224,8 +248,8 @@ def _expand(classes: DataFrame, threshold: float, levels: int) -> DataFrame:
             for i in range(0, whole.num_rows, 4096):
                 b = whole.slice(i, 4096)
                 signature = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                sketch = sketches(signature).view(np.int64)
-                rep = b.column("rep").to_numpy()
+                sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.int64).reshape(len(signature), -1)
+                rep, size = b.column("rep").to_numpy(), b.column("size").to_numpy()
                 if "key" in b.schema.names:
                     node, row = b.column("key").to_numpy().view(np.uint64), np.arange(len(rep))
                 else:
@@ -233,9 +257,9 @@ def _expand(classes: DataFrame, threshold: float, levels: int) -> DataFrame:
                     node, row = np.tile(node, len(rep)), np.repeat(np.arange(len(rep)), TREES)
                 for _ in range(levels):
                     node, row = children(node, signature, row, threshold)
-                yield pa.record_batch({"key": node.view(np.int64), "rep": rep[row], "s1": sketch[row, 0], "s2": sketch[row, 1]})
+                yield pa.record_batch({"key": node.view(np.int64), "rep": rep[row], "size": size[row]} | {c: sketch[row, k] for k, c in enumerate(SKETCH)})
 
-    return classes.mapInArrow(run, "key long, rep long, s1 long, s2 long")
+    return classes.mapInArrow(run, "key long, rep long, size int, s1 long, s2 long, s3 long, s4 long")
 
 
 def _in_nodes(rows: DataFrame) -> DataFrame:
@@ -243,21 +267,20 @@ def _in_nodes(rows: DataFrame) -> DataFrame:
 
 
 def look_alikes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (key, rep, first, s1, s2): classes with a look-alike in their node, and the first one."""
-    bits = most_bits(threshold)
+    """Rows (key, rep, first, size and sketch): classes with a look-alike in their node, and an earlier one."""
 
     def compare(oversize: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in whole_nodes(batches):
                 key, rep = t.column("key").to_numpy(), t.column("rep").to_numpy()
-                found, down = first_alike(key, _sketch_of(t), bits, oversize)
+                found, down = first_alike(key, _look(t, threshold), oversize)
                 keep = (found >= 0) | down
                 first = rep[np.maximum(found, 0)]
-                yield pa.record_batch({"key": key[keep], "rep": rep[keep], "first": pa.array(first[keep], mask=found[keep] < 0), "down": down[keep], "s1": t.column("s1").to_numpy()[keep], "s2": t.column("s2").to_numpy()[keep]})
+                yield pa.record_batch({"key": key[keep], "rep": rep[keep], "first": pa.array(first[keep], mask=found[keep] < 0), "down": down[keep]} | {c: t.column(c).to_numpy()[keep] for c in ("size", *SKETCH)})
 
         return run
 
-    schema = "key long, rep long, first long, down boolean, s1 long, s2 long"
+    schema = "key long, rep long, first long, down boolean, size int, s1 long, s2 long, s3 long, s4 long"
     found = []
     rows = _expand(classes, threshold, DEPTH)
     for depth in range(DEPTH, LAST_DEPTH + 1):
@@ -266,7 +289,7 @@ def look_alikes(classes: DataFrame, threshold: float) -> DataFrame:
         deeper = level.where("down").select("key", "rep")
         if deeper.isEmpty():
             break
-        rows = _expand(deeper.join(classes, "rep").select("key", "rep", "signature"), threshold, 1)
+        rows = _expand(deeper.join(classes, "rep").select("key", "rep", "size", "signature", "sketch"), threshold, 1)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -292,7 +315,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = only_maybe(texts, "doc_id", bitmap(ids.select(F.xxhash64("doc_id").alias("key"))), hashed=True).join(ids, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(to_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -300,7 +324,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -
 
 def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """(id, component) of the classes that are linked to another one."""
-    bits = most_bits(threshold)
     nodes = look_alikes(classes, threshold)
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     tested = materialize(ordered(nodes.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "tested")
@@ -310,10 +333,10 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_nodes(batches):
             rep = t.column("rep").to_numpy()
-            for i, j in cross_pairs(t.column("key").to_numpy(), _sketch_of(t), t.column("part").to_numpy(), bits):
+            for i, j in cross_pairs(t.column("key").to_numpy(), _look(t, threshold), t.column("part").to_numpy()):
                 yield pa.record_batch({"a": rep[i], "b": rep[j]})
 
-    marked = nodes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "s1", "s2", F.coalesce("component", "rep").alias("part"))
+    marked = nodes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", *SKETCH, F.coalesce("component", "rep").alias("part"))
     split = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     more = ordered(_in_nodes(marked.join(split, "key", "left_semi")).mapInArrow(rest, "a long, b long")).join(tested, ["a", "b"], "left_anti")
     more = materialize(more, "more")
@@ -327,9 +350,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     sets = materialize(set_table(docs, width), "signatures")
     some = sets.where("h1 is not null and doc_id is not null")
-    classes = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes")
     # one representative can stand for two classes if a doc_id is repeated with another text; each keeps its node rows
-    label = links(classes.select("rep", "signature"), docs, width, threshold)
+    label = links(classes.select("rep", "size", "signature", "sketch"), docs, width, threshold)
     named = classes.select("h1", "h2", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
