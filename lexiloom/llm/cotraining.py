@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.rolling import Slices
+from lexiloom.llm.scratch import small_batches
 from lexiloom.llm.textblocks import _KIND, blocks, buffer_of, words
 from lexiloom.llm.toxicity import labelled_sample, logistic
 
@@ -194,6 +195,7 @@ def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, pool: int = POOL) -> Model:
+    small_batches(docs.sparkSession)
     chosen = labelled_sample(labels, label, sample)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     others = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("y"))

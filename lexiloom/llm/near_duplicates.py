@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.components import components
 from lexiloom.llm.bitmaps import bitmap, only_maybe
 from lexiloom.llm.rolling import Slices, mixed
-from lexiloom.llm.scratch import materialize, task_count
+from lexiloom.llm.scratch import materialize, small_batches
 from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of, words
 
 COORDINATES = 128
@@ -348,6 +348,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     sets = materialize(set_table(docs, width), "signatures")
     some = sets.where("h1 is not null and doc_id is not null")
     classes = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes")

@@ -34,12 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.bitmaps import bitmap, only_maybe
+from lexiloom.llm.bitmaps import bitmap, maybe_in, only_maybe
 from lexiloom.llm.rolling import Slices, mixed
-from lexiloom.llm.scratch import materialize
+from lexiloom.llm.scratch import materialize, small_batches
 from lexiloom.llm.textblocks import blocks, buffer_of, words
 
-BLOCK = 3 << 20
+BLOCK = 3 << 19
 SHARD_BLOCKS = 8192
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int], list[list[tuple[int, int]]]]
 
@@ -119,6 +119,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa
 
 def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolver) -> tuple[DataFrame, DataFrame]:
     """(documents with ``row``, table of row and spans): the element ranges to remove, for documents that have any."""
+    small_batches(docs.sparkSession)
     rows = with_row(docs)
     places = materialize(anchored(rows, kind, width, gram), "places")
     counted = places.groupBy("anchor", "block").agg(F.count("*").alias("n"))
@@ -196,7 +197,10 @@ def finish(rows: DataFrame, spans: DataFrame, make: Callable[[pa.RecordBatch], p
         for b in blocks(batches, "text", BLOCK):
             yield make(b)
 
-    none = F.lit(None).cast("array<struct<f:int,t:int>>").alias("spans")
+    def run_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", BLOCK):
+            b = b.filter(pa.array(~maybe_in(bits, b.column("row").to_numpy())))
+            yield make(b.append_column("spans", pa.nulls(b.num_rows, pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())])))))
+
     with_spans = only_maybe(rows, "row", bits).join(spans, "row", "left").drop("row")
-    plain = only_maybe(rows, "row", bits, False).drop("row").select("*", none)
-    return with_spans.mapInArrow(run, schema).unionByName(plain.mapInArrow(run, schema))
+    return with_spans.mapInArrow(run, schema).unionByName(rows.mapInArrow(run_plain, schema))

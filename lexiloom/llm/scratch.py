@@ -58,6 +58,13 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, so that long texts fit; a number set by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def task_count(df: DataFrame, per_task: int = TARGET_BYTES, expand: float = 1.0) -> int:
     """Shuffle partitions for ``df``: the session's number, or more for large inputs."""
     spark = df.sparkSession

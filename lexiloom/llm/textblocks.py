@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +14,42 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
+    """Record batches joined or cut so that ``column`` holds about ``limit`` bytes in each (one row at least).
+
+    Freed memory goes back to the system: the worker outlives the task.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         ends = np.cumsum(lengths_of(batch.column(column)))
         first = 0
         while first < batch.num_rows:
-            base = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(first, last - first)
-            first = last
+            base = int(ends[first - 1]) if first else 0
+            last = max(first + (not held), int(np.searchsorted(ends, base + limit - size, side="right")))
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                size += int(ends[last - 1]) - base
+                first = last
+            if first < batch.num_rows:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+    del held
+    give_back()
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def give_back() -> None:
+    """Return freed heap pages to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def lengths_of(column: pa.Array) -> np.ndarray:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.rolling import Slices
+from lexiloom.llm.scratch import small_batches
 from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of
 
 SAMPLE = 20_000
@@ -159,6 +160,7 @@ def labelled_sample(labels: DataFrame, label: str, sample: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
+    small_batches(docs.sparkSession)
     chosen = labelled_sample(labels, label, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
