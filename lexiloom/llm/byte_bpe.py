@@ -100,3 +100,127 @@ def merge_column(word: Column, ranks: dict[bytes, int]) -> Column:
         return F.aggregate(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), start, step, lambda s: s.t)
 
     return let(tokens, folded)
+
+
+def piece_column(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that ``ids`` stand for: their binary pieces, concatenated."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    table = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
+    return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(table, i)))
+
+
+def heap_merge(word: bytes, pairs: dict[tuple[int, int], int], first: list[int]) -> list[int]:
+    """The merges of one long word: linked neighbours and a heap of (rank, place)."""
+    token = [first[b] for b in word]
+    n = len(token)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := pairs.get((token[i], token[i + 1]))) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or pairs.get((token[i], token[j])) != rank:
+            continue
+        token[i], gone[j], after[i] = rank, 1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (r := pairs.get((token[a], token[b]))) is not None:
+                heapq.heappush(heap, (r, a))
+    return [t for t, g in zip(token, gone) if not g]
+
+
+class Words:
+    """A block's documents as numbers of its distinct words (matches of the pattern)."""
+
+    def __init__(self, texts: pa.Array, pattern: str):
+        import regex
+
+        data, off = buffer_of(texts)
+        starts, ends, first = pretoken_chunks(data, off)
+        codes, chunks = encoded(slices(data, np.append(starts, len(data))) if len(starts) else slices(data, np.zeros(1, np.int64)))
+        simple = np.asarray(pc.match_substring_regex(chunks, _SIMPLE).to_numpy(zero_copy_only=False), bool)
+        split = regex.compile(pattern).findall
+        words: dict[str, int] = {}
+        flat: list[int] = []
+        counts = np.ones(len(chunks), np.int64)
+        for i, (chunk, whole) in enumerate(zip(chunks.to_pylist(), simple.tolist())):
+            if whole:
+                flat.append(words.setdefault(chunk, len(words)))
+            else:
+                parts = split(chunk)
+                counts[i] = len(parts)
+                flat += [words.setdefault(p, len(words)) for p in parts]
+        at = np.cumsum(counts) - counts
+        self.words = [w.encode() for w in words]
+        self.codes = gather(np.array(flat, np.int32), at[codes], counts[codes]) if len(codes) else np.zeros(0, np.int32)
+        self.offsets = np.concatenate([[0], np.cumsum(counts[codes])])[first]
+
+
+SENT = "words array<array<int>>, long array<binary>, doc_id long, codes binary"
+RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def encode_folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, n_tokens and hashes of the ids and of the decoded bytes, the merges folded by Spark."""
+    long_words = F.col("long")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("words", pa.list_(pa.list_(pa.int32()))), ("long", pa.list_(pa.binary())), ("doc_id", pa.int64()), ("codes", pa.binary())])
+        for b in blocks(batches, "text", BLOCK):
+            w = Words(b.column("text"), pattern)
+            for i in range(0, max(1, len(w.words)), SLICE_WORDS):
+                part = w.words[i : i + SLICE_WORDS]
+                folded = [list(x) if len(x) <= FOLDED_BYTES else None for x in part]
+                yield pa.record_batch([pa.array([folded], schema.field(0).type), pa.array([[x for x in part if len(x) > FOLDED_BYTES]], schema.field(1).type), pa.array([None], pa.int64()), pa.array([b"first" if i == 0 else b""], pa.binary())], schema=schema)
+            raw, off = w.codes.astype("<i4").tobytes(), (w.offsets * 4).tolist()
+            for i in range(0, b.num_rows, 500):
+                rows = range(i, min(i + 500, b.num_rows))
+                yield pa.record_batch([pa.nulls(len(rows), schema.field(0).type), pa.nulls(len(rows), schema.field(1).type), b.column("doc_id").slice(i, len(rows)), pa.array([raw[off[r] : off[r + 1]] for r in rows], pa.binary())], schema=schema)
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, pieces = pair_ranks(ranks), {r: t for t, r in ranks.items()}
+        first = [ranks.get(bytes([i]), NONE) for i in range(256)]
+        texts: list[str] = []
+        decoded: list[bytes] = []
+        counts: list[int] = []
+        for b in batches:
+            ids, bytes_, long, docs_, codes = (b.column(c) for c in ("ids", "pieces", "long", "doc_id", "codes"))
+            found = []
+            for r in range(b.num_rows):
+                if ids[r].is_valid:
+                    if codes[r].as_py() == b"first":
+                        texts, decoded, counts = [], [], []
+                    rest = iter(long[r].as_py())
+                    for i, p in zip(ids[r].as_py(), bytes_[r].as_py()):
+                        if i is None:
+                            i = heap_merge(next(rest), pairs, first)
+                            p = b"".join(pieces[x] for x in i)
+                        texts.append(" ".join(map(str, i)))
+                        decoded.append(p)
+                        counts.append(len(i))
+                else:
+                    found.append(digest(docs_[r].as_py(), np.frombuffer(codes[r].as_py(), "<i4").tolist(), texts, decoded, counts))
+            yield _result(found)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sent = rows.mapInArrow(send, SENT)
+    ids = F.transform("words", lambda w: F.when(w.isNotNull(), merge_column(w, ranks)))
+    sent = sent.select(ids.alias("ids"), long_words, "doc_id", "codes")
+    sent = sent.select("ids", F.transform("ids", lambda i: piece_column(i, ranks)).alias("pieces"), "long", "doc_id", "codes")
+    return sent.mapInArrow(receive, RESULT)
+
+
+def digest(doc_id: int | None, codes: list[int], texts: list[str], decoded: list[bytes], counts: list[int]) -> tuple:
+    ids = " ".join([texts[c] for c in codes])
+    raw = b"".join([decoded[c] for c in codes])
+    return doc_id, sum([counts[c] for c in codes]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+
+
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

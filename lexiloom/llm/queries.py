@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import cotraining, fm_index, keyed_store, near_duplicates, packing, suffix_dedup, toxicity, vocabulary
+from lexiloom.llm import byte_bpe, cotraining, fm_index, keyed_store, near_duplicates, packing, suffix_dedup, toxicity, vocabulary
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,6 +47,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encode_folded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=0.8)
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": op5_token_store,
     "op6_fm_dedup": op6_fm_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
