@@ -331,19 +331,49 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     label = components(sure)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_nodes(batches):
-            rep = t.column("rep").to_numpy()
-            for i, j in cross_pairs(t.column("key").to_numpy(), _look(t, threshold), t.column("part").to_numpy()):
-                yield pa.record_batch({"a": rep[i], "b": rep[j]})
+        for t in whole_nodes(batches, 1 << 15):
+            rep, key = t.column("rep").to_numpy(), t.column("key").to_numpy()
+            paths = padded(t.column("paths").combine_chunks())
+            for i, j in cross_pairs(key, _look(t, threshold), t.column("part").to_numpy()):
+                for k in range(0, len(i), 4096):
+                    x, y = i[k : k + 4096], j[k : k + 4096]
+                    here = lowest_common(paths[x], paths[y]) == key[x]
+                    yield pa.record_batch({"a": np.minimum(rep[x], rep[y])[here], "b": np.maximum(rep[x], rep[y])[here]})
 
     marked = nodes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", *SKETCH, F.coalesce("component", "rep").alias("part"))
     split = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    more = ordered(_in_nodes(marked.join(split, "key", "left_semi")).mapInArrow(rest, "a long, b long")).join(tested, ["a", "b"], "left_anti")
-    more = materialize(more, "more")
+    # a pair is reported only in the smallest of the nodes in which both are
+    several = materialize(marked.join(split, "key", "left_semi"), "several")
+    paths = several.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("paths"))
+    dealt = several.join(paths, "rep").repartition("key").sortWithinPartitions("key", "rep")
+    more = materialize(dealt.mapInArrow(rest, "a long, b long").join(tested, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return label
-    found = materialize(confirmed(more, docs, width, threshold), "links")
-    return label if found.isEmpty() else components(sure.unionByName(found))
+    part = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+    found = confirmed(more, docs, width, threshold).join(part("a"), "a", "left").join(part("b"), "b", "left")
+    joined = components(found.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
+    # components of components; a class outside the first links stands for itself
+    upper = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    lower = label.join(upper, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return lower.unionByName(joined.join(label.select("id"), "id", "left_anti"))
+
+
+def padded(lists: pa.ListArray) -> np.ndarray:
+    """Rows of equal length from lists of distinct numbers; the first number is repeated."""
+    sizes = lists.value_lengths().to_numpy()
+    flat = lists.flatten().to_numpy()
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.max(initial=1)))[None, :]
+    return flat[first[:, None] + np.where(at < sizes[:, None], at, 0)]
+
+
+def lowest_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest number that is in both rows, for each pair of rows."""
+    out = np.full(len(x), np.iinfo(np.int64).max)
+    for c in range(x.shape[1]):
+        hit = (y == x[:, c : c + 1]).any(1)
+        np.minimum(out, np.where(hit, x[:, c], out), out=out)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
