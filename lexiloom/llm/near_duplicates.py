@@ -389,3 +389,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that resemble a document of smaller doc_id, all columns kept.
+
+    Rows that repeat a doc_id and its text stay once; rows without a doc_id stay.
+    """
+    gone = near_duplicates(docs, width, threshold).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = materialize(gone, "gone")
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    bits = bitmap(gone.select(F.xxhash64("_id").alias("key")))
+    asked = only_maybe(named, "_id", bits, hashed=True).join(gone, "_id", "left_anti")
+    left = only_maybe(named, "_id", bits, inside=False, hashed=True).unionByName(asked)
+    again = named.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 and _id is not null").select("_id")
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        left = left.join(again, "_id", "left_anti").unionByName(left.join(again, "_id", "left_semi").dropDuplicates(["_id", "text"]))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,14 +8,17 @@ this machine is used, and never on a cluster.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_BYTES = 64 << 20
 _local: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+_written: dict[tuple[str, str], list[str]] = {}
+_scope = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written.setdefault((spark.sparkContext.applicationId, _scope[-1]), []).append(path)
     return path
 
 
@@ -45,15 +48,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete all scratch tables of this application but the latest ``keep``.
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``name`` and can be released together."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the scratch tables of a scope.
 
     Call it only when every DataFrame built on them has been written.
     """
-    paths = _written.get(spark.sparkContext.applicationId, [])
-    drop, _written[spark.sparkContext.applicationId] = paths[: len(paths) - keep], paths[len(paths) - keep :]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in drop:
+    for p in _written.pop((spark.sparkContext.applicationId, name), []):
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
