@@ -69,7 +69,9 @@ def top_inner_products(table: DataFrame, every: int = 50, top: int = 5, column:
     sample = sampled(rows)
     if not len(sample):
         return search(rows, 1, every, top, "long", lambda *_: ([], [], []))
-    turn = np.linalg.svd(whole(sample).astype(float), full_matrices=True)[2].T
+    # the right singular vectors, by descending singular value, from the small square matrix
+    x = whole(sample).astype(float)
+    turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
 
     def cell(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray):
         return top_products(query_ids, whole(q), ids, whole(v), turn, top)
