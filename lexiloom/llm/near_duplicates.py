@@ -15,8 +15,9 @@ probability of about one in a million.
 Two documents are linked by their full sets.  The join first confirms, in each
 node, the pair of each class with its first look-alike; components of those
 links need no more comparisons inside, so that a group of thousands of copies
-costs a link for each copy and node, not one for each pair.  Then it confirms
-every remaining look-alike pair between different components.
+costs a link for each copy and node, not one for each pair.  Then it compares
+every remaining look-alike pair between different components, in the smallest
+node that both are in and on sets of 32-bit hashes, and confirms those that pass.
 
 Null texts and texts without words have an empty set, are linked with nothing
 and stand for themselves.  Repeated rows are returned each; rows with a null
@@ -37,7 +38,7 @@ from lexiloom.llm.components import components
 from lexiloom.llm.bitmaps import bitmap, only_maybe
 from lexiloom.llm.rolling import Slices, mixed
 from lexiloom.llm.scratch import materialize, small_batches
-from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of, words
+from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of, gather, words
 
 COORDINATES = 128
 SKETCH_BITS = 256
@@ -296,6 +297,49 @@ def look_alikes(classes: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids``; others surely not in it skip the shuffle."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return only_maybe(texts, "doc_id", bitmap(ids.select(F.xxhash64("doc_id").alias("key"))), hashed=True).join(ids, "doc_id", "left_semi")
+
+
+def short_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rep, short): the sorted shingle hashes of each document, cut to 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", BLOCK):
+            h, off = shingle_sets(b.column("text"), width)
+            h = (h >> np.uint64(32)).astype("<u4")
+            yield pa.record_batch({"rep": b.column("doc_id"), "short": pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(off, off[1:])], pa.binary())})
+
+    return _texts_of(ids, docs).mapInArrow(run, "rep long, short binary").dropDuplicates(["rep"])
+
+
+def nearly_linked(sets: pa.Array, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows may be linked, by their 32-bit sets; two shared or lost hashes are allowed for."""
+    if not len(i):
+        return np.zeros(0, bool)
+    data, off = buffer_of(sets)
+    token = np.unique(np.ascontiguousarray(data).view("<u4"), return_inverse=True)[1]
+    off = off // 4
+    size = np.diff(off)
+    out = np.zeros(len(i), bool)
+    present = np.zeros(int(token.max(initial=0)) + 1, np.int32)
+    order = np.argsort(i, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) != 0, [True]]))
+    for a, b in zip(cut, cut[1:]):
+        at = order[a:b]
+        own, others = i[at[0]], j[at]
+        mine = token[off[own] : off[own + 1]]
+        present[mine] = 1
+        ends = np.cumsum(size[others])
+        hits = np.concatenate([[0], np.cumsum(present[gather(token, off[others], size[others])])])
+        both = hits[ends] - hits[ends - size[others]] + 2
+        present[mine] = 0
+        out[at] = 100 * both >= percent * (size[own] + size[others] - both)
+    return out
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as ``threshold`` (per cent of the union, in whole numbers)."""
     percent = round(threshold * 100)
@@ -315,15 +359,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts = only_maybe(texts, "doc_id", bitmap(ids.select(F.xxhash64("doc_id").alias("key"))), hashed=True).join(ids, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(to_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    sets = materialize(_texts_of(ids, docs).mapInArrow(to_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """(id, component) of the classes that are linked to another one."""
+    percent = round(threshold * 100)
     nodes = look_alikes(classes, threshold)
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     tested = materialize(ordered(nodes.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "tested")
@@ -331,13 +374,14 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     label = components(sure)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_nodes(batches, 1 << 15):
+        for t in whole_nodes(batches, 1 << 13):
             rep, key = t.column("rep").to_numpy(), t.column("key").to_numpy()
-            paths = padded(t.column("paths").combine_chunks())
+            paths, short = padded(t.column("paths").combine_chunks()), t.column("short")
             for i, j in cross_pairs(key, _look(t, threshold), t.column("part").to_numpy()):
                 for k in range(0, len(i), 4096):
                     x, y = i[k : k + 4096], j[k : k + 4096]
                     here = lowest_common(paths[x], paths[y]) == key[x]
+                    here[here] = nearly_linked(short, x[here], y[here], percent)
                     yield pa.record_batch({"a": np.minimum(rep[x], rep[y])[here], "b": np.maximum(rep[x], rep[y])[here]})
 
     marked = nodes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", *SKETCH, F.coalesce("component", "rep").alias("part"))
@@ -345,7 +389,8 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     # a pair is reported only in the smallest of the nodes in which both are
     several = materialize(marked.join(split, "key", "left_semi"), "several")
     paths = several.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("paths"))
-    dealt = several.join(paths, "rep").repartition("key").sortWithinPartitions("key", "rep")
+    short = short_sets(paths.select(F.col("rep").alias("doc_id")), docs, width)
+    dealt = several.join(paths.join(short, "rep"), "rep").repartition("key").sortWithinPartitions("key", "rep")
     more = materialize(dealt.mapInArrow(rest, "a long, b long").join(tested, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return label

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import byte_bpe, cotraining, fm_index, inner_product, keyed_store, near_duplicates, nearest, packing, suffix_dedup, toxicity, vocabulary
+from lexiloom.sources import corpus
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return corpus.table(spark, sf_dir, name)
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
