@@ -60,7 +60,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
-    return byte_bpe.encode_folded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
