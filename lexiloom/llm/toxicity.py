@@ -29,7 +29,7 @@ from lexiloom.llm.rolling import Slices
 from lexiloom.llm.scratch import small_batches
 from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of
 
-SAMPLE = 20_000
+SAMPLE = 12_000
 THRESHOLD = 0.7
 BLOCK = 4 << 20
 #: Bytes of words: letters, digits and all bytes of longer characters.
@@ -95,27 +95,35 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(at)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 30, rate: float = 0.2, soft: float = 2e-4, least: int = 5, least_steps: int = 3000, significant: float = 20.0) -> Model:
-    """Fit on documents given as arrays of distinct terms.
+def train(flat: np.ndarray, off: np.ndarray, y: np.ndarray, factors: int = 4, epochs: int = 30, rate: float = 0.2, soft: float = 2e-4, least: int = 5, least_steps: int = 3000, significant: float = 20.0) -> Model:
+    """Fit on documents given as distinct terms: document i has flat[off[i] : off[i + 1]].
 
     Terms in fewer than ``least`` documents, or whose chi-square statistic with
     the label is below ``significant``, are left out: prose has tens of
     thousands of words that say nothing about the label.
     """
-    n = len(rows)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, factors)), float(np.log((y.mean() if n else 0) + 1e-9) - np.log(1 - (y.mean() if n else 0) + 1e-9)))
-    if n == 0 or y.min() == y.max():
+    n = len(y)
+    share = float(y.mean()) if n else 0.0
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, factors)), float(np.log(share + 1e-9) - np.log(1 - share + 1e-9)))
+    if n == 0 or y.min() == y.max() or not len(flat):
         return none
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    terms, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    expected = counts * y.mean()
-    chi = (np.bincount(where, y[owner], len(terms)) - expected) ** 2 / (expected * (1 - y.mean()) * np.maximum(1 - counts / n, 1 / n))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
+    order = np.argsort(flat)
+    terms = flat[order]
+    start = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+    terms = terms[start]
+    positive = np.add.reduceat(y.astype(np.int32)[owner[order]], start)
+    del order
+    counts = np.diff(np.append(start, len(flat)))
+    expected = counts * share
+    chi = (positive - expected) ** 2 / (expected * (1 - share) * np.maximum(1 - counts / n, 1 / n))
     terms = terms[(counts >= least) & (chi >= significant)]
     if not len(terms):
         return none
     at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
     keep = terms[at] == flat
     col, owner = at[keep], owner[keep]
+    del at, keep
     first = np.searchsorted(owner, np.arange(n + 1))
     random = np.random.Generator(np.random.PCG64(7))
     w, v = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), factors))
@@ -175,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     # at most ``sample`` rows of 12 bytes are broadcast
     got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, terms binary").toArrow().sort_by("doc_id")
     y = np.array(got.column("y").to_pylist(), np.float64)
-    return train([np.frombuffer(t, np.uint64) for t in got.column("terms").to_pylist()], y)
+    data, off = buffer_of(got.column("terms").cast(pa.large_binary()))
+    del got
+    return train(np.ascontiguousarray(data).view(np.uint64), off // 8, y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
