@@ -48,7 +48,7 @@ DEPTH = 4
 LAST_DEPTH = 12
 NODE_ROWS = 2048
 FIRST_ROWS = 16
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _random.integers(0, 1 << 31, SKETCH_BITS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -315,29 +315,40 @@ def short_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return _texts_of(ids, docs).mapInArrow(run, "rep long, short binary").dropDuplicates(["rep"])
 
 
-def nearly_linked(sets: pa.Array, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows may be linked, by their 32-bit sets; two shared or lost hashes are allowed for."""
-    if not len(i):
-        return np.zeros(0, bool)
-    data, off = buffer_of(sets)
-    token = np.unique(np.ascontiguousarray(data).view("<u4"), return_inverse=True)[1]
-    off = off // 4
-    size = np.diff(off)
-    out = np.zeros(len(i), bool)
-    present = np.zeros(int(token.max(initial=0)) + 1, np.int32)
-    order = np.argsort(i, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) != 0, [True]]))
-    for a, b in zip(cut, cut[1:]):
-        at = order[a:b]
-        own, others = i[at[0]], j[at]
-        mine = token[off[own] : off[own + 1]]
-        present[mine] = 1
-        ends = np.cumsum(size[others])
-        hits = np.concatenate([[0], np.cumsum(present[gather(token, off[others], size[others])])])
-        both = hits[ends] - hits[ends - size[others]] + 2
-        present[mine] = 0
-        out[at] = 100 * both >= percent * (size[own] + size[others] - both)
-    return out
+class ShortSets:
+    """The 32-bit sets of a table of rows, their hashes numbered from 0."""
+
+    def __init__(self, sets: pa.ChunkedArray):
+        data, off = buffer_of(sets)
+        values = np.ascontiguousarray(data).view("<u4")
+        order = np.argsort(values)
+        ranks = np.zeros(len(values), np.int32)
+        if len(values):
+            ranks[1:] = np.cumsum(np.diff(values[order]) != 0)
+        self.token = np.empty(len(values), np.int32)
+        self.token[order] = ranks
+        self.off = off // 4
+        self.present = np.zeros(len(values) + 1, np.int32)
+
+    def nearly_linked(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows may be linked; two shared or lost hashes are allowed for."""
+        out = np.zeros(len(i), bool)
+        if not len(i):
+            return out
+        size = np.diff(self.off)
+        order = np.argsort(i, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) != 0, [True]]))
+        for a, b in zip(cut, cut[1:]):
+            at = order[a:b]
+            own, others = i[at[0]], j[at]
+            mine = self.token[self.off[own] : self.off[own + 1]]
+            self.present[mine] = 1
+            ends = np.cumsum(size[others])
+            hits = np.concatenate([[0], np.cumsum(self.present[gather(self.token, self.off[others], size[others])])])
+            both = hits[ends] - hits[ends - size[others]] + 2
+            self.present[mine] = 0
+            out[at] = 100 * both >= percent * (size[own] + size[others] - both)
+        return out
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -374,14 +385,14 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     label = components(sure)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_nodes(batches, 1 << 13):
+        for t in whole_nodes(batches, 1 << 12):
             rep, key = t.column("rep").to_numpy(), t.column("key").to_numpy()
-            paths, short = padded(t.column("paths").combine_chunks()), t.column("short")
+            paths, short = padded(t.column("paths").combine_chunks()), ShortSets(t.column("short"))
             for i, j in cross_pairs(key, _look(t, threshold), t.column("part").to_numpy()):
-                for k in range(0, len(i), 4096):
-                    x, y = i[k : k + 4096], j[k : k + 4096]
+                for k in range(0, len(i), 2048):
+                    x, y = i[k : k + 2048], j[k : k + 2048]
                     here = lowest_common(paths[x], paths[y]) == key[x]
-                    here[here] = nearly_linked(short, x[here], y[here], percent)
+                    here[here] = short.nearly_linked(x[here], y[here], percent)
                     yield pa.record_batch({"a": np.minimum(rep[x], rep[y])[here], "b": np.maximum(rep[x], rep[y])[here]})
 
     marked = nodes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", *SKETCH, F.coalesce("component", "rep").alias("part"))
@@ -432,7 +443,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     named = classes.select("h1", "h2", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -8,7 +8,9 @@ this machine is used, and never on a cluster.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        folder = tempfile.mkdtemp(prefix="lexiloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        _local[app] = "file://" + folder
     return _local[app]
 
 
@@ -69,7 +73,7 @@ def release(spark: SparkSession, name: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Fewer rows in an Arrow batch than Spark's default, so that long texts fit; a number set by the user stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
