@@ -96,10 +96,11 @@ def final_stops(column: Column, prefixes: dict[str, int]) -> Column:
     return F.array_join(F.transform(words, word), " ")
 
 
-def tokenize(column: Column, lang: str, aggressive: bool = True, escape: bool = False, prefixes: dict[str, int] | None = None, protected: list[str] | None = None) -> Column:
+def tokenize(column: Column, lang: str, aggressive: bool = True, escape: bool = False, prefixes: dict[str, int] | None = None, protected: list[str] | None = None, skip_markup: bool = False) -> Column:
     """The rule-based tokenizer for one language; blank lines stay as they are.
 
-    ``protected`` literals are kept whole.
+    ``protected`` literals are kept whole; with ``skip_markup`` so are lines
+    that are one tag.
     """
     text = apply(F.concat(F.lit(" "), column, F.lit(" ")), WHITESPACE)
     for i, p in enumerate(protected or []):
@@ -114,7 +115,10 @@ def tokenize(column: Column, lang: str, aggressive: bool = True, escape: bool =
     for i, p in enumerate(protected or []):
         text = F.replace(text, F.lit(f"THISISPROTECTED{i:03d}"), F.lit(p))
     text = apply(dots_restored(text), EDGES)
-    return F.when(column.rlike(r"^\s*$"), column).otherwise(apply(text, ESCAPES) if escape else text)
+    whole = column.rlike(r"^\s*$")
+    if skip_markup:
+        whole = whole | column.rlike(r"^<.+>$")
+    return F.when(whole, column).otherwise(apply(text, ESCAPES) if escape else text)
 
 
 # Rules of the treebank tokenizer, in order.

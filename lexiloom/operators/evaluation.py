@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -146,15 +146,22 @@ def retrieval_accuracy(found: DataFrame, targets: int, match: Column) -> DataFra
     return found.agg(F.round(hit(1), 6).alias("top1"), F.round(hit(5), 6).alias("top5"))
 
 
-def best_values(rows: DataFrame, mean: float, dimension: int, count: int, seed: int = 1) -> DataFrame:
-    """``count`` new embedding rows drawn from N(mean, dimension ** -0.5) behind the rows there are."""
-    spark = rows.sparkSession
-    values = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda i: F.lit(0.0))
-    fresh = spark.range(count).select(F.col("id"), values.alias("vec"))
-    noise = fresh.select("id", F.posexplode("vec").alias("pos", "zero")).withColumn("x", F.randn(seed) * dimension**-0.5 + mean)
+def new_embedding_rows(spark: SparkSession, first_id: int, count: int, dimension: int, seed: int = 1) -> DataFrame:
+    """(id, vec): rows for new tokens, drawn from N(0, dimension ** -0.5)."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(dimension - 1))).alias("pos")
+    noise = spark.range(first_id, first_id + count).select("id", places).withColumn("x", F.randn(seed) * dimension**-0.5)
     return noise.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s.x.cast("float")).alias("vec"))
 
 
+def top_averages(scores: DataFrame, parameters: DataFrame, testset: str, sizes: list[int]) -> DataFrame:
+    """(k, param, pos, value): for each k of ``sizes`` the mean over the k best checkpoints."""
+    best = ranked_checkpoints(scores, testset, max(sizes)).withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.desc("number"))))
+    ks = parameters.sparkSession.createDataFrame([(k,) for k in sizes], "k int")
+    # at most max(sizes) * len(sizes) rows
+    chosen = best.join(ks, F.col("place") <= F.col("k")).select("k", "ckpt")
+    return parameters.join(F.broadcast(chosen), "ckpt").groupBy("k", "param", "pos").agg(F.avg(F.col("value").cast("float").cast("double")).alias("value"))
+
+
 def placed(rows: DataFrame, column: str, entities: list[tuple[str, str, str]], share: float = 0.9) -> DataFrame:
     """Entity placeholders: ``entities`` are (surface, mapped, type).
 
