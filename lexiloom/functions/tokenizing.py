@@ -174,6 +174,49 @@ def tokenize_treebank(column: Column, prefixes: dict[str, int] | None = None, es
     return apply(text, ESCAPES) if escape else text
 
 
+# The public rules that corpus BLEU tokenises with ("13a").
+BLEU_13A: list[Rule] = [
+    ("text", "<skipped>", ""),
+    ("text", "&quot;", '"'),
+    ("text", "&amp;", "&"),
+    ("text", "&lt;", "<"),
+    ("text", "&gt;", ">"),
+    ("regex", r"([{-~\[-` -&(-+:-@/])", " $1 "),
+    ("regex", r"([^0-9])([.,])", "$1 $2 "),
+    ("regex", r"([.,])([^0-9])", " $1 $2"),
+    ("regex", r"([0-9])(-)", "$1 $2 "),
+    ("regex", " +", " "),
+    ("regex", "^ ", ""),
+    ("regex", " $", ""),
+]
+DETOKENIZE: list[Rule] = [
+    ("text", " @-@ ", "-"),
+    ("text", "&apos;", "'"),
+    ("text", "&quot;", '"'),
+    ("text", "&#124;", "|"),
+    ("text", "&#91;", "["),
+    ("text", "&#93;", "]"),
+    ("text", "&lt;", "<"),
+    ("text", "&gt;", ">"),
+    ("text", "&amp;", "&"),
+    ("regex", r" ([,.?!:;%)\]}]+)", "$1"),
+    ("regex", r"([(\[{$#]) ", "$1"),
+]
+DETOKENIZE_RIGHT: list[Rule] = [("regex", " (n't|'(s|m|d|ll|re|ve)) ", "$1 "), ("regex", " (n't|'(s|m|d|ll|re|ve))$", "$1")]
+DETOKENIZE_LEFT: list[Rule] = [("regex", r"(\p{L}') ", "$1")]
+
+
+def tokenize_bleu(column: Column) -> Column:
+    """The tokenisation that corpus BLEU is reported with."""
+    return apply(F.concat(F.lit(" "), column, F.lit(" ")), BLEU_13A)
+
+
+def detokenize(column: Column, lang: str) -> Column:
+    """Tokens as running text: punctuation, contractions and escapes joined again."""
+    own = DETOKENIZE_RIGHT if lang in RIGHT_LANGUAGES else DETOKENIZE_LEFT if lang in LEFT_LANGUAGES else []
+    return apply(column, DETOKENIZE + own + EDGES)
+
+
 def split_cjk(column: Column) -> Column:
     """Blanks around each CJK character, stops and commas detached from what isn't a digit."""
     return apply(column, CJK_RULES)

@@ -140,6 +140,20 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def retrieval_matrix(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """(src_lang, trg_lang, top1, top5) for all ordered pairs of ``languages``; ``rows`` is (lang, id, vec), equal ids match."""
+    out = None
+    for a in languages:
+        for b in languages:
+            if a == b:
+                continue
+            side = lambda l: rows.where(F.col("lang") == l).select("id", "vec")
+            found = retrieval_accuracy(nearest(side(a), side(b), 5), side(b).count(), F.col("src_id") == F.col("trg_id"))
+            part = found.select(F.lit(a).alias("src_lang"), F.lit(b).alias("trg_lang"), "top1", "top5")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def retrieval_accuracy(found: DataFrame, targets: int, match: Column) -> DataFrame:
     """Shares of the targets found first and among the first five."""
     hit = lambda n: F.coalesce(F.sum(F.when(match & (F.col("rank") <= n), 1).otherwise(0)), F.lit(0)) / F.lit(targets)

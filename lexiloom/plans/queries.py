@@ -98,7 +98,11 @@ _run, _sql = _punctuated("en", always=True)
 query("norm_punct_columns", _sql)(_run)
 
 
-@query("clean_lines")
+_SHOWN = f"regexp_replace({as_sql('line', (cleaning.ENTITIES + cleaning.LATIN_ENTITIES) * cleaning.ROUNDS)}, '\\p{{C}}', ' ', 'g')"
+_CLEANED_BY = " ".join(f"WHEN {quoted(l)} THEN regexp_replace({as_sql('shown', cleaning.punctuation_rules(l))}, '[ ][ ]+', ' ', 'g')" for l in ("en", "de", "fr", "es"))
+
+
+@query("clean_lines", f"WITH {_LINES}, h AS (SELECT doc_id, line_no, lang, {_SHOWN} AS shown FROM l) SELECT doc_id, line_no, CASE lang {_CLEANED_BY} END AS text FROM h")
 def clean_lines(spark, d):
     return lines(spark, d).select("doc_id", "line_no", cleaning.clean(F.col("line"), F.col("lang")).alias("text"))
 
@@ -186,6 +190,21 @@ def tok_penn(spark, d):
     return lines(spark, d).where("lang = 'en'").select("doc_id", "line_no", tokenizing.tokenize_treebank(F.col("line")).alias("text"))
 
 
+@query("tok_bleu", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql(chr(40) + quoted(' ') + ' || line || ' + quoted(' ') + chr(41), tokenizing.BLEU_13A)} AS text FROM l")
+def tok_bleu(spark, d):
+    return lines(spark, d).select("doc_id", "line_no", tokenizing.tokenize_bleu(F.col("line")).alias("text"))
+
+
+_SPACED = [("regex", "([,.()])", " $1 ")]
+
+
+@query("detokenize", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql(as_sql('line', _SPACED), tokenizing.DETOKENIZE + tokenizing.DETOKENIZE_RIGHT + tokenizing.EDGES)} AS text FROM l")
+def detokenize(spark, d):
+    from lexiloom.functions.rules import apply
+
+    return lines(spark, d).select("doc_id", "line_no", tokenizing.detokenize(apply(F.col("line"), _SPACED), "en").alias("text"))
+
+
 @query("tok_escape", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql('line', tokenizing.ESCAPES)} AS text FROM l")
 def tok_escape(spark, d):
     from lexiloom.functions.rules import apply
@@ -518,7 +537,7 @@ def khop_neighbors(spark, d):
     return lexicon.neighbours(word_edges(spark, d), 3)
 
 
-@query("multi_lexicon_lines")
+@query("multi_lexicon_lines", f"WITH RECURSIVE {_EDGES}, h AS (SELECT a AS src, b AS dst, 1 AS depth FROM u UNION ALL SELECT h.src, u.b, h.depth + 1 FROM h JOIN u ON h.dst = u.a WHERE h.depth < 3), m AS (SELECT src, dst, min(depth) AS depth FROM h WHERE src <> dst GROUP BY src, dst) SELECT src, src || chr(9) || string_agg(dst || '__' || depth, chr(9) ORDER BY depth, dst || '__' || depth) AS line FROM m GROUP BY src")
 def multi_lexicon_lines(spark, d):
     return lexicon.adjacency_lines(khop_neighbors(spark, d))
 
@@ -734,6 +753,38 @@ def retrieval_accuracy(spark, d):
     return evaluation.retrieval_accuracy(_neighbours(spark, d), n, F.expr("src_id div 2 = trg_id div 2"))
 
 
+@query("corpus_bleu_13a")
+def corpus_bleu_13a(spark, d):
+    """Corpus BLEU over the public tokenisation of both sides."""
+    side = lambda c: tokenizing.tokens(tokenizing.tokenize_bleu(F.col(c)))
+    rows = turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), side("src").alias("hyp"), side("trg").alias("ref"))
+    return evaluation.bleu(evaluation.bleu_statistics(rows)).select("bleu")
+
+
+_MATRIX = "m AS (SELECT a.vec_id % 3 AS s, b.vec_id % 3 AS t, a.vec_id // 3 AS i, b.vec_id // 3 AS j, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 3 <> b.vec_id % 3), mr AS (SELECT s, t, i, j, row_number() OVER (PARTITION BY s, t, i ORDER BY sim DESC, j) AS k FROM m QUALIFY k <= 5)"
+
+
+@query("retrieval_matrix", f"WITH {_MATRIX} SELECT 'l' || s AS src_lang, 'l' || t AS trg_lang, round(sum(CASE WHEN i = j AND k = 1 THEN 1 ELSE 0 END) / (SELECT count(*) FROM embeddings WHERE vec_id % 3 = t), 6) AS top1, round(sum(CASE WHEN i = j THEN 1 ELSE 0 END) / (SELECT count(*) FROM embeddings WHERE vec_id % 3 = t), 6) AS top5 FROM mr GROUP BY s, t")
+def retrieval_matrix(spark, d):
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("l"), (F.col("vec_id") % 3).cast("string")).alias("lang"), F.expr("vec_id div 3").alias("id"), F.col("embedding").alias("vec"))
+    return evaluation.retrieval_matrix(rows, ["l0", "l1", "l2"])
+
+
+_FOLDERS = "f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'en_de' WHEN 1 THEN 'en2fr' ELSE 'en-es' END AS folder FROM documents)"
+
+
+@query("pair_folders", f"WITH {_FOLDERS} SELECT doc_id, folder FROM f WHERE regexp_matches(folder, '^[a-z][a-z](_|2)[a-z][a-z]$')")
+def pair_folders(spark, d):
+    k = F.col("doc_id") % 3
+    rows = table(spark, d, "documents").select("doc_id", F.when(k == 0, "en_de").when(k == 1, "en2fr").otherwise("en-es").alias("folder"))
+    return rows.where(monitor.pair_folder(F.col("folder")))
+
+
+@query("post_command", "SELECT conv_id, turn, replace('LANG_TOK_DE ' || text, 'LANG_TOK_DE ', '') AS text FROM conversations")
+def post_command(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.replace(F.concat(F.lit("LANG_TOK_DE "), F.col("text")), F.lit("LANG_TOK_DE "), F.lit("")).alias("text"))
+
+
 # -- datasets -----------------------------------------------------------------
 
 _IDS = f"v AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token DESC) + 3 AS BIGINT) AS id FROM (SELECT * FROM c ORDER BY freq DESC, token DESC LIMIT 1000)), ti AS (SELECT doc_id, i.i AS pos, coalesce(v.id, 3) AS id FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda q: length(q) > 0) AS t FROM documents) d, unnest(range(1, len(d.t) + 1)) AS i(i) LEFT JOIN v ON v.token = d.t[CAST(i.i AS INTEGER)])"
