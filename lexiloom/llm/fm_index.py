@@ -143,9 +143,9 @@ def resolve(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, left: np.n
     return [merged(s) if len(s) > 1 else s for s in out]
 
 
-def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = passages.CROWD) -> DataFrame:
     """doc_id, n_words, n_removed and the hash of the kept words, for every row."""
-    rows, spans = passages.covered(docs, "word", width, gram, resolve)
+    rows, spans = passages.covered(docs, "word", width, gram, resolve, crowd)
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         bounds, off, mask = passages.removed(b.column("text"), b.column("spans"), "word")

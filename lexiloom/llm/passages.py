@@ -16,6 +16,8 @@ and last window).
 3. Where an anchor has different blocks, each distinct block's content is read
    once and a *resolver* (suffix sorting or an FM-index) tells which of its
    windows another block holds too.
+   An anchor with more than ``CROWD`` different blocks isn't gathered in one
+   task: its windows are listed and counted by two 64-bit hashes instead.
 4. The covered parts go back to all occurrences, and each document removes them.
 
 A document is known by a hash of its doc_id and text, so rows without a doc_id
@@ -41,6 +43,8 @@ from lexiloom.llm.textblocks import blocks, buffer_of, words
 
 BLOCK = 3 << 19
 SHARD_BLOCKS = 8192
+#: Distinct blocks that one anchor's group may have in one task.
+CROWD = 20_000
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int], list[list[tuple[int, int]]]]
 
 
@@ -117,7 +121,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolver) -> tuple[DataFrame, DataFrame]:
+def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents with ``row``, table of row and spans): the element ranges to remove, for documents that have any."""
     small_batches(docs.sparkSession)
     rows = with_row(docs)
@@ -126,26 +130,42 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
     by_anchor = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     repeated = materialize(counted.join(by_anchor, "anchor").select("anchor", "block", "n", "kinds"), "repeated")
     key = F.col("block").alias("key")
-    open_ = repeated.where("kinds > 1")
-    wanted = only_maybe(places, "block", bitmap(open_.select(key))).groupBy("anchor", "block").agg(F.min(F.struct("row", "p", "first", "last")).alias("o"))
-    wanted = materialize(wanted.join(open_, ["anchor", "block"]).select("anchor", "block", "n", "o.*"), "wanted")
-    requests = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "block", "n", "p", "first", "last")).alias("asked"))
     item = 1 if kind == "byte" else 8
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked_texts(open_: DataFrame) -> DataFrame:
+        """(row, text, asked): a document for each distinct block of ``open_``, with the places asked for in it."""
+        wanted = only_maybe(places, "block", bitmap(open_.select(key))).groupBy("anchor", "block").agg(F.min(F.struct("row", "p", "first", "last")).alias("o"))
+        wanted = materialize(wanted.join(open_, ["anchor", "block"]).select("anchor", "block", "n", "o.*"), "wanted")
+        requests = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "block", "n", "p", "first", "last")).alias("asked"))
+        return only_maybe(rows.select("row", "text"), "row", bitmap(requests.select(F.col("row").alias("key")))).join(requests, "row")
+
+    def each_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, pa.Array], np.ndarray, np.ndarray]]:
+        """For blocks of documents: values, the places' columns, first and last window."""
         for b in blocks(batches, "text", BLOCK):
             values, off = elements(b.column("text"), kind)
-            raw = values.tobytes()
             asked = b.column("asked")
             flat, owner = asked.flatten(), np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy())
             f = {c: flat.field(c) for c in ("anchor", "block", "n", "p", "first", "last")}
-            first, last = off[owner] + f["first"].to_numpy(), off[owner] + f["last"].to_numpy() + width
-            content = [raw[i * item : j * item] for i, j in zip(first.tolist(), last.tolist())]
+            yield values, f, off[owner] + f["first"].to_numpy(), off[owner] + f["last"].to_numpy()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, f, first, last in each_asked(batches):
+            raw = values.tobytes()
+            content = [raw[i * item : j * item] for i, j in zip(first.tolist(), (last + width).tolist())]
             yield pa.record_batch({"anchor": f["anchor"], "block": f["block"], "n": f["n"], "left": pa.array(f["p"].to_numpy() - f["first"].to_numpy()), "right": pa.array(f["last"].to_numpy() - f["p"].to_numpy()), "content": pa.array(content, pa.binary())})
 
+    def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, f, first, last in each_asked(batches):
+            one = Slices(values)
+            two = Slices(mixed(values.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+            count = last - first + 1
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            of = pa.array(np.repeat(np.arange(len(count)), count))
+            place = np.repeat(f["p"].to_numpy() - f["first"].to_numpy() + first, count)
+            yield pa.record_batch({"anchor": f["anchor"].take(of), "block": f["block"].take(of), "n": f["n"].take(of), "at": (at - place).astype(np.int32), "w1": one.hash(at, at + width).view(np.int64), "w2": two.hash(at, at + width).view(np.int64)})
+
     schema = "anchor long, block long, n long, left int, right int, content binary"
-    texts = only_maybe(rows.select("row", "text"), "row", bitmap(requests.select(F.col("row").alias("key"))))
-    contents = texts.join(requests, "row").mapInArrow(read, schema)
+    contents = asked_texts(repeated.where(f"kinds > 1 and kinds <= {crowd}")).mapInArrow(read, schema)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sorted_groups(batches, SHARD_BLOCKS):
@@ -158,7 +178,15 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
     dealt = contents.repartition("anchor").sortWithinPartitions("anchor", "block")
     partly = dealt.mapInArrow(resolve, "anchor long, block long, cover array<struct<f:int,t:int>>").dropDuplicates(["anchor", "block"])
     whole = repeated.where("kinds = 1 and n > 1").select("anchor", "block", F.lit(None).cast("array<struct<f:int,t:int>>").alias("cover"))
-    results = materialize(partly.unionByName(whole), "covers")
+    results = partly.unionByName(whole)
+    crowded = repeated.where(f"kinds > {crowd}")
+    if not crowded.isEmpty():
+        windows = materialize(asked_texts(crowded).mapInArrow(list_windows, "anchor long, block long, n long, at int, w1 long, w2 long").dropDuplicates(["anchor", "block", "at"]), "windows")
+        same = ["anchor", "at", "w1", "w2"]
+        twice = windows.groupBy(*same).agg(F.sum("n").alias("n")).where("n > 1").select(*same)
+        hits = windows.join(twice, same, "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("at")).alias("at"))
+        results = results.unionByName(hits.select("anchor", "block", F.transform("at", lambda x: F.struct(x.alias("f"), (x + width).alias("t"))).alias("cover")))
+    results = materialize(results, "covers")
     found = only_maybe(places, "block", bitmap(results.select(key))).join(results, ["anchor", "block"])
     all_of = F.array(F.struct(F.col("first").alias("f"), (F.col("last") + width).alias("t")))
     moved = F.transform("cover", lambda c: F.struct((F.col("p") + c.f).alias("f"), (F.col("p") + c.t).alias("t")))

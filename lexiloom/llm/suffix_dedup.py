@@ -210,13 +210,13 @@ def resolve(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, left: np.n
     return [merged(s) if len(s) > 1 else s for s in out]
 
 
-def _spans(docs: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    return passages.covered(docs, "byte", width, gram, resolve)
+def _spans(docs: DataFrame, width: int, gram: int, crowd: int = passages.CROWD) -> tuple[DataFrame, DataFrame]:
+    return passages.covered(docs, "byte", width, gram, resolve, crowd)
 
 
-def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = passages.CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is left, for every row."""
-    rows, spans = _spans(docs, width, gram)
+    rows, spans = _spans(docs, width, gram, crowd)
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off, mask = passages.removed(b.column("text"), b.column("spans"), "byte")

@@ -48,14 +48,14 @@ def covered(sequences, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "gram"), [(60, 8), (200, 48)])
-def test_suffix_dedup_equals_brute_force(docs, width, gram):
+@pytest.mark.parametrize(("width", "gram", "crowd"), [(60, 8, 20_000), (200, 48, 20_000), (60, 8, 2)])
+def test_suffix_dedup_equals_brute_force(docs, width, gram, crowd):
     source = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     want = Counter()
     for (doc, s), mask in zip(source, covered([s for _, s in source], width)):
         kept = bytes(b for b, m in zip(s, mask) if not m)
         want[doc, len(s), sum(mask), len(re.findall("1+", "".join("01"[m] for m in mask))), hashlib.sha256(kept).hexdigest()] += 1
-    got = Counter(tuple(r) for r in suffix_dedup.report(docs, width, gram).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    got = Counter(tuple(r) for r in suffix_dedup.report(docs, width, gram, crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == want
 
 
@@ -65,14 +65,14 @@ def test_suffix_dedup_keeps_columns(docs):
     assert {r.spans for r in out.collect()} == {1} and {r.row for r in out.collect()} == {"clash"}
 
 
-@pytest.mark.parametrize(("width", "gram"), [(12, 4), (35, 6)])
-def test_fm_dedup_equals_brute_force(docs, width, gram):
+@pytest.mark.parametrize(("width", "gram", "crowd"), [(12, 4, 20_000), (35, 6, 20_000), (12, 4, 2)])
+def test_fm_dedup_equals_brute_force(docs, width, gram, crowd):
     source = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()]
     want = Counter()
     for (doc, s), mask in zip(source, covered([s for _, s in source], width)):
         kept = " ".join(w for w, m in zip(s, mask) if not m)
         want[doc, len(s), sum(mask), hashlib.sha256(kept.encode()).hexdigest()] += 1
-    got = Counter(tuple(r) for r in fm_index.report(docs, width, gram).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    got = Counter(tuple(r) for r in fm_index.report(docs, width, gram, crowd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == want
 
 
