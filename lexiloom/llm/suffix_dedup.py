@@ -16,12 +16,15 @@ and text are ignored by the report and kept by ``dedup``.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexiloom.llm import passages
+from lexiloom.llm.bitmaps import bitmap, only_maybe
 
 WIDTH = 400
 GRAM = 64
@@ -232,24 +235,25 @@ def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = p
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeated passages cut out of ``text`` (bytes that no longer form a character become U+FFFD); all columns kept."""
-    from pyspark.sql import functions as F
-
+    """``docs`` with the repeated passages cut out of ``text`` (bytes that no longer form a character go too); all columns kept."""
     _, spans = _spans(docs, width, gram)
-    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    names, schema = docs.columns, docs.schema
+    where = names.index("text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*columns, text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"))
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    rows = docs.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"))
 
-    def run(batches):
-        for b in passages.blocks(batches, "text", passages.BLOCK):
-            data, off, mask = passages.removed(b.column("text"), b.column("spans"), "byte")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in passages.blocks(batches, f"c{where}", passages.BLOCK):
+            old = b.column(where)
+            data, off, mask = passages.removed(old, b.column("spans"), "byte")
             raw = data[~mask].tobytes()
             at = (off - np.concatenate([[0], np.cumsum(mask)])[off]).tolist()
-            texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])]
-            where = docs_columns.index("text")
-            texts = pa.array(texts, pa.string(), mask=np.asarray(b.column(where).is_null().to_numpy(zero_copy_only=False)))
-            yield pa.record_batch([texts if i == where else b.column(i) for i in range(len(docs_columns))], names=docs_columns)
-
-    docs_columns = docs.columns
-    joined = rows.join(spans, "row", "left").select(*(f"c{i}" for i in range(len(columns))), "text", "spans")
-    return joined.mapInArrow(run, docs.schema)
+            new = [raw[i:j].decode("utf-8", "ignore") for i, j in zip(at, at[1:])]
+            new = pa.array(new, pa.string(), mask=old.is_null().to_numpy(zero_copy_only=False))
+            yield pa.record_batch([new if i == where else b.column(i) for i in range(len(names))], names=names)
+
+    bits = bitmap(spans.select(F.col("row").alias("key")))
+    kept = [f"c{i}" for i in range(len(names))]
+    cut = only_maybe(rows, "row", bits).join(spans, "row", "left").select(*kept, "spans").mapInArrow(run, schema)
+    return only_maybe(rows, "row", bits, inside=False).select(*kept).toDF(*names).unionByName(cut)
