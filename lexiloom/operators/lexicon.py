@@ -43,8 +43,12 @@ def adjacency_lines(found: DataFrame) -> DataFrame:
     return cells.select("src", F.concat_ws("\t", "src", F.col("l.cell")).alias("line"))
 
 
-def components(edges: DataFrame, checkpoint: bool = False) -> DataFrame:
-    """(id, component): the smallest word reachable from each, by contraction rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest word reachable from each, by contraction rounds.
+
+    Rounds are checkpointed where the session has a checkpoint folder, else cached.
+    """
+    checkpoint = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     left = undirected(edges).select("a", "b").where("a < b")
     rounds = []
     while not left.isEmpty():
