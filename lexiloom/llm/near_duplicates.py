@@ -48,6 +48,8 @@ DEPTH = 4
 LAST_DEPTH = 12
 NODE_ROWS = 2048
 FIRST_ROWS = 16
+#: Rows of one node that meet in one task of the last comparison; larger nodes are compared in a grid of parts.
+CELL_ROWS = 8192
 BLOCK = 2 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(11))
@@ -375,7 +377,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -
     return rows.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, component) of the classes that are linked to another one."""
     percent = round(threshold * 100)
     nodes = look_alikes(classes, threshold)
@@ -386,12 +388,15 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_nodes(batches, 1 << 12):
-            rep, key = t.column("rep").to_numpy(), t.column("key").to_numpy()
+            rep, key, node = t.column("rep").to_numpy(), t.column("key").to_numpy(), t.column("node").to_numpy()
+            piece, low, high = (t.column(c).to_numpy() for c in ("piece", "low", "high"))
             paths, short = padded(t.column("paths").combine_chunks()), ShortSets(t.column("short"))
             for i, j in cross_pairs(key, _look(t, threshold), t.column("part").to_numpy()):
                 for k in range(0, len(i), 2048):
                     x, y = i[k : k + 2048], j[k : k + 2048]
-                    here = lowest_common(paths[x], paths[y]) == key[x]
+                    # in a cell of a grid only pairs between its two parts
+                    here = (np.minimum(piece[x], piece[y]) == low[x]) & (np.maximum(piece[x], piece[y]) == high[x])
+                    here[here] = lowest_common(paths[x[here]], paths[y[here]]) == node[x[here]]
                     here[here] = short.nearly_linked(x[here], y[here], percent)
                     yield pa.record_batch({"a": np.minimum(rep[x], rep[y])[here], "b": np.maximum(rep[x], rep[y])[here]})
 
@@ -401,7 +406,13 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     several = materialize(marked.join(split, "key", "left_semi"), "several")
     paths = several.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("paths"))
     short = short_sets(paths.select(F.col("rep").alias("doc_id")), docs, width)
-    dealt = several.join(paths.join(short, "rep"), "rep").repartition("key").sortWithinPartitions("key", "rep")
+    # a node of many rows becomes a grid: each row goes to the cells of its part with every part
+    sizes = several.groupBy("key").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("pieces"))
+    cells = several.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cells = cells.withColumn("low", F.least("piece", "other")).withColumn("high", F.greatest("piece", "other"))
+    cells = cells.withColumnRenamed("key", "node").withColumn("key", F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", "low", "high"))).drop("pieces", "other")
+    dealt = cells.join(paths.join(short, "rep"), "rep").repartition("key").sortWithinPartitions("key", "rep")
     more = materialize(dealt.mapInArrow(rest, "a long, b long").join(tested, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return label
@@ -432,14 +443,14 @@ def lowest_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     small_batches(docs.sparkSession)
     sets = materialize(set_table(docs, width), "signatures")
     some = sets.where("h1 is not null and doc_id is not null")
     classes = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes")
     # one representative can stand for two classes if a doc_id is repeated with another text; each keeps its node rows
-    label = links(classes.select("rep", "size", "signature", "sketch"), docs, width, threshold)
+    label = links(classes.select("rep", "size", "signature", "sketch"), docs, width, threshold, cell_rows)
     named = classes.select("h1", "h2", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")

@@ -114,8 +114,8 @@ def links(texts, width, percent):
     return sets, [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates_equal_brute_force(docs, width):
+@pytest.mark.parametrize(("width", "cell_rows"), [(2, 8192), (5, 8192), (2, 3)])
+def test_near_duplicates_equal_brute_force(docs, width, cell_rows):
     rows = docs.where("doc_id is not null").collect()
     sets, found = links([r.text for r in rows], width, 80)
     ids = [r.doc_id for r in rows]
@@ -128,7 +128,7 @@ def test_near_duplicates_equal_brute_force(docs, width):
         if low == before:
             break
     want = Counter((d, len(s), low[d], low[d] == d) for d, s in zip(ids, sets))
-    got = near_duplicates.near_duplicates(docs, width, 0.8).collect()
+    got = near_duplicates.near_duplicates(docs, width, 0.8, cell_rows).collect()
     assert Counter(tuple(r) for r in got if r.doc_id is not None) == want
     assert sum(r.doc_id is None and r.kept for r in got) == 2
 
