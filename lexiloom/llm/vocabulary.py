@@ -32,6 +32,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BLANK = _BYTE_LETTERS[32]
 
 
 def read_vocabulary(path: str) -> str:
@@ -69,7 +70,7 @@ class ChunkEncoder:
             simple = pc.match_substring_regex(part, self.simple)
             rest = iter(pipeline(part.filter(pc.invert(simple)).to_pylist(), add_special_tokens=False))
             got = [
-                [t.id for t in tokens(c.encode().decode("latin-1").translate(_BYTE_LETTERS))] if s else next(rest).ids
+                [t.id for t in tokens(c.replace(" ", _BLANK) if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_LETTERS))] if s else next(rest).ids
                 for c, s in zip(part.to_pylist(), simple.to_pylist())
             ]
             counts.append(np.fromiter(map(len, got), np.int64, len(got)))
