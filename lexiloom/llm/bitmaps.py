@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.textblocks import give_back
+
 FILTER_BITS = 26
 
 
@@ -35,6 +37,7 @@ def only_maybe(df: DataFrame, column: str, bits: np.ndarray, inside: bool = True
         for b in batches:
             keep = b.filter(pa.array(maybe_in(bits, b.column("_key" if hashed else column).to_numpy()) == inside))
             yield keep.select(names)
+        give_back()
 
     names = df.columns
     return (df.withColumn("_key", F.xxhash64(column)) if hashed else df).mapInArrow(run, df.schema)

@@ -35,7 +35,7 @@ from lexiloom.llm.toxicity import labelled_sample, logistic
 SAMPLE = 20_000
 POOL = 20_000
 THRESHOLD = 0.5
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 META_BUCKETS = 64
 SCHEMA = "doc_id long, text_score double, meta_score double, score double"
 

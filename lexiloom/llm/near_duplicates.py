@@ -38,7 +38,7 @@ from lexiloom.llm.components import components
 from lexiloom.llm.bitmaps import bitmap, only_maybe
 from lexiloom.llm.rolling import Slices, mixed
 from lexiloom.llm.scratch import materialize, small_batches
-from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of, gather, words
+from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of, gather, give_back, words
 
 COORDINATES = 128
 SKETCH_BITS = 256
@@ -50,7 +50,7 @@ NODE_ROWS = 2048
 FIRST_ROWS = 16
 #: Rows of one node that meet in one task of the last comparison; larger nodes are compared in a grid of parts.
 CELL_ROWS = 8192
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _random.integers(0, 1 << 31, SKETCH_BITS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -213,8 +213,11 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iter
             held, rows = t.to_batches(), t.num_rows if cut else 0
     if held:
         t = pa.Table.from_batches(held).combine_chunks()
+        held = []
         if t.num_rows:
             yield t
+        del t
+    give_back()
 
 
 def _look(t: pa.Table, threshold: float) -> Look:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.textblocks import blocks
-from lexiloom.llm.vocabulary import encoder
+from lexiloom.llm.vocabulary import encoder, unload
 
 GROUP_DOCUMENTS = 8192
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -114,10 +114,12 @@ def pack_group(lengths: list[int], window: int) -> list[list[tuple[int, int, int
     return out
 
 
-def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_blanks: bool = True) -> DataFrame:
+def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_blanks: bool = True, keep_loaded: bool = True) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit) and place in a sequence.
 
     ``spec`` is the text of a tokenizer file.  Other columns of ``docs`` are ignored.
+    With ``keep_loaded`` a worker keeps the tokenizer for its next task; without,
+    its memory is free for other stages.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
@@ -160,6 +162,9 @@ def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_
             yield batch(rows)
         if group:
             yield flush()
+        if not keep_loaded:
+            del enc
+            unload()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

@@ -41,7 +41,7 @@ from lexiloom.llm.rolling import Slices, mixed
 from lexiloom.llm.scratch import materialize, small_batches
 from lexiloom.llm.textblocks import blocks, buffer_of, words
 
-BLOCK = 3 << 19
+BLOCK = 1 << 20
 SHARD_BLOCKS = 8192
 #: Distinct blocks that one anchor's group may have in one task.
 CROWD = 20_000

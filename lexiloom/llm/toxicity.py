@@ -31,7 +31,7 @@ from lexiloom.llm.textblocks import ascii_lower, blocks, buffer_of
 
 SAMPLE = 12_000
 THRESHOLD = 0.7
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bytes of words: letters, digits and all bytes of longer characters.
 _INNER = np.zeros(256, bool)
 _INNER[128:] = True

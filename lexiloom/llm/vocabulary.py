@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lexiloom.llm.textblocks import ascii_lower, buffer_of, encoded, gather, pretoken_chunks, slices
+from lexiloom.llm.textblocks import ascii_lower, buffer_of, encoded, gather, give_back, pretoken_chunks, slices
 
 #: Chunks that need neither normalising nor splitting, with and without blanks and capitals.
 _SIMPLE_KEEPING = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
@@ -106,3 +106,9 @@ def encoder(spec: str, keeps_blanks: bool) -> ChunkEncoder:
     if key not in _loaded:
         _loaded[key] = ChunkEncoder(spec, keeps_blanks)
     return _loaded[key]
+
+
+def unload() -> None:
+    """Drop this worker's encoders; the next task loads its own."""
+    _loaded.clear()
+    give_back()
