@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.textblocks import blocks
+from lexiloom.llm.textblocks import BLOCK_BYTES, blocks
 from lexiloom.llm.vocabulary import encoder, unload
 
 GROUP_DOCUMENTS = 8192
@@ -114,12 +114,12 @@ def pack_group(lengths: list[int], window: int) -> list[list[tuple[int, int, int
     return out
 
 
-def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_blanks: bool = True, keep_loaded: bool = True) -> DataFrame:
+def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_blanks: bool = True, keep_loaded: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit) and place in a sequence.
 
     ``spec`` is the text of a tokenizer file.  Other columns of ``docs`` are ignored.
     With ``keep_loaded`` a worker keeps the tokenizer for its next task; without,
-    its memory is free for other stages.
+    its memory is free for other stages.  Smaller blocks take less memory and more time.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_
             columns = list(zip(*rows)) or [[]] * len(schema)
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", block_bytes):
             ids, off = enc.encode(b.column("text"))
             docs_, rows = b.column("doc_id").to_pylist(), []
             for i, doc in enumerate(docs_):
