@@ -487,6 +487,20 @@ def ranked_words(spark, d, most: int = 500) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "token"))).where(F.col("rank") <= most).drop("n")
 
 
+def all_ranks(spark, d) -> DataFrame:
+    """(lang, token, rank) of every word by falling count, then word; ranks come from counts of groups of words, so no task holds a language."""
+    words = lines(spark, d).select("lang", F.explode(tokenizing.tokens(F.col("line"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    words = words.withColumn("head", F.substring("token", 1, 3))
+    sizes = words.groupBy("lang", "n", "head").agg(F.count("*").alias("m"))
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    upper = sizes.groupBy("lang", "n").agg(F.sum("m").alias("m")).select("lang", "n", before(W.partitionBy("lang").orderBy(F.desc("n"))).alias("upper"))
+    lower = sizes.select("lang", "n", "head", before(W.partitionBy("lang", "n").orderBy("head")).alias("lower"))
+    bases = lower.join(F.broadcast(upper), ["lang", "n"])
+    within = F.row_number().over(W.partitionBy("lang", "n", "head").orderBy("token"))
+    rows = words.withColumn("within", within).join(bases, ["lang", "n", "head"])
+    return rows.select("lang", "token", (F.col("upper") + F.col("lower") + F.col("within")).cast("int").alias("rank"))
+
+
 def pseudo_lexicon(spark, d) -> DataFrame:
     """(lang, src_word, trg_word, rank): words of equal frequency rank."""
     k = ranked_words(spark, d)
@@ -524,7 +538,9 @@ _EDGES = f"{_PSEUDO}, e AS (SELECT 'en:' || src_word AS a, lang || ':' || trg_wo
 
 
 def word_edges(spark, d) -> DataFrame:
-    return pseudo_lexicon(spark, d).where("rank <= 100").select(F.concat(F.lit("en:"), "src_word").alias("a"), F.concat("lang", F.lit(":"), "trg_word").alias("b"))
+    """Words of equal rank in any two languages: the lexicons from English and those between the others."""
+    alike = all_ranks(spark, d).groupBy("rank").agg(F.collect_list(F.concat("lang", F.lit(":"), "token")).alias("words"))
+    return alike.select("words", F.explode("words").alias("a")).select("a", F.explode("words").alias("b")).where("a < b")
 
 
 @query("word_graph_edges", f"WITH {_EDGES} SELECT a, b FROM u")
