@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from lexiloom.sources.corpus import draw, hashed
 
 SPACE = 16**7
-#: Rows up to which a lexicon is broadcast; its cap bounds it (bilingual 2,000 pairs a language by default).
-BROADCAST_ROWS = 200_000
 
 
 def grouped(entries: DataFrame) -> DataFrame:
@@ -68,35 +66,31 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _looked_up(words: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
-    small = lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return words.join(F.broadcast(lexicon) if small else lexicon, keys, "left")
-
-
 def substitute(rows: DataFrame, entries: DataFrame, languages: list[str], prob: float = 0.15, copies: int = 1, seed: str = "1") -> DataFrame:
     """Dictionary substitution: (row key, lang, tokens, replaced) of copies with at least one replaced token.
 
-    ``rows``: (id, tokens); ``entries``: (lang, src_word, trg_word, rank).  Each
+    ``rows``: (id, tokens), one row an id; ``entries``: (lang, src_word, trg_word, rank).  Each
     row takes ``copies`` of ``languages`` by the smallest hash; each token that
     the lexicon has is replaced with probability ``prob`` by the candidate of
     smallest hash.  The draws depend on (seed, row, place) alone.
     """
-    langs = F.explode(F.array(*(F.lit(l) for l in languages)))
-    order = F.row_number().over(W.partitionBy("id").orderBy(hashed(seed, F.col("id"), F.col("lang")), "lang"))
-    chosen = rows.select("id", "tokens", langs.alias("lang")).withColumn("_n", order).where(F.col("_n") <= copies).drop("_n")
-    words = chosen.select("id", "lang", F.posexplode("tokens").alias("pos", "token"))
+    order = F.array_sort(F.array(*(F.struct(hashed(seed, F.col("id"), F.lit(l)).alias("h"), F.lit(l).alias("lang")) for l in languages)))
+    chosen = rows.select("id", "tokens", F.explode(F.slice(order, 1, copies).lang).alias("lang"))
     candidates = entries.groupBy("lang", F.col("src_word").alias("token")).agg(F.sort_array(F.collect_list(F.struct("rank", "trg_word"))).alias("c"))
-    w = _looked_up(words, candidates, ["lang", "token"])
-    return _replaced(w, prob, seed)
+    return _replaced(chosen, candidates, ["lang", "token"], prob, seed)
 
 
-def _replaced(w: DataFrame, prob: float, seed: str) -> DataFrame:
-    """Rows of (id, lang, pos, token, c: candidates as (rank, trg_word)) put together again."""
-    hit = F.col("c").isNotNull() & (draw(seed, "p", F.col("id"), F.col("lang"), F.col("pos")) < int(prob * SPACE))
+def _replaced(chosen: DataFrame, candidates: DataFrame, keys: list[str], prob: float, seed: str) -> DataFrame:
+    """Rows of (id, lang, tokens) with words drawn from ``candidates`` (keys, c: (rank, trg_word)); only drawn words are looked up."""
+    words = chosen.select("id", *dict.fromkeys(["lang", *keys[:-1]]), F.posexplode("tokens").alias("pos", "token"))
+    hit = words.where(draw(seed, "p", F.col("id"), F.col("lang"), F.col("pos")) < int(prob * SPACE)).join(candidates, keys)
     drawn = F.transform("c", lambda x: F.struct(hashed(seed, "c", F.col("id"), F.col("lang"), F.col("pos"), x["rank"]).alias("h"), x["trg_word"].alias("word")))
-    out = w.select("id", "lang", "pos", F.when(hit, F.array_min(drawn).word).otherwise(F.col("token")).alias("token"), hit.cast("int").alias("hit"))
-    out = out.groupBy("id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("l"), F.sum("hit").cast("bigint").alias("replaced"), F.count("*").alias("total"))
-    return out.select("id", "lang", F.col("l.token").alias("tokens"), "replaced", "total")
+    changes = hit.select("id", "lang", "pos", F.array_min(drawn).word.alias("word")).groupBy("id", "lang").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("changes"))
+    # counted before the join, so that queries of counts alone don't move the texts
+    out = chosen.where(F.size("tokens") > 0).select("id", "lang", "tokens", F.size("tokens").cast("bigint").alias("total")).join(changes, ["id", "lang"], "left")
+    tokens = F.transform("tokens", lambda x, i: F.coalesce(F.element_at("changes", i), x))
+    replaced = F.when(F.col("changes").isNull(), 0).otherwise(F.size("changes")).cast("bigint")
+    return out.select("id", "lang", tokens.alias("tokens"), replaced.alias("replaced"), "total")
 
 
 def substitute_multi(rows: DataFrame, entries: DataFrame, targets: list[str], prob: float = 0.15, max_depth: int = 1, copies: int = 1, seed: str = "1") -> DataFrame:
@@ -113,8 +107,7 @@ def substitute_multi(rows: DataFrame, entries: DataFrame, targets: list[str], pr
     rank = F.concat_ws("~", "trg_lang", "trg_word", F.col("_w").cast("string"))
     candidates = weighted.groupBy("src_lang", F.col("src_word").alias("token")).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "trg_word"))).alias("c"))
     numbered = rows.select("id", "src_lang", "tokens", F.explode(F.sequence(F.lit(1), F.lit(copies)).cast("array<string>")).alias("lang"))
-    words = numbered.select("id", "src_lang", "lang", F.posexplode("tokens").alias("pos", "token"))
-    return _replaced(_looked_up(words, candidates, ["src_lang", "token"]), prob, seed)
+    return _replaced(numbered, candidates, ["src_lang", "token"], prob, seed)
 
 
 def augmented(found: DataFrame) -> DataFrame:

@@ -482,15 +482,13 @@ _PSEUDO = f"""{_LINES}, {_TOKENS}, f AS (SELECT lang, token, count(*) AS n FROM
     x AS (SELECT b.lang, a.token AS src_word, b.token AS trg_word, a.rank FROM k a JOIN k b ON a.rank = b.rank AND a.lang = 'en' AND b.lang <> 'en')"""
 
 
-def ranked_words(spark, d, most: int = 500) -> DataFrame:
-    n = lines(spark, d).select("lang", F.explode(tokenizing.tokens(F.col("line"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "token"))).where(F.col("rank") <= most).drop("n")
+def _words_of_languages(spark, d) -> DataFrame:
+    return lines(spark, d).select("lang", F.explode(tokenizing.tokens(F.col("line"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
-def all_ranks(spark, d) -> DataFrame:
+def ranked_words(spark, d) -> DataFrame:
     """(lang, token, rank) of every word by falling count, then word; ranks come from counts of groups of words, so no task holds a language."""
-    words = lines(spark, d).select("lang", F.explode(tokenizing.tokens(F.col("line"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
-    words = words.withColumn("head", F.substring("token", 1, 3))
+    words = _words_of_languages(spark, d).withColumn("head", F.substring("token", 1, 3))
     sizes = words.groupBy("lang", "n", "head").agg(F.count("*").alias("m"))
     before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     upper = sizes.groupBy("lang", "n").agg(F.sum("m").alias("m")).select("lang", "n", before(W.partitionBy("lang").orderBy(F.desc("n"))).alias("upper"))
@@ -503,10 +501,10 @@ def all_ranks(spark, d) -> DataFrame:
 
 def pseudo_lexicon(spark, d) -> DataFrame:
     """(lang, src_word, trg_word, rank): words of equal frequency rank."""
-    k = ranked_words(spark, d)
-    a = k.where("lang = 'en'").select("rank", F.col("token").alias("src_word"))
-    b = k.where("lang <> 'en'").select("rank", "lang", F.col("token").alias("trg_word"))
-    return a.join(b, "rank").select("lang", "src_word", "trg_word", "rank")
+    target = F.when(F.col("lang") != "en", F.struct("lang", F.col("token").alias("trg_word")))
+    alike = ranked_words(spark, d).groupBy("rank").agg(F.max(F.when(F.col("lang") == "en", F.col("token"))).alias("src_word"), F.collect_list(target).alias("targets"))
+    pairs = alike.where("src_word is not null").select("src_word", "rank", F.explode("targets").alias("t"))
+    return pairs.select("t.lang", "src_word", "t.trg_word", "rank")
 
 
 @query("lexicon_cap", f"WITH {_PSEUDO} SELECT lang, src_word, trg_word, rank FROM x WHERE rank <= 101")
@@ -529,9 +527,9 @@ def multi_lexicon_parse(spark, d):
 
 @query("lexicon_unknown_rate", f"WITH {_PSEUDO} SELECT w.lang, round(sum(CASE WHEN y.src_word IS NULL THEN 1 ELSE 0 END) / count(*), 6) AS unknown FROM w LEFT JOIN (SELECT DISTINCT src_word FROM x) y ON w.token = y.src_word WHERE length(w.token) > 0 GROUP BY w.lang")
 def lexicon_unknown_rate(spark, d):
-    words = lines(spark, d).select("lang", F.explode(tokenizing.tokens(F.col("line"))).alias("src_word"))
+    words = _words_of_languages(spark, d).withColumnRenamed("token", "src_word")
     known = pseudo_lexicon(spark, d).select("src_word", F.lit(1).alias("k")).distinct()
-    return words.join(known, "src_word", "left").groupBy("lang").agg(F.round(F.sum(F.when(F.col("k").isNull(), 1).otherwise(0)) / F.count("*"), 6).alias("unknown"))
+    return words.join(known, "src_word", "left").groupBy("lang").agg(F.round(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("unknown"))
 
 
 _EDGES = f"{_PSEUDO}, e AS (SELECT 'en:' || src_word AS a, lang || ':' || trg_word AS b FROM x WHERE rank <= 100), u AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e))"
@@ -539,7 +537,7 @@ _EDGES = f"{_PSEUDO}, e AS (SELECT 'en:' || src_word AS a, lang || ':' || trg_wo
 
 def word_edges(spark, d) -> DataFrame:
     """Words of equal rank in any two languages: the lexicons from English and those between the others."""
-    alike = all_ranks(spark, d).groupBy("rank").agg(F.collect_list(F.concat("lang", F.lit(":"), "token")).alias("words"))
+    alike = ranked_words(spark, d).groupBy("rank").agg(F.collect_list(F.concat("lang", F.lit(":"), "token")).alias("words"))
     return alike.select("words", F.explode("words").alias("a")).select("a", F.explode("words").alias("b")).where("a < b")
 
 

@@ -2,10 +2,13 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 
 from lexiloom.plans import queries
-from lexiloom.plans.queries import QUERIES
+from lexiloom.plans.queries import ORACLE_SQL, QUERIES
+
+CUT = " QUALIFY rank <= 500"
 
 LANGS = {"en": 620, "de": 700, "fr": 550, "es": 40}
 
@@ -44,7 +47,7 @@ def near(ranks):
 
 def test_ranks_of_all_words(spark, folder, ranks):
     assert min(map(len, ranks.values())) < 100 and max(map(len, ranks.values())) > 500
-    got = {(r.lang, r["rank"]): r.token for r in queries.all_ranks(spark, folder).collect()}
+    got = {(r.lang, r["rank"]): r.token for r in queries.ranked_words(spark, folder).collect()}
     assert got == {(lang, i): w for lang, words in ranks.items() for i, w in enumerate(words, 1)}
 
 
@@ -65,3 +68,21 @@ def test_word_graph(spark, folder, near):
     assert {r.id: r.component for r in QUERIES["components"](spark, folder).collect()} == reach
     most = Counter(reach.values())
     assert [tuple(r) for r in QUERIES["component_max"](spark, folder).select("groups", "most").collect()] == [(len(most), max(most.values()))]
+
+
+@pytest.mark.parametrize("name", "lexicon_cap lexicon_group multi_lexicon_parse lexicon_unknown_rate ras_bilingual ras_repeat ras_stats augment_union ras_multi".split())
+def test_lexicons_of_all_words(spark, folder, name):
+    """The registered SQL without its cut of the vocabulary."""
+    sql = ORACLE_SQL[name].replace(CUT, "")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, folder).toPandas(), c.execute(sql).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got)
+    rows = lambda f: sorted(map(repr, f[columns].itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
+def test_lexicon_reaches_rare_words(spark, folder, ranks):
+    pairs = {(r.src_word, r.trg_lang, r.trg_word) for r in QUERIES["multi_lexicon_parse"](spark, folder).collect()}
+    assert pairs == {(a, lang, b) for lang in ("de", "fr", "es") for a, b in zip(ranks["en"], ranks[lang])}
