@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import cotraining, near_duplicates, packing, queries, scratch, suffix_dedup, toxicity, vocabulary
 
-#: Shared passages of over 50 words are longer than this in every language of the corpus.
+#: Bytes from which a repeated passage is cut out; over 50 words are nearly always longer, but 51 words can have as few as 101 bytes.
 PASSAGE_BYTES = 200
 PASSAGE_GRAM = 48
 
