@@ -478,7 +478,7 @@ def glossary_isolate(spark, d):
 # -- lexicons -----------------------------------------------------------------
 
 _PSEUDO = f"""{_LINES}, {_TOKENS}, f AS (SELECT lang, token, count(*) AS n FROM w WHERE length(token) > 0 GROUP BY ALL),
-    k AS (SELECT lang, token, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS INTEGER) AS rank FROM f QUALIFY rank <= 500),
+    k AS (SELECT lang, token, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS INTEGER) AS rank FROM f),
     x AS (SELECT b.lang, a.token AS src_word, b.token AS trg_word, a.rank FROM k a JOIN k b ON a.rank = b.rank AND a.lang = 'en' AND b.lang <> 'en')"""
 
 
@@ -532,7 +532,7 @@ def lexicon_unknown_rate(spark, d):
     return words.join(known, "src_word", "left").groupBy("lang").agg(F.round(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("unknown"))
 
 
-_EDGES = f"{_PSEUDO}, e AS (SELECT 'en:' || src_word AS a, lang || ':' || trg_word AS b FROM x WHERE rank <= 100), u AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e))"
+_EDGES = f"{_PSEUDO}, e AS (SELECT a.lang || ':' || a.token AS a, b.lang || ':' || b.token AS b FROM k a JOIN k b ON a.rank = b.rank AND a.lang < b.lang), u AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e))"
 
 
 def word_edges(spark, d) -> DataFrame:

@@ -8,8 +8,6 @@ import pytest
 from lexiloom.plans import queries
 from lexiloom.plans.queries import ORACLE_SQL, QUERIES
 
-CUT = " QUALIFY rank <= 500"
-
 LANGS = {"en": 620, "de": 700, "fr": 550, "es": 40}
 
 
@@ -72,8 +70,7 @@ def test_word_graph(spark, folder, near):
 
 @pytest.mark.parametrize("name", "lexicon_cap lexicon_group multi_lexicon_parse lexicon_unknown_rate ras_bilingual ras_repeat ras_stats augment_union ras_multi".split())
 def test_lexicons_of_all_words(spark, folder, name):
-    """The registered SQL without its cut of the vocabulary."""
-    sql = ORACLE_SQL[name].replace(CUT, "")
+    sql = ORACLE_SQL[name]
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     got, want = QUERIES[name](spark, folder).toPandas(), c.execute(sql).df()
