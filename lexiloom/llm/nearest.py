@@ -2,14 +2,16 @@
 
 Unit vectors become 64-bit codes: principal directions of a bounded sample,
 turned by the rotation that brings the sample closest to the corners of a cube
-(iterative quantization), and the signs.  A cell cuts the codes into four
-substrings and indexes each.  By the pigeonhole principle a code within
-distance 4(s + 1) - 1 of the query's agrees with it up to s bits in one
-substring at least; probing each index with all substrings at distance 0, 1,
-.. s therefore retrieves every code of that radius.  s grows until ``candidates``
-codes lie within the radius; when a further level would probe more substrings
-than the cell has rows, the distances to all its codes are taken instead.  All
-codes within the radius are then ranked by cosine in double precision.
+(iterative quantization), and the signs.  A cell cuts the codes into m
+substrings, about two bits shorter than the logarithm of its rows, and indexes
+each.  By the pigeonhole principle a code within distance r = s m + a of the
+query's agrees with it up to s bits in one of the substrings 0 .. a at least or
+up to s - 1 bits in one of the others.  So the radius grows by one bit a step:
+step r probes substring r mod m with all values at distance r div m, after
+which every code within r has been retrieved.  It stops at the first radius
+that holds ``SHARE`` of the cell's rows and no fewer than ``candidates``; no
+code is compared that a probe did not retrieve.  All codes within the radius
+are then ranked by cosine in double precision.
 
 See ``vector_cells`` for rows that take no part; zero vectors don't either.
 """
@@ -21,12 +23,13 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from lexiloom.llm import vector_cells
 from lexiloom.llm.vector_cells import best, sampled, search, vectors
 
 BITS = 64
-PARTS = 4
 CANDIDATES = 512
-_PART_BITS = BITS // PARTS
+#: Part of a cell's rows that is reranked, if that is more than ``CANDIDATES``.
+SHARE = 0.1
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +56,14 @@ def codes(v: np.ndarray, mean: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.packbits((x - mean) @ matrix >= 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def flips(distance: int) -> np.ndarray:
-    """All substrings with ``distance`` bits set."""
-    if distance not in _flips:
-        _flips[distance] = np.array([sum(1 << b for b in c) for c in combinations(range(_PART_BITS), distance)], np.int64)
-    return _flips[distance]
+def flips(bits: int, distance: int) -> np.ndarray:
+    """All substrings of ``bits`` bits with ``distance`` bits set."""
+    if (bits, distance) not in _flips:
+        _flips[bits, distance] = np.array([sum(1 << b for b in c) for c in combinations(range(bits), distance)], np.int64)
+    return _flips[bits, distance]
 
 
-_flips: dict[int, np.ndarray] = {}
+_flips: dict[tuple[int, int], np.ndarray] = {}
 
 
 class MultiIndex:
@@ -68,40 +71,47 @@ class MultiIndex:
 
     def __init__(self, code: np.ndarray):
         self.code = code
-        self.tables = []
-        for p in range(PARTS):
-            part = self.part(code, p)
-            counts = np.bincount(part, minlength=1 << _PART_BITS)
-            self.tables.append((np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(counts)])))
+        bits = min(16, max(8, len(code).bit_length() - 2))
+        cuts = np.linspace(0, BITS, -(-BITS // bits) + 1).astype(int).tolist()
+        #: (shift, bits, rows by substring, first row of each substring)
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for low, high in zip(cuts, cuts[1:]):
+            part = self.part(code, low, high - low)
+            counts = np.bincount(part, minlength=1 << (high - low))
+            self.tables.append((low, high - low, np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(counts)])))
 
     @staticmethod
-    def part(code: np.ndarray | np.uint64, p: int):
-        return ((code >> np.uint64(_PART_BITS * p)) & np.uint64((1 << _PART_BITS) - 1)).astype(np.int64)
+    def part(code: np.ndarray | np.uint64, shift: int, bits: int):
+        return ((code >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    def around(self, code: np.uint64, wanted: int) -> np.ndarray:
-        """All rows within the first radius that holds ``wanted`` of them."""
+    def around(self, code: np.uint64, wanted: int) -> tuple[np.ndarray, int]:
+        """All rows within the first radius that holds ``wanted`` of them, and how many rows the probes retrieved."""
         seen = np.zeros(len(self.code), bool)
+        at_distance = np.zeros(BITS + 1, np.int64)
+        found: list[np.ndarray] = []
+        distances: list[np.ndarray] = []
         wanted = min(wanted, len(self.code))
-        for s in range(_PART_BITS + 1):
-            masks = flips(s)
-            if len(masks) * PARTS > len(self.code):
-                break
-            for p, (order, starts) in enumerate(self.tables):
-                probe = int(self.part(code, p)) ^ masks
+        for radius in range(BITS + len(self.tables)):
+            s, p = divmod(radius, len(self.tables))
+            shift, bits, order, starts = self.tables[p]
+            if s <= bits:
+                probe = int(self.part(code, shift, bits)) ^ flips(bits, s)
                 counts = starts[probe + 1] - starts[probe]
                 probe, counts = probe[counts > 0], counts[counts > 0]
-                at = np.repeat(starts[probe] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                seen[order[at]] = True
-            rows = np.flatnonzero(seen)
-            rows = rows[np.bitwise_count(self.code[rows] ^ code) <= PARTS * (s + 1) - 1]
-            if len(rows) >= wanted:
-                return rows
-        distance = np.bitwise_count(self.code ^ code)
-        radius = int(np.argmax(np.cumsum(np.bincount(distance, minlength=BITS + 1)) >= wanted))
-        return np.flatnonzero(distance <= radius)
-
-
-def nearest(table: DataFrame, every: int = 50, top: int = 5, candidates: int = CANDIDATES, column: str = "embedding") -> DataFrame:
+                rows = order[np.repeat(starts[probe] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+                rows = rows[~seen[rows]]
+                seen[rows] = True
+                distance = np.bitwise_count(self.code[rows] ^ code)
+                at_distance += np.bincount(distance, minlength=BITS + 1)
+                found.append(rows)
+                distances.append(distance)
+            if at_distance[: radius + 1].sum() >= wanted:
+                break
+        rows, distance = np.concatenate(found), np.concatenate(distances)
+        return np.sort(rows[distance <= radius]), len(rows)
+
+
+def nearest(table: DataFrame, every: int = 50, top: int = 5, candidates: int = CANDIDATES, share: float = SHARE, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``top`` found neighbours by cosine, ties to smaller vec_id."""
     rows = vectors(table, column, nonzero=True)
     sample = sampled(rows)
@@ -114,7 +124,7 @@ def nearest(table: DataFrame, every: int = 50, top: int = 5, candidates: int = C
         norms = np.sqrt((v * v).sum(1))
         out = ([], [], [])
         for i, own in enumerate(query_ids):
-            rows = index.around(query_codes[i], candidates)
+            rows, _ = index.around(query_codes[i], max(candidates, int(share * len(ids))))
             rows = rows[ids[rows] != own]
             # row-wise sums: equal vectors get equal scores wherever they stand
             score = (v[rows] * q[i]).sum(1) / (norms[rows] * np.sqrt((q[i] * q[i]).sum()))
@@ -123,4 +133,4 @@ def nearest(table: DataFrame, every: int = 50, top: int = 5, candidates: int = C
                 o.append(x)
         return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
-    return search(rows, sample.shape[1], every, top, "double", cell)
+    return search(rows, sample.shape[1], every, top, "double", cell, shard_rows=4 * vector_cells.SHARD_ROWS)

@@ -46,16 +46,17 @@ def sampled(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def search(rows: DataFrame, dimensions: int, every: int, top: int, score_type: str, cell_search: Search) -> DataFrame:
+def search(rows: DataFrame, dimensions: int, every: int, top: int, score_type: str, cell_search: Search, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` best of every vector whose id is divisible by ``every``.
 
     ``cell_search(query ids, queries, ids, vectors)`` returns (query id, id,
     score) rows, at most ``top`` for each query, with its own id left out.
+    ``shard_rows`` replaces ``SHARD_ROWS``.
     """
     rows = rows.where(F.size("v") == dimensions)
     queries = rows.where(F.col("vec_id") % every == 0)
     n = rows.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n // every // QUERY_ROWS))
+    shards, blocks = max(1, -(-n // (shard_rows or SHARD_ROWS))), max(1, -(-n // every // QUERY_ROWS))
     dealt = lambda c, k, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(k))
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     left = queries.select("vec_id", "v", dealt("vec_id", blocks, 1).alias("block"), each(shards).alias("shard")).select((F.col("shard") * blocks + F.col("block")).alias("cell"), F.lit(True).alias("asks"), "vec_id", "v")

@@ -39,11 +39,11 @@ def test_top_products_equal_brute_force(table, monkeypatch):
 
 
 def test_nearest_recall_and_ties(table, monkeypatch):
-    monkeypatch.setattr(vector_cells, "SHARD_ROWS", 300)
+    monkeypatch.setattr(vector_cells, "SHARD_ROWS", 75)
     ids, v = valid(table, False)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     got = {}
-    for r in nearest.nearest(table, candidates=48).collect():
+    for r in nearest.nearest(table, candidates=48, share=0.0).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     assert set(got) == {i for i in ids.tolist() if i % 50 == 0}
     hits = []
@@ -56,15 +56,50 @@ def test_nearest_recall_and_ties(table, monkeypatch):
     assert [got[50][r][0] for r in range(1, 6)] == [1000, 1001, 1002, 1003, 1004]
 
 
-def test_pigeonhole_finds_every_code_in_the_radius():
-    code = rng.integers(0, 1 << 63, 3000, np.uint64)
+@pytest.mark.parametrize("n", [100, 3000, 20_000])
+def test_pigeonhole_finds_every_code_in_the_radius(n):
+    code = rng.integers(0, 1 << 63, n, np.uint64)
     near = code[7] ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64))
     code = np.concatenate([code, near])
     index = nearest.MultiIndex(code)
-    rows = index.around(code[7], 30)
+    assert sum(bits for _, bits, _, _ in index.tables) == 64
     distance = np.bitwise_count(code ^ code[7])
-    radius = distance[rows].max()
-    assert set(np.flatnonzero(distance <= radius)) == set(rows) and len(rows) >= 30
+    for wanted in (1, 30, 90, n + 100):
+        rows, seen = index.around(code[7], wanted)
+        radius = distance[rows].max()
+        assert set(np.flatnonzero(distance <= radius)) == set(rows) and len(rows) >= min(wanted, n + 40) and seen >= len(rows)
+
+
+def test_recall_inside_the_index_on_a_driver_table(spark):
+    """Every search ends at a radius: what it returns is what the probes retrieved, and not the whole table."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    v = np.array([r.embedding for r in rows], float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in queries.op2_multi_index(spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in got:
+        s = u @ u[ids.tolist().index(q)]
+        hits += [ids[k] in got[q] for k in [k for k in np.argsort(-s, kind="stable") if ids[k] != q][:5]]
+    assert len(got) == sum(ids % 50 == 0) and np.mean(hits) >= 0.9
+    mean, matrix = nearest.learn_rotation(v)
+    code = nearest.codes(v, mean, matrix)
+    index = nearest.MultiIndex(code)
+    reached = [index.around(code[i], nearest.CANDIDATES) for i in np.flatnonzero(ids % 50 == 0)]
+    assert np.mean([len(r) < len(ids) for r, _ in reached]) > 0.9
+    assert np.mean([seen for _, seen in reached]) < len(ids)
+
+
+def test_repeated_ids(spark):
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(100)] + [(50, [1.0] * 8), (50, [1.0] * 8), (3, [1.0] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for f in (nearest.nearest, inner_product.top_inner_products):
+        got = f(table).collect()
+        assert all(r.vec_id != r.query_id for r in got)
+        assert max(r["rank"] for r in got) == 5 and 3 in {r.vec_id for r in got if r.query_id == 50}
 
 
 def test_search_of_nothing(table):
