@@ -6,9 +6,10 @@ corpus is dealt out by anchors (see ``passages``), so a window and all its
 repetitions meet in one shard.  A shard's blocks are one sequence of word
 numbers; its Burrows-Wheeler transform is kept as a wavelet matrix of
 bit-packed levels with counted words, about log2(vocabulary) bits a word.  The
-blocks are then streamed: backward search from each position gives its matching
-statistics up to ``width``, and the intervals where they reach ``width`` with a
-second occurrence are reported.
+blocks are then streamed.  Backward search of a whole block that may have a copy
+tells whether it has; for the others, backward search from each position gives
+its matching statistics up to ``width``, and the intervals where they reach
+``width`` with a second occurrence are reported.
 
 Null texts and texts without words are returned with nothing removed.  Columns
 besides doc_id and text are ignored.
@@ -70,8 +71,8 @@ class WaveletMatrix:
         return low - first, high - first
 
 
-def suffix_array(values: np.ndarray) -> np.ndarray:
-    """By prefix doubling; ``values`` are non-negative."""
+def suffix_array(values: np.ndarray, depth: int) -> np.ndarray:
+    """By prefix doubling, ordered by the first ``depth`` symbols at least; ``values`` are non-negative."""
     n = len(values)
     rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
     step = 1
@@ -83,16 +84,16 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
         new = np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
         step *= 2
+        if rank[order[-1]] == n - 1 or step >= min(n, depth):
+            return order
 
 
 class FMIndex:
-    """Backward search over a sequence of symbols 1.., with 0 as separator."""
+    """Backward search over a sequence of symbols 1.., with 0 as separator, for patterns of up to ``depth`` symbols."""
 
-    def __init__(self, values: np.ndarray):
-        order = suffix_array(values)
+    def __init__(self, values: np.ndarray, depth: int):
+        order = suffix_array(values, depth)
         self.symbols = int(values.max(initial=0)) + 1
         self.wavelet = WaveletMatrix(values[order - 1], max(1, int(self.symbols - 1).bit_length()))
         counts = np.bincount(values, minlength=self.symbols)
@@ -104,39 +105,52 @@ class FMIndex:
         a, b = self.wavelet.ranks(symbol, low, high)
         return self.smaller[symbol] + a, self.smaller[symbol] + b
 
-    def repeated(self, values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-        """Which windows of ``values`` (symbols of the index) occur at least twice; searches end as soon as one occurrence is left."""
+    def repeated(self, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        """Which slices of ``values`` (symbols of the index) occur at least twice; searches end as soon as one occurrence is left."""
+        lengths = np.broadcast_to(lengths, starts.shape)
+        out = np.zeros(len(starts), bool)
         alive = np.arange(len(starts))
-        s = values[starts + width - 1]
+        s = values[starts + lengths - 1]
         low, high = self.smaller[s], self.smaller[s] + self.counts[s]
-        for k in range(width - 2, -1, -1):
+        matched = 1
+        while len(alive):
             more = high - low > 1
+            out[alive[more & (lengths[alive] == matched)]] = True
+            more &= lengths[alive] > matched
             alive, low, high = alive[more], low[more], high[more]
-            if not len(alive):
-                break
-            low, high = self.extend(values[starts[alive] + k], low, high)
-        out = np.zeros(len(starts), bool)
-        out[alive[high - low > 1]] = True
+            low, high = self.extend(values[starts[alive] + lengths[alive] - 1 - matched], low, high)
+            matched += 1
         return out
 
 
-def resolve(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, gram: int) -> list[list[tuple[int, int]]]:
-    """For each block the ranges, relative to its anchor, of windows that are there twice."""
+def resolve(contents: list[bytes], anchor: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, gram: int) -> list[list[tuple[int, int]]]:
+    """For each first copy of a block the ranges, relative to its anchor, of windows that another content holds too; none for second copies."""
+    out: list[list[tuple[int, int]]] = [[] for _ in contents]
+    if not contents:
+        return out
     sizes = np.array([len(c) // 8 for c in contents], np.int64)
     words = np.frombuffer(b"".join(contents), np.uint64)
     number = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
     first = np.cumsum(sizes + 1) - (sizes + 1)
     values = np.zeros(len(words) + len(sizes), np.int64)
     values[gather(np.arange(len(values)), first, sizes)] = number
-    single = np.flatnonzero(n == 1)
-    windows = sizes[single] - width + 1
-    owner = np.repeat(single, windows)
+    index = FMIndex(values, int(sizes.max()))
+    head = passages.first_copies(anchor, block)
+    copied = np.flatnonzero(head & ~np.append(head[1:], True))
+    full = np.zeros(len(contents), bool)
+    full[copied] = index.repeated(values, first[copied], sizes[copied])
+    for i in np.flatnonzero(full).tolist():
+        out[i] = [(-int(left[i]), int(right[i]) + width)]
+    open_ = np.flatnonzero(head & ~full)
+    windows = sizes[open_] - width + 1
+    owner = np.repeat(open_, windows)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    hit = FMIndex(values).repeated(values, first[owner] + at, width) if len(owner) else np.zeros(0, bool)
-    out: list[list[tuple[int, int]]] = [[(-int(l), int(r) + width)] if k > 1 else [] for l, r, k in zip(left, right, n)]
+    hit = index.repeated(values, first[owner] + at, width)
     owner, at = owner[hit], at[hit]
-    begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])) if len(owner) else []
-    ends = np.append(begins[1:], len(owner)) - 1 if len(owner) else []
+    if not len(owner):
+        return out
+    begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]))
+    ends = np.append(begins[1:], len(owner)) - 1
     for a, b in zip(begins, ends):
         i = owner[a]
         out[i].append((int(at[a] - left[i]), int(at[b] - left[i]) + width))

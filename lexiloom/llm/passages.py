@@ -10,12 +10,13 @@ and last window).
 
 1. ``anchored`` lists the blocks of every document: one row for about every
    ``width - gram`` / 2 elements.
-2. Equal blocks are counted by a partial aggregate; a block that is there twice
-   has only windows that are there twice.  Anchors with one block in all are
-   done.
-3. Where an anchor has different blocks, each distinct block's content is read
-   once and a *resolver* (suffix sorting or an FM-index) tells which of its
-   windows another block holds too.
+2. Blocks are counted by the hash of their content, with a partial aggregate;
+   anchors with one block in all are done.
+3. Of every other block two places are read again (one, if there is one), and
+   all of an anchor's go to one shard, where a *resolver* (suffix sorting or an
+   FM-index) tells from their content which windows are there twice.  The hash
+   only deals out the work and says which further places hold what a read one
+   holds; without the resolver nothing is removed.
    An anchor with more than ``CROWD`` different blocks isn't gathered in one
    task: its windows are listed and counted by two 64-bit hashes instead.
 4. The covered parts go back to all occurrences, and each document removes them.
@@ -45,6 +46,7 @@ BLOCK = 1 << 20
 SHARD_BLOCKS = 8192
 #: Distinct blocks that one anchor's group may have in one task.
 CROWD = 20_000
+#: (contents, anchors, blocks, left, right, width, gram) to the repeated ranges of each content, relative to its anchor; rows are sorted by anchor and block, of which there are two at most.
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int], list[list[tuple[int, int]]]]
 
 
@@ -121,6 +123,13 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def first_copies(anchor: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The first of equal neighbours."""
+    out = np.ones(len(block), bool)
+    out[1:] = (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])
+    return out
+
+
 def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents with ``row``, table of row and spans): the element ranges to remove, for documents that have any."""
     small_batches(docs.sparkSession)
@@ -132,11 +141,15 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
     key = F.col("block").alias("key")
     item = 1 if kind == "byte" else 8
 
-    def asked_texts(open_: DataFrame) -> DataFrame:
-        """(row, text, asked): a document for each distinct block of ``open_``, with the places asked for in it."""
-        wanted = only_maybe(places, "block", bitmap(open_.select(key))).groupBy("anchor", "block").agg(F.min(F.struct("row", "p", "first", "last")).alias("o"))
-        wanted = materialize(wanted.join(open_, ["anchor", "block"]).select("anchor", "block", "n", "o.*"), "wanted")
-        requests = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "block", "n", "p", "first", "last")).alias("asked"))
+    def asked_texts(open_: DataFrame, both: bool) -> DataFrame:
+        """(row, text, asked): the documents with the first (and if ``both`` the last) place of each block of ``open_``, and what is asked of them."""
+        place = F.struct("row", "p", "first", "last")
+        ends = only_maybe(places, "block", bitmap(open_.select(key))).groupBy("anchor", "block").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+        ends = ends.join(open_, ["anchor", "block"])
+        # two places of one row and position are copies of a whole row
+        wanted = ends.select("anchor", "block", "n", ((F.col("lo") == F.col("hi")) & (F.col("n") > 1)).alias("same"), F.explode(F.array_distinct(F.array("lo", "hi")) if both else F.array("lo")).alias("o"))
+        wanted = materialize(wanted.select("anchor", "block", "n", "same", "o.*"), "wanted")
+        requests = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "block", "n", "same", "p", "first", "last")).alias("asked"))
         return only_maybe(rows.select("row", "text"), "row", bitmap(requests.select(F.col("row").alias("key")))).join(requests, "row")
 
     def each_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, pa.Array], np.ndarray, np.ndarray]]:
@@ -145,14 +158,23 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
             values, off = elements(b.column("text"), kind)
             asked = b.column("asked")
             flat, owner = asked.flatten(), np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy())
-            f = {c: flat.field(c) for c in ("anchor", "block", "n", "p", "first", "last")}
+            f = {c: flat.field(c) for c in ("anchor", "block", "n", "same", "p", "first", "last")}
             yield values, f, off[owner] + f["first"].to_numpy(), off[owner] + f["last"].to_numpy()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: dict[int, int] = {}
         for values, f, first, last in each_asked(batches):
+            keep = np.ones(len(first), bool)
+            # a row that is repeated everywhere: two of its copies in each task will do
+            for i in np.flatnonzero(f["same"].to_numpy(zero_copy_only=False)):
+                block = f["block"][i].as_py()
+                keep[i] = given.setdefault(block, 0) < 2
+                given[block] += 1
+            f = {c: x.filter(pa.array(keep)) for c, x in f.items()}
+            first, last = first[keep], last[keep]
             raw = values.tobytes()
             content = [raw[i * item : j * item] for i, j in zip(first.tolist(), (last + width).tolist())]
-            yield pa.record_batch({"anchor": f["anchor"], "block": f["block"], "n": f["n"], "left": pa.array(f["p"].to_numpy() - f["first"].to_numpy()), "right": pa.array(f["last"].to_numpy() - f["p"].to_numpy()), "content": pa.array(content, pa.binary())})
+            yield pa.record_batch({"anchor": f["anchor"], "block": f["block"], "left": pa.array(f["p"].to_numpy() - f["first"].to_numpy()), "right": pa.array(f["last"].to_numpy() - f["p"].to_numpy()), "content": pa.array(content, pa.binary())})
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values, f, first, last in each_asked(batches):
@@ -164,33 +186,35 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
             place = np.repeat(f["p"].to_numpy() - f["first"].to_numpy() + first, count)
             yield pa.record_batch({"anchor": f["anchor"].take(of), "block": f["block"].take(of), "n": f["n"].take(of), "at": (at - place).astype(np.int32), "w1": one.hash(at, at + width).view(np.int64), "w2": two.hash(at, at + width).view(np.int64)})
 
-    schema = "anchor long, block long, n long, left int, right int, content binary"
-    contents = asked_texts(repeated.where(f"kinds > 1 and kinds <= {crowd}")).mapInArrow(read, schema)
+    contents = asked_texts(repeated.where(f"kinds <= {crowd}"), True).mapInArrow(read, "anchor long, block long, left int, right int, content binary")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sorted_groups(batches, SHARD_BLOCKS):
-            columns = [t.column(c).to_numpy() for c in ("anchor", "n", "left", "right")]
+            anchor, block = t.column("anchor").to_numpy(), t.column("block").to_numpy()
+            third = np.zeros(len(block), bool)
+            third[2:] = (anchor[2:] == anchor[:-2]) & (block[2:] == block[:-2])
+            if third.any():
+                t = t.filter(pa.array(~third))
+            columns = [t.column(c).to_numpy() for c in ("anchor", "block", "left", "right")]
             spans = resolver(t.column("content").to_pylist(), *columns, width, gram)
-            has = [i for i, s in enumerate(spans) if s]
-            kept = t.take(pa.array(has, pa.int64()))
+            head = first_copies(*columns[:2])
+            has = [i for i in np.flatnonzero(head).tolist() if spans[i]]
+            kept = t.select(["anchor", "block"]).take(pa.array(has, pa.int64()))
             yield pa.record_batch({"anchor": kept.column("anchor").combine_chunks(), "block": kept.column("block").combine_chunks(), "cover": pa.array([[{"f": a, "t": b} for a, b in spans[i]] for i in has], _COVER)})
 
     dealt = contents.repartition("anchor").sortWithinPartitions("anchor", "block")
-    partly = dealt.mapInArrow(resolve, "anchor long, block long, cover array<struct<f:int,t:int>>").dropDuplicates(["anchor", "block"])
-    whole = repeated.where("kinds = 1 and n > 1").select("anchor", "block", F.lit(None).cast("array<struct<f:int,t:int>>").alias("cover"))
-    results = partly.unionByName(whole)
+    results = dealt.mapInArrow(resolve, "anchor long, block long, cover array<struct<f:int,t:int>>")
     crowded = repeated.where(f"kinds > {crowd}")
     if not crowded.isEmpty():
-        windows = materialize(asked_texts(crowded).mapInArrow(list_windows, "anchor long, block long, n long, at int, w1 long, w2 long").dropDuplicates(["anchor", "block", "at"]), "windows")
+        windows = materialize(asked_texts(crowded, False).mapInArrow(list_windows, "anchor long, block long, n long, at int, w1 long, w2 long").dropDuplicates(["anchor", "block", "at"]), "windows")
         same = ["anchor", "at", "w1", "w2"]
         twice = windows.groupBy(*same).agg(F.sum("n").alias("n")).where("n > 1").select(*same)
         hits = windows.join(twice, same, "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("at")).alias("at"))
         results = results.unionByName(hits.select("anchor", "block", F.transform("at", lambda x: F.struct(x.alias("f"), (x + width).alias("t"))).alias("cover")))
     results = materialize(results, "covers")
     found = only_maybe(places, "block", bitmap(results.select(key))).join(results, ["anchor", "block"])
-    all_of = F.array(F.struct(F.col("first").alias("f"), (F.col("last") + width).alias("t")))
     moved = F.transform("cover", lambda c: F.struct((F.col("p") + c.f).alias("f"), (F.col("p") + c.t).alias("t")))
-    spans = found.select("row", F.when(F.col("cover").isNull(), all_of).otherwise(moved).alias("spans"))
+    spans = found.select("row", moved.alias("spans"))
     return rows, materialize(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 

@@ -7,7 +7,8 @@ that begin at the anchors are sorted: a multikey quicksort orders them by their
 first ``SHALLOW`` bytes, and each group that still agrees goes into a blind
 trie, which compares every suffix in full only once, with one leaf.  The common
 prefix lengths of neighbours tell how far two blocks agree to the right of the
-anchor; comparing backwards from the anchor tells how far to the left.
+anchor; comparing backwards from the anchor tells how far to the left.  That
+decides all repetitions, those of whole equal blocks too.
 
 Null and empty texts are returned with nothing removed.  Columns besides doc_id
 and text are ignored by the report and kept by ``dedup``.
@@ -171,17 +172,18 @@ def repeated_windows(group: list[int], contents: list[bytes], left: np.ndarray,
     return out
 
 
-def resolve(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, gram: int) -> list[list[tuple[int, int]]]:
-    """For each block the ranges, relative to its anchor, of windows that are there twice.
+def resolve(contents: list[bytes], anchor: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, gram: int) -> list[list[tuple[int, int]]]:
+    """For each content the ranges, relative to its anchor, of windows that another content holds too.
 
     ``left`` and ``right`` are how far the first window starts before the anchor
     and the last one after it (a window holds its anchor, so right <= 0).
+    ``block`` only says which comparisons come first: those with the likely copy.
     """
     suffixes = [c[l:] for c, l in zip(contents, left.tolist())]
     heads = [c[:l][::-1] for c, l in zip(contents, left.tolist())]
     out: list[list[tuple[int, int]]] = [[] for _ in contents]
-    for i in np.flatnonzero(n > 1):
-        out[i] = [(-int(left[i]), int(right[i]) + width)]
+    full = [False] * len(contents)
+    names, least_left, most_right = block.tolist(), left.tolist(), right.tolist()
     order, common = deep_shallow_sort(suffixes)
     start = 0
     for stop in range(1, len(order) + 1):
@@ -190,9 +192,19 @@ def resolve(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, left: np.n
         run, start_, start = order[start:stop], start, stop
         if len(run) < 2:
             continue
+        place: dict[int, int] = {}
+        for y, j in enumerate(run):
+            x = place.setdefault(names[j], y)
+            if x < y:
+                i = run[x]
+                if min(common[start_ + x + 1 : start_ + y + 1]) >= max(len(suffixes[i]), len(suffixes[j])) and heads[i] == heads[j]:
+                    full[i] = full[j] = True
+                    out[i], out[j] = [(-least_left[i], most_right[i] + width)], [(-least_left[j], most_right[j] + width)]
+        if all(full[i] for i in run):
+            continue
         if len(run) > PAIRWISE:
             for i, spans in repeated_windows(run, contents, left, right, width).items():
-                if n[i] == 1:
+                if not full[i]:
                     out[i] = merged(spans)
             continue
         for x in range(len(run)):
@@ -200,14 +212,14 @@ def resolve(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, left: np.n
             for y in range(x + 1, len(run)):
                 agree = min(agree, common[start_ + y])
                 i, j = run[x], run[y]
-                if n[i] > 1 and n[j] > 1:
+                if full[i] and full[j]:
                     continue
                 back = common_prefix(heads[i], heads[j])
                 if back + agree < width:
                     continue
                 for k in (i, j):
-                    if n[k] == 1:
-                        most, least = min(back, int(left[k])), max(width - agree, -int(right[k]))
+                    if not full[k]:
+                        most, least = min(back, least_left[k]), max(width - agree, -most_right[k])
                         if most >= least:
                             out[k].append((-most, -least + width))
     return [merged(s) if len(s) > 1 else s for s in out]

@@ -93,17 +93,37 @@ def test_deep_shallow_sort_and_prefixes():
 
 def test_large_groups_place_by_place():
     contents = [b"L%03d" % i + b"k" * 8 + b"R" * 12 for i in range(40)]
-    left, right, n = np.full(40, 4), np.zeros(40, int), np.ones(40, int)
-    spans = suffix_dedup.resolve(contents, np.zeros(40, int), n, left, right, 20, 8)
+    left, right = np.full(40, 4), np.zeros(40, int)
+    spans = suffix_dedup.resolve(contents, np.zeros(40, int), np.arange(40), left, right, 20, 8)
     assert spans == [[(-1, 20)]] * 40  # four blocks share the digit before the anchor
 
 
 def test_fm_index_counts():
     values = np.array([1, 2, 3, 1, 2, 3, 0, 2, 3, 4, 0])
-    fm = fm_index.FMIndex(values)
+    fm = fm_index.FMIndex(values, 3)
     windows = np.array([0, 1, 3, 7])
     assert fm.repeated(values, windows, 3).tolist() == [True, False, True, False]
     assert fm.repeated(values, np.array([1, 4, 7]), 2).tolist() == [True, True, True]
+    assert fm.repeated(values, np.array([0, 2, 1, 9]), np.array([3, 3, 2, 1])).tolist() == [True, False, True, False]
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, fm_index])
+def test_the_method_decides_equal_blocks(module):
+    """Two contents under one block hash are covered only if they are equal."""
+    item = 1 if module is suffix_dedup else 8
+    own = random.Random(1)
+    text = bytes(own.randrange(256) for _ in range(30 * item))
+    for other, spans in ((text, [(-5, 25)]), (bytes(30 * item), [])):
+        got = module.resolve([text, other], np.array([7, 7]), np.array([9, 9]), np.array([5, 5]), np.array([0, 0]), 25, 4)
+        assert got[0] == ([(-5, 25)] if spans else [])
+
+
+def test_nothing_is_removed_without_the_resolver(docs):
+    from lexiloom.llm import passages
+
+    for kind in ("byte", "word"):
+        _, spans = passages.covered(docs, kind, 12, 4, lambda contents, *_: [[] for _ in contents])
+        assert spans.count() == 0
 
 
 def links(texts, width, percent):
