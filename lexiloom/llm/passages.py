@@ -242,8 +242,9 @@ def removed(texts: pa.Array, spans: pa.Array, kind: str) -> tuple[np.ndarray, np
 
 
 def finish(rows: DataFrame, spans: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``make`` over every document with its spans; documents that surely have none aren't shuffled."""
+    """``make`` over every document with its columns of spans; documents that surely have none aren't shuffled."""
     bits = bitmap(spans.select(F.col("row").alias("key")))
+    names = [c for c in spans.columns if c != "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
@@ -252,7 +253,9 @@ def finish(rows: DataFrame, spans: DataFrame, make: Callable[[pa.RecordBatch], p
     def run_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
             b = b.filter(pa.array(~maybe_in(bits, b.column("row").to_numpy())))
-            yield make(b.append_column("spans", pa.nulls(b.num_rows, pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())])))))
+            for c in names:
+                b = b.append_column(c, pa.nulls(b.num_rows, _COVER))
+            yield make(b)
 
     with_spans = only_maybe(rows, "row", bits).join(spans, "row", "left").drop("row")
     return with_spans.mapInArrow(run, schema).unionByName(rows.mapInArrow(run_plain, schema))

@@ -29,6 +29,9 @@ from lexiloom.llm.bitmaps import bitmap, only_maybe
 
 WIDTH = 400
 GRAM = 64
+#: Width and anchor of the passages that ``report`` only counts.
+PASSAGE = 200
+PASSAGE_GRAM = 48
 SHALLOW = 48
 #: Groups of more blocks compare windows place by place instead of block by block.
 PAIRWISE = 24
@@ -229,24 +232,32 @@ def _spans(docs: DataFrame, width: int, gram: int, crowd: int = passages.CROWD)
     return passages.covered(docs, "byte", width, gram, resolve, crowd)
 
 
-def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = passages.CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the hash of what is left, for every row."""
+def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = passages.CROWD, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the hash of what is left, for every row.
+
+    ``n_passage_bytes`` also counts the bytes that a string of only ``passage``
+    bytes covers which starts anywhere else; nothing is removed by it.  A
+    passage of 50 words is often shorter than ``width``.
+    """
     rows, spans = _spans(docs, width, gram, crowd)
+    _, more = _spans(docs, passage, passage_gram, crowd)
+    spans = more.withColumnRenamed("spans", "more").join(spans, "row", "full")
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off, mask = passages.removed(b.column("text"), b.column("spans"), "byte")
+        _, _, covered = passages.removed(b.column("text"), b.column("more"), "byte")
         edge = np.concatenate([[0], mask.view(np.int8)])
         begins = np.diff(edge) > 0
         begins[off[:-1][off[:-1] < len(mask)]] = mask[off[:-1][off[:-1] < len(mask)]]
-        gone, starts = np.concatenate([[0], np.cumsum(mask)]), np.concatenate([[0], np.cumsum(begins)])
+        gone, starts, again = (np.concatenate([[0], np.cumsum(x)]) for x in (mask, begins, covered))
         kept, kept_off = data[~mask].tobytes(), off - gone[off]
         hashes = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(kept_off.tolist(), kept_off[1:].tolist())]
-        return pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": np.diff(off), "n_removed": np.diff(gone[off]), "n_spans": np.diff(starts[off]), "kept_sha256": hashes})
+        return pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": np.diff(off), "n_removed": np.diff(gone[off]), "n_spans": np.diff(starts[off]), "kept_sha256": hashes, "n_passage_bytes": np.diff(again[off])})
 
-    return passages.finish(rows, spans, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return passages.finish(rows, spans, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, width: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text`` (bytes that no longer form a character go too); all columns kept."""
     _, spans = _spans(docs, width, gram)
     names, schema = docs.columns, docs.schema

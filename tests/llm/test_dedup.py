@@ -52,10 +52,10 @@ def covered(sequences, width):
 def test_suffix_dedup_equals_brute_force(docs, width, gram, crowd):
     source = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     want = Counter()
-    for (doc, s), mask in zip(source, covered([s for _, s in source], width)):
+    for (doc, s), mask, more in zip(source, covered([s for _, s in source], width), covered([s for _, s in source], 40)):
         kept = bytes(b for b, m in zip(s, mask) if not m)
-        want[doc, len(s), sum(mask), len(re.findall("1+", "".join("01"[m] for m in mask))), hashlib.sha256(kept).hexdigest()] += 1
-    got = Counter(tuple(r) for r in suffix_dedup.report(docs, width, gram, crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+        want[doc, len(s), sum(mask), len(re.findall("1+", "".join("01"[m] for m in mask))), hashlib.sha256(kept).hexdigest(), sum(more)] += 1
+    got = Counter(tuple(r) for r in suffix_dedup.report(docs, width, gram, crowd, 40, 8).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes").collect())
     assert got == want
 
 
