@@ -134,6 +134,11 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
     """(documents with ``row``, table of row and spans): the element ranges to remove, for documents that have any."""
     small_batches(docs.sparkSession)
     rows = with_row(docs)
+    return rows, repeated_spans(rows, kind, width, gram, resolver, crowd)
+
+
+def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD) -> DataFrame:
+    """(row, spans) of those of ``rows`` (row, text as string or binary) that have any; rows of equal ``row`` have equal texts."""
     places = materialize(anchored(rows, kind, width, gram), "places")
     counted = places.groupBy("anchor", "block").agg(F.count("*").alias("n"))
     by_anchor = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
@@ -215,7 +220,7 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
     found = only_maybe(places, "block", bitmap(results.select(key))).join(results, ["anchor", "block"])
     moved = F.transform("cover", lambda c: F.struct((F.col("p") + c.f).alias("f"), (F.col("p") + c.t).alias("t")))
     spans = found.select("row", moved.alias("spans"))
-    return rows, materialize(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    return materialize(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 _COVER = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))

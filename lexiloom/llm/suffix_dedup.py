@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import passages
 from lexiloom.llm.bitmaps import bitmap, only_maybe
+from lexiloom.llm.rolling import mixed
+from lexiloom.llm.scratch import materialize
 
 WIDTH = 400
 GRAM = 64
@@ -232,16 +234,50 @@ def _spans(docs: DataFrame, width: int, gram: int, crowd: int = passages.CROWD)
     return passages.covered(docs, "byte", width, gram, resolve, crowd)
 
 
+def _within(rows: DataFrame, spans: DataFrame, width: int, gram: int, crowd: int) -> DataFrame:
+    """The spans of repeated strings of ``width`` bytes, looked for only where ``spans`` of shorter ones cover as many bytes on end.
+
+    A string that starts anywhere else has no piece that doesn't, so nothing is
+    missed, and both of its places are looked at.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in passages.blocks(batches, "text", passages.BLOCK):
+            data, off, mask = passages.removed(b.column("text"), b.column("spans"), "byte")
+            begins, ends = mask.copy(), mask.copy()
+            inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(mask))]
+            begins[1:] &= ~mask[:-1]
+            ends[:-1] &= ~mask[1:]
+            begins[inner], ends[inner - 1] = mask[inner], mask[inner - 1]
+            first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            first, last = first[last - first >= width], last[last - first >= width]
+            owner = np.searchsorted(off, first, side="right") - 1
+            start = first - off[owner]
+            row = b.column("row").to_numpy()[owner]
+            piece = mixed(row.view(np.uint64) ^ mixed(start.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+            yield pa.record_batch({"piece": piece.view(np.int64), "row": row, "start": start.astype(np.int32), "text": pa.array([data[i:j].tobytes() for i, j in zip(first, last)], pa.binary())})
+
+    bits = bitmap(spans.select(F.col("row").alias("key")))
+    some = only_maybe(rows.select("row", "text"), "row", bits).join(spans, "row")
+    pieces = materialize(some.mapInArrow(cut, "piece long, row long, start int, text binary"), "pieces")
+    found = passages.repeated_spans(pieces.select(F.col("piece").alias("row"), "text"), "byte", width, gram, resolve, crowd)
+    places = pieces.select("piece", F.col("row").alias("of"), "start").distinct()
+    moved = F.transform("spans", lambda x: F.struct((F.col("start") + x.f).alias("f"), (F.col("start") + x.t).alias("t")))
+    back = places.join(found.withColumnRenamed("row", "piece"), "piece").select(F.col("of").alias("row"), moved.alias("spans"))
+    return back.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = passages.CROWD, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is left, for every row.
 
-    ``n_passage_bytes`` also counts the bytes that a string of only ``passage``
-    bytes covers which starts anywhere else; nothing is removed by it.  A
-    passage of 50 words is often shorter than ``width``.
+    ``n_passage_bytes`` counts the bytes that a string of only ``passage`` bytes
+    covers which starts anywhere else; nothing is removed by it.  A passage of
+    50 words is often shorter than ``width``.
     """
-    rows, spans = _spans(docs, width, gram, crowd)
-    _, more = _spans(docs, passage, passage_gram, crowd)
-    spans = more.withColumnRenamed("spans", "more").join(spans, "row", "full")
+    if passage > width:
+        raise ValueError("passage is at most width")
+    rows, more = _spans(docs, passage, passage_gram, crowd)
+    spans = more.withColumnRenamed("spans", "more").join(_within(rows, more, width, gram, crowd), "row", "left")
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off, mask = passages.removed(b.column("text"), b.column("spans"), "byte")
