@@ -15,10 +15,14 @@ A shard file holds, little-endian throughout::
 The hash is built level by level: at each level the keys that are left are
 thrown into twice as many bits, those alone in a bit keep it, the others go to
 the next level.  A key's hash value is the number of set bits before its own,
-so n keys take exactly the values 0 to n - 1, and a lookup reads a few words,
-one slot and the ids.  The stored fingerprint rejects keys that the shard does
-not hold.  A key is a doc_id with the ordinal of its repetition (0 for the
-first row of a doc_id) and a flag for a null id.
+so n keys take exactly the values 0 to n - 1.  The stored fingerprint rejects
+keys that the shard does not hold.  A key is a doc_id with the ordinal of its
+repetition (0 for the first row of a doc_id) and a flag for a null id.
+
+The manifest has a row for each shard with its range of doc_ids, which leads
+from a key to its shard.  ``lookup`` then reads the header, two words a level up
+to the key's own (less than two levels on average), one slot and the ids, each
+at its offset: a number of bytes that doesn't depend on the shard's size.
 
 Shards are written to a temporary name and renamed, so a task that is run again
 or twice leaves whole files only.
@@ -46,7 +50,8 @@ SHARD_BYTES = 64 << 20
 BLOCK = 5 << 20
 SLOT = np.dtype([("first", "<u8"), ("count", "<u4"), ("print", "<u4")])
 KEY = np.dtype([("doc_id", "<i8"), ("ordinal", "<u4"), ("null", "<u4")])
-MANIFEST = "task long, shard long, path string, documents long, ids long"
+MANIFEST = "task long, shard long, path string, documents long, ids long, first_doc long, last_doc long, nulls long"
+HEAD_BYTES = 8 + 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -132,7 +137,7 @@ class Shard:
         if raw[:8] != MAGIC:
             raise ValueError("not a keyed shard")
         n, total, width, levels, words = (int(x) for x in np.frombuffer(raw, "<u8", 8, 8)[:5])
-        at = 8 + 64
+        at = HEAD_BYTES
 
         def take(kind: str | np.dtype, count: int) -> np.ndarray:
             nonlocal at
@@ -155,10 +160,50 @@ class Shard:
         count[hit] = self.slots["count"][at[hit]]
         return first, count
 
-    def get(self, doc_id: int, ordinal: int = 0) -> np.ndarray | None:
+
+class KeyedFile:
+    """A shard file asked for single keys: every read is at an offset, and ``bytes_read`` adds them up."""
+
+    def __init__(self, uri: str):
+        fs, path = file_system(uri)
+        self.file, self.bytes_read = fs.open_input_file(path), 0
+        head = self._read(0, HEAD_BYTES)
+        if head[:8] != MAGIC:
+            raise ValueError("not a keyed shard")
+        n, _, self.width, levels, words = (int(x) for x in np.frombuffer(head, "<u8", 8, 8)[:5])
+        self.levels = np.frombuffer(self._read(HEAD_BYTES, 16 * levels), "<u8").reshape(levels, 2).tolist()
+        self.bitmap_at = HEAD_BYTES + 16 * levels
+        self.ranks_at = self.bitmap_at + 8 * words
+        self.slots_at = self.ranks_at + 8 * words
+        self.ids_at = self.slots_at + (SLOT.itemsize + KEY.itemsize) * n
+
+    def __enter__(self) -> "KeyedFile":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+    def _read(self, at: int, count: int) -> bytes:
+        self.file.seek(at)
+        self.bytes_read += count
+        return self.file.read(count)
+
+    def get(self, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
         """The ids of one document, or None."""
-        first, count = self.find(np.array([(doc_id, ordinal, 0)], KEY))
-        return None if first[0] < 0 else self.ids[first[0] : first[0] + count[0]].astype(np.uint32)
+        h = key_hash(np.array([(doc_id or 0, ordinal, doc_id is None)], KEY))
+        for level, (bits, first) in enumerate(self.levels):
+            at = int(PerfectHash._place(h, level, bits)[0])
+            word = first + (at >> 6)
+            value = int.from_bytes(self._read(self.bitmap_at + 8 * word, 8), "little")
+            if value >> (at & 63) & 1:
+                before = int.from_bytes(self._read(self.ranks_at + 8 * word, 8), "little")
+                place = before + (value & ((1 << (at & 63)) - 1)).bit_count()
+                slot = np.frombuffer(self._read(self.slots_at + SLOT.itemsize * place, SLOT.itemsize), SLOT)[0]
+                if slot["print"] != fingerprint(h)[0]:
+                    return None
+                raw = self._read(self.ids_at + self.width * int(slot["first"]), self.width * int(slot["count"]))
+                return np.frombuffer(raw, f"<u{self.width}").astype(np.uint32)
+        return None
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -199,7 +244,9 @@ def write_store(docs: DataFrame, spec: str, end_id: int, keeps_blanks: bool = Fa
                 f.write(shard_bytes(keys, ids, counts, width))
             fs.move(temp, f"{base}/{name}")
             shard += 1
-            return pa.record_batch({"task": pa.array([task.partitionId()], pa.int64()), "shard": pa.array([shard - 1], pa.int64()), "path": [f"{folder}/{name}"], "documents": pa.array([len(keys)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
+            known = keys["doc_id"][keys["null"] == 0]
+            row = [task.partitionId(), shard - 1, f"{folder}/{name}", len(keys), len(ids), int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None, len(keys) - len(known)]
+            return pa.record_batch([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in row], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
         for b in blocks(batches, "text", BLOCK):
             ids, off = enc.encode(b.column("text"))
@@ -240,7 +287,23 @@ def read_store(manifest: DataFrame) -> DataFrame:
     return starts.repartition(int(n), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(shard_path: str, doc_ids: list[int]) -> list[np.ndarray | None]:
-    """Ids of single documents of one shard, read by key on the driver."""
-    shard = read_shard(shard_path)
-    return [shard.get(d) for d in doc_ids]
+def lookup(manifest: DataFrame, doc_ids: list[int | None], ordinal: int = 0) -> list[np.ndarray | None]:
+    """Ids of single documents, read by key on the driver; None for keys that the store does not hold.
+
+    Only the manifest's rows whose range holds an asked doc_id come to the
+    driver: one for each, or a few if its repetitions fill several shards.
+    """
+    known = sorted({d for d in doc_ids if d is not None})
+    inside = F.exists(F.array(*map(F.lit, known)), lambda d: d.between(F.col("first_doc"), F.col("last_doc"))) if known else F.lit(False)
+    shards = manifest.where(inside | F.lit(None in doc_ids) & (F.col("nulls") > 0)).orderBy("task", "shard").collect()
+    out: list[np.ndarray | None] = []
+    for d in doc_ids:
+        found = None
+        for s in shards:
+            if s.nulls > 0 if d is None else s.first_doc is not None and s.first_doc <= d <= s.last_doc:
+                with KeyedFile(s.path) as f:
+                    found = f.get(d, ordinal)
+                if found is not None:
+                    break
+        out.append(found)
+    return out

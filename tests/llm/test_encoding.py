@@ -75,9 +75,34 @@ def test_store_round_trip(spark, docs):
     assert [r.n_tokens for r in rows] == [len(w) for w in want]
     assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
     assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()
-    first = manifest.orderBy("task", "shard").collect()[-1]
-    found = keyed_store.lookup(first.path, [11, 10**12])
-    assert found[0].tolist() == want[-1] and found[1] is None
+    found = keyed_store.lookup(manifest, [11, 10**12, None, 3])
+    assert found[0].tolist() == want[-1] and found[1] is None and found[2].tolist() == want[0]
+    repeats = [w for r, w in zip(source, want) if r.doc_id == 3]
+    assert [keyed_store.lookup(manifest, [3], k)[0].tolist() for k in (0, 1)] == repeats and keyed_store.lookup(manifest, [3], 2) == [None]
+
+
+def test_keyed_access_reads_few_bytes(spark, monkeypatch):
+    """One key costs the same in a small and a large shard; many shards are told apart by their range."""
+    spec = vocabulary.read_vocabulary(queries.tokenizer_path("word_bpe_49k.json"))
+    docs = spark.range(20_000).selectExpr("id * 3 as doc_id", "concat('word ', id, ' again') as text")
+    read = []
+    for rows in (300, 20_000):
+        manifest = keyed_store.write_store(docs.where(f"doc_id < {3 * rows}").coalesce(1), spec, end_id=2)
+        paths = {r.path: r for r in manifest.collect()}
+        for d in (3, 297, 300, 889):
+            path = next(p for p, r in paths.items() if r.first_doc <= d <= r.last_doc)
+            with keyed_store.KeyedFile(path) as f:
+                got = f.get(d)
+                assert (got is None) == (d % 3 != 0)
+                read.append(f.bytes_read)
+    assert max(read) < 1500
+    monkeypatch.setattr(keyed_store, "SHARD_BYTES", 1 << 10)
+    monkeypatch.setattr(keyed_store, "BLOCK", 1 << 12)
+    manifest = keyed_store.write_store(docs.limit(3000), spec, end_id=2)
+    assert manifest.count() > 8
+    whole_ = keyed_store.read_store(manifest).where("doc_id = 4500").first()
+    got = keyed_store.lookup(manifest, [4500])[0]
+    assert len(got) == whole_.n_tokens and zlib.crc32(got.astype("<u4").tobytes()) == whole_.ids_crc32
 
 
 def test_empty_store(spark, docs):
