@@ -1,18 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds the hashes of its word shingles.  Equal sets are one
-class from the start, represented by its smallest doc_id.  ``COORDINATES``
-minwise hashes describe each class.  In each of ``TREES`` independent trees a
+class from the start, represented by one row, which a hash of its doc_id and
+text names.  ``COORDINATES`` minwise hashes describe each class.  In each of ``TREES`` independent trees a
 node picks one or two coordinates (1 / threshold on average), and every class in
 the node goes on to the child of each picked coordinate and of its own minwise
 token there, so that a pair as similar as the threshold meets in one child on
 average.  After ``DEPTH`` levels the nodes are compared exhaustively on
 256-bit sketches and set sizes; a node of more than ``NODE_ROWS`` classes first compares the
 classes that resemble its first ones with all others and sends the rest one
-level down.  With 16 trees a pair just at a similarity of 0.8 is missed with a
-probability of about one in a million if its coordinates are independent and it
-meets at ``DEPTH``; where it goes down in every tree, with 3e-5 at depth 6, 2e-4
-at 8 and 2e-3 at ``LAST_DEPTH``.
+level down, where nodes pick more coordinates, so that pairs which go down in
+every tree aren't lost.  With 16 trees a pair just at a similarity of 0.8 is
+missed with a probability of about one in a million if its coordinates are
+independent and it meets at ``DEPTH``, and where it goes down in every tree with
+1e-5 at depth 6, 3e-5 at 8 and 7e-5 at ``LAST_DEPTH``.
 
 Two documents are linked by their full sets.  The join first confirms, in each
 node, the pair of each class with its first look-alike; components of those
@@ -23,8 +24,9 @@ node that both are in and on sets of 32-bit hashes, and confirms those that pass
 
 Null texts and texts without words have an empty set, are linked with nothing
 and stand for themselves.  Repeated rows are returned each; rows with a null
-doc_id get a null component and are kept.  Columns besides doc_id and text are
-ignored.
+doc_id get a null component and are kept.  Rows that share a doc_id but not a
+text are documents of their own, each with its own set and links.  Columns
+besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -98,12 +100,12 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view("<u8")
 
 
-def children(node: np.ndarray, signature: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(child nodes, rows): each node goes on by its first coordinate, and by a second one in 1 / threshold - 1 of the nodes."""
+def children(node: np.ndarray, signature: np.ndarray, row: np.ndarray, often: float) -> tuple[np.ndarray, np.ndarray]:
+    """(child nodes, rows): each node goes on by its first coordinate, and ``often`` (a share of the nodes) by a second one."""
     pick = mixed(node ^ np.uint64(0xD1B54A32D192ED03))
     first = (pick % np.uint64(COORDINATES)).astype(np.int64)
     second = (first + 1 + ((pick >> np.uint64(8)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    two = (pick >> np.uint64(32)).astype(np.float64) / 2**32 < 1 / threshold - 1
+    two = (pick >> np.uint64(32)).astype(np.float64) / 2**32 < often
     out = [mixed(node * np.uint64(_GOLD) + first.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D) + signature[row, first])]
     n2, s2, r2 = node[two], second[two], row[two]
     out.append(mixed(n2 * np.uint64(_GOLD) + s2.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D) + signature[r2, s2]))
@@ -227,8 +229,8 @@ def _look(t: pa.Table, threshold: float) -> Look:
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set (null if empty) and the minwise signature of every row."""
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, sketch binary"
+    """row (a hash of doc_id and text), doc_id, n_shingles, two hashes of the whole set (null if empty) and the minwise signature of every row."""
+    schema = "row long, doc_id long, n_shingles long, h1 long, h2 long, signature binary, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
@@ -243,12 +245,18 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
                 low = minwise(h, inner)
                 signature[some] = [row.tobytes() for row in low[:, :COORDINATES]]
                 sketch[some] = [row.tobytes() for row in sketches(low)]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": n, "h1": pa.array(h1, mask=~some), "h2": pa.array(h2, mask=~some), "signature": pa.array(signature, pa.binary()), "sketch": pa.array(sketch, pa.binary())})
+            yield pa.record_batch({"row": b.column("row"), "doc_id": b.column("doc_id"), "n_shingles": n, "h1": pa.array(h1, mask=~some), "h2": pa.array(h2, mask=~some), "signature": pa.array(signature, pa.binary()), "sketch": pa.array(sketch, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return with_row(docs).mapInArrow(run, schema)
 
 
-def _expand(classes: DataFrame, threshold: float, levels: int) -> DataFrame:
+def with_row(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): ``row`` is a hash of the other two."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+
+def _expand(classes: DataFrame, often: float, levels: int) -> DataFrame:
     """Nodes of each class ``levels`` further down; rows with a node go on from it, the others start in every tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +272,7 @@ def _expand(classes: DataFrame, threshold: float, levels: int) -> DataFrame:
                     node = mixed(np.arange(1, TREES + 1).astype(np.uint64) * np.uint64(_GOLD))
                     node, row = np.tile(node, len(rep)), np.repeat(np.arange(len(rep)), TREES)
                 for _ in range(levels):
-                    node, row = children(node, signature, row, threshold)
+                    node, row = children(node, signature, row, often)
                 yield pa.record_batch({"key": node.view(np.int64), "rep": rep[row], "size": size[row]} | {c: sketch[row, k] for k, c in enumerate(SKETCH)})
 
     return classes.mapInArrow(run, "key long, rep long, size int, s1 long, s2 long, s3 long, s4 long")
@@ -290,14 +298,15 @@ def look_alikes(classes: DataFrame, threshold: float) -> DataFrame:
 
     schema = "key long, rep long, first long, down boolean, size int, s1 long, s2 long, s3 long, s4 long"
     found = []
-    rows = _expand(classes, threshold, DEPTH)
+    often = 1 / threshold - 1
+    rows = _expand(classes, often, DEPTH)
     for depth in range(DEPTH, LAST_DEPTH + 1):
         level = materialize(_in_nodes(rows).mapInArrow(compare(depth < LAST_DEPTH), schema), "nodes")
         found.append(level.where("first is not null").drop("down"))
         deeper = level.where("down").select("key", "rep")
         if deeper.isEmpty():
             break
-        rows = _expand(deeper.join(classes, "rep").select("key", "rep", "size", "signature", "sketch"), threshold, 1)
+        rows = _expand(deeper.join(classes, "rep").select("key", "rep", "size", "signature", "sketch"), min(1.0, 2 * often), 1)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -305,19 +314,19 @@ def look_alikes(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ``ids``; others surely not in it skip the shuffle."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return only_maybe(texts, "doc_id", bitmap(ids.select(F.xxhash64("doc_id").alias("key"))), hashed=True).join(ids, "doc_id", "left_semi")
+    """(row, text) of the rows in ``ids``; others surely not in it skip the shuffle."""
+    texts = with_row(docs).where("doc_id is not null").select("row", "text")
+    return only_maybe(texts, "row", bitmap(ids.select(F.col("row").alias("key")))).join(ids, "row", "left_semi")
 
 
 def short_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(rep, short): the sorted shingle hashes of each document, cut to 32 bits."""
+    """(rep, short): the sorted shingle hashes of each row in ``ids``, cut to 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
             h, off = shingle_sets(b.column("text"), width)
             h = (h >> np.uint64(32)).astype("<u4")
-            yield pa.record_batch({"rep": b.column("doc_id"), "short": pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(off, off[1:])], pa.binary())})
+            yield pa.record_batch({"rep": b.column("row"), "short": pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(off, off[1:])], pa.binary())})
 
     return _texts_of(ids, docs).mapInArrow(run, "rep long, short binary").dropDuplicates(["rep"])
 
@@ -361,12 +370,12 @@ class ShortSets:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as ``threshold`` (per cent of the union, in whole numbers)."""
     percent = round(threshold * 100)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
             h, off = shingle_sets(b.column("text"), width)
-            yield pa.record_batch({"id": b.column("doc_id"), "set": pa.array([h[i:j].tobytes() for i, j in zip(off, off[1:])], pa.binary())})
+            yield pa.record_batch({"id": b.column("row"), "set": pa.array([h[i:j].tobytes() for i, j in zip(off, off[1:])], pa.binary())})
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -410,7 +419,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float, cel
     # a pair is reported only in the smallest of the nodes in which both are
     several = materialize(marked.join(split, "key", "left_semi"), "several")
     paths = several.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("paths"))
-    short = short_sets(paths.select(F.col("rep").alias("doc_id")), docs, width)
+    short = short_sets(paths.select(F.col("rep").alias("row")), docs, width)
     # a node of many rows becomes a grid: each row goes to the cells of its part with every part
     sizes = several.groupBy("key").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("pieces"))
     cells = several.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
@@ -448,34 +457,48 @@ def lowest_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def _decided(docs: DataFrame, width: int, threshold: float, cell_rows: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and part (the same for linked rows) for every row of ``docs``."""
     small_batches(docs.sparkSession)
     sets = materialize(set_table(docs, width), "signatures")
     some = sets.where("h1 is not null and doc_id is not null")
-    classes = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes")
-    # one representative can stand for two classes if a doc_id is repeated with another text; each keeps its node rows
+    first = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    classes = materialize(first.select("h1", "h2", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("low"), "size", "signature", "sketch"), "classes")
     label = links(classes.select("rep", "size", "signature", "sketch"), docs, width, threshold, cell_rows)
-    named = classes.select("h1", "h2", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = named.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    linked = materialize(classes.select("rep", "low").join(label.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep"), "linked")
+    lowest = linked.groupBy("part").agg(F.min("low").alias("component"))
+    named = classes.select("h1", "h2", "rep", "low").join(linked.select("rep", "part").join(lowest, "part"), "rep", "left")
+    named = named.select("h1", "h2", F.coalesce("component", "low").alias("component"), F.coalesce("part", "rep").alias("part"))
+    out = sets.select("row", "doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    return out.select("row", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("part", "row").alias("part"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    out = _decided(docs, width, threshold, cell_rows).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those that resemble a document of smaller doc_id, all columns kept.
+    """One row of each group of documents that resemble each other, that of the smallest doc_id; all columns kept.
 
-    Rows that repeat a doc_id and its text stay once; rows without a doc_id stay.
+    Rows that repeat a doc_id and its text stay once, and so do linked rows of
+    one doc_id; its rows that are linked with nothing stay.  Rows without a
+    doc_id stay.
     """
-    gone = near_duplicates(docs, width, threshold).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    known = materialize(_decided(docs, width, threshold, CELL_ROWS).where("doc_id is not null").select("row", "part", (F.col("doc_id") == F.col("component_id")).alias("lowest")), "known")
+    lowest = known.where("lowest").select("row", "part")
+    twice = lowest.groupBy("part").agg(F.min("row").alias("one"), F.max("row").alias("last")).where("one <> last")
+    gone = known.where("not lowest").select("row").unionByName(lowest.join(twice, "part").where("row <> one").select("row")).distinct()
     gone = materialize(gone, "gone")
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    bits = bitmap(gone.select(F.xxhash64("_id").alias("key")))
-    asked = only_maybe(named, "_id", bits, hashed=True).join(gone, "_id", "left_anti")
-    left = only_maybe(named, "_id", bits, inside=False, hashed=True).unionByName(asked)
-    again = named.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 and _id is not null").select("_id")
-    again = materialize(again, "again")
+    again = materialize(lowest.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "again")
+    names = docs.columns
+    row = F.when(F.col("doc_id").cast("long").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), row.alias("row"))
+    free = named.where("row is null")
+    named = named.where("row is not null")
+    bits = bitmap(gone.select(F.col("row").alias("key")))
+    left = only_maybe(named, "row", bits, inside=False).unionByName(only_maybe(named, "row", bits).join(gone, "row", "left_anti").select(named.columns))
     if not again.isEmpty():
-        left = left.join(again, "_id", "left_anti").unionByName(left.join(again, "_id", "left_semi").dropDuplicates(["_id", "text"]))
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+        left = left.join(again, "row", "left_anti").unionByName(left.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return left.select(free.columns).unionByName(free).drop("row").toDF(*names)

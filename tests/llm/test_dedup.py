@@ -162,6 +162,23 @@ def test_one_of_each_keeps_first_and_columns(docs):
     assert sum(r.doc_id is None for r in out.collect()) == 2
 
 
+def test_one_of_each_leaves_own_columns_alone(spark):
+    base = prose(40)
+    rows = [(1, base, 77, "a", None, 5), (2, base, 88, "b", None, 6), (3, prose(40), 99, "c", None, 7), (3, prose(40), 99, "d", None, 8), (3, base, 11, "e", None, 9), (None, base, 12, "f", None, 1), (4, None, 13, "g", None, 2), (4, "", 13, "h", None, 3), (5, base, 1, "i", None, 4), (6, prose(30), 1, "j", None, 4), (6, rows_six := prose(30), 1, "k", None, 4), (6, rows_six, 1, "k", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _id long, _key string, row string, c0 long")
+    out = near_duplicates.one_of_each(docs, 2, 0.8)
+    assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted((r.doc_id or 0, r._key, r._id, r.c0) for r in out.collect()) == sorted((r[0] or 0, r[3], r[2], r[5]) for r in rows[:1] + rows[2:4] + rows[5:8] + rows[9:11])
+
+
+def test_doc_id_with_two_texts(spark):
+    """Each text of a doc_id has its own set and links."""
+    a, b = prose(40), prose(40)
+    rows = [(1, a), (7, a), (7, b), (9, b + " x"), (9, prose(40))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 0.8).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (7, 1, False), (7, 7, True), (9, 7, False), (9, 9, True)]
+
+
 def test_oversize_nodes_go_down():
     rng = np.random.default_rng(1)
     n = 3000
