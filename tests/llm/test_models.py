@@ -68,14 +68,14 @@ def test_models_without_labels(data):
     docs, labels = data
     rows = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()
     assert {r.predicted for r in rows} == {0}
-    assert {r.score for r in cotraining.score(docs, cotraining.fit(docs, labels.limit(0))).collect()} == {1.0}
+    assert {r.score for r in cotraining.fit_and_score(docs, labels.limit(0)).collect()} == {1.0}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).collect() == []
-    assert cotraining.score(docs.limit(0), cotraining.fit(docs.limit(0), labels)).collect() == []
+    assert cotraining.fit_and_score(docs.limit(0), labels).collect() == []
 
 
 def test_cotraining_on_held_out_rows(data):
     docs, labels = data
-    rows = cotraining.score(docs, cotraining.fit(docs, labels)).collect()
+    rows = cotraining.fit_and_score(docs, labels).collect()
     assert len(rows) == docs.count()
     known = [r for r in rows if r.doc_id is not None and r.doc_id < 9000 and held_out(r.doc_id)]
     assert np.mean([r.kept == (r.doc_id % 5 != 0) for r in known]) > 0.95
@@ -87,8 +87,32 @@ def test_views_teach_each_other():
     y = (rng.random(1200) < 0.6).astype(float)
     text = (y * 2 - 1)[:, None] * 1.5 + rng.normal(0, 1, (1200, 3))
     meta = (y * 2 - 1)[:, None] * 1.5 + rng.normal(0, 1, (1200, 3))
-    labelled = np.arange(1200) < 80
-    m = cotraining.cotrain(text, meta, y, labelled)
-    a, b, both = m.scores(text[600:], meta[600:])
+    x, m = text[80:600], meta[80:600]
+
+    def surest(models, wanted):
+        return [(view, float(label), x[rows], m[rows]) for view, label, rows, _ in cotraining.surest_rows(models, wanted, x, m)]
+
+    model = cotraining.cotrain(text[:80], meta[:80], y[:80], surest)
+    a, b, both = model.scores(text[600:], meta[600:])
     right = lambda s: ((s > 0.5) == (y[600:] > 0.5)).mean()
     assert right(both) > 0.95 and right(both) >= max(right(a), right(b)) - 0.02
+
+
+def test_views_see_different_columns():
+    import pyarrow as pa
+
+    short, long = pa.array(["a bc. a bc."]), pa.array(["a bc. a bc. " * 50])
+    x, y = cotraining.text_features(short)[0], cotraining.text_features(long)[0]
+    assert np.abs(x - y)[cotraining.SHAPES :].max() < 1e-6  # not told how long a text is
+    other = cotraining.text_features(pa.array(["b bc. b bc."]))[0]
+    assert (other != x)[cotraining.SHAPES :].any()  # but which words it has
+    codes = cotraining.meta_codes(pa.array(["s", None]), pa.array(["en", "en"]), pa.array([5, None]))
+    assert codes[0, 0] != codes[1, 0] and codes[0, 1] == codes[1, 1] and codes[1, 2] == cotraining.META_BUCKETS + cotraining.STEPS - 1
+
+
+def test_very_long_texts(spark):
+    rows = [(i, ("vilex " if i % 2 else "mild ") * 300_000, "en", "s", 1_800_000) for i in range(4)] + [(10 + i, "few words " + ("vilex" if i % 2 else "mild"), "en", "s", 20) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], 1 - r[0] % 2, r[0] % 2) for r in rows], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r.predicted == r.doc_id % 2) == [r[0] for r in rows]
+    assert cotraining.fit_and_score(docs, labels).count() == len(rows)
