@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from lexiloom.functions.rules import Rule, apply
 
 _DOT = "\ue000"
 _CUT = "\ue001"
+#: Brackets around the number of a protected piece.
+_OPEN, _CLOSE = "\ue002", "\ue003"
 
 # Rule groups of the rule-based tokenizer, in order.
 WHITESPACE: list[Rule] = [("regex", r"(?U)\s+", " "), ("regex", r"[\x00-\x1f]", "")]
@@ -80,40 +84,66 @@ def apostrophes(column: Column, lang: str) -> Column:
     return apply(column, APOSTROPHES_RIGHT if lang in RIGHT_LANGUAGES else APOSTROPHES_LEFT if lang in LEFT_LANGUAGES else APOSTROPHES_ALONE)
 
 
+def bound(column: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(column)`` where ``column`` is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(column), f), F.lit(0))
+
+
 def final_stops(column: Column, prefixes: dict[str, int]) -> Column:
     """Stops at word ends split off, unless the word is an abbreviation or the next word goes on in lower case."""
-    words = F.split(column, " ")
     table = F.create_map(*(F.lit(x) for kv in sorted(prefixes.items()) for x in kv)) if prefixes else None
 
-    def word(w: Column, i: Column) -> Column:
+    def word(w: Column, after: Column) -> Column:
         stem = F.substring(w, F.lit(1), F.length(w) - 1)
-        after = F.coalesce(F.get(words, i + 1), F.lit(""))
         kind = F.coalesce(F.element_at(table, stem), F.lit(0)) if prefixes else F.lit(0)
         acronym = stem.contains(".") & stem.rlike(r"\p{L}")
         keep = acronym | (kind == 1) | after.rlike(r"^\p{Ll}") | ((kind == 2) & after.rlike("^[0-9]"))
-        return F.when(w.rlike(r"^\S+\.$") & ~keep, F.concat(stem, F.lit(" ."))).otherwise(w)
+        return F.when(w.endswith(".") & w.rlike(r"^\S+\.$") & ~keep, F.concat(stem, F.lit(" ."))).otherwise(w)
+
+    def joined(words: Column) -> Column:
+        following = F.concat(F.slice(words, F.lit(2), F.size(words)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(words, following, word), " ")
+
+    return bound(F.split(column, " "), joined)
 
-    return F.array_join(F.transform(words, word), " ")
+
+def _with_protected(text: Column, patterns: list[str], f: Callable[[Column], Column]) -> Column:
+    """``f(text)`` with every match of the regular expressions replaced by a numbered mark before and put back after."""
+
+    def marked(i: Column) -> Column:
+        return F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))
+
+    def run(t: Column) -> Column:
+        matches = F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in patterns))
+        found = F.transform(matches, lambda m, i: F.struct(i.alias("i"), m.alias("m")))
+        hidden = F.aggregate(found, t, lambda done, x: F.replace(done, x["m"], F.concat(F.lit(" "), marked(x["i"]), F.lit(" "))))
+        return F.aggregate(found, f(hidden), lambda done, x: F.replace(done, marked(x["i"]), x["m"]))
+
+    return bound(text, run)
 
 
 def tokenize(column: Column, lang: str, aggressive: bool = True, escape: bool = False, prefixes: dict[str, int] | None = None, protected: list[str] | None = None, skip_markup: bool = False) -> Column:
     """The rule-based tokenizer for one language; blank lines stay as they are.
 
-    ``protected`` literals are kept whole; with ``skip_markup`` so are lines
-    that are one tag.
+    What matches one of the regular expressions in ``protected`` is kept whole;
+    with ``skip_markup`` so are lines that are one tag.  ``prefixes``: see
+    ``sources.corpus.nonbreaking_prefixes``.
     """
+    specials = SPECIALS_COLON if lang in COLON_LANGUAGES else SPECIALS
+    if protected:
+        specials = [(kind, pattern.replace(r"\s.", rf"\s{_OPEN}{_CLOSE}."), to) for kind, pattern, to in specials]
+
+    def rules(text: Column) -> Column:
+        text = apply(text, EDGES + specials)
+        if aggressive:
+            text = hyphens_split(text)
+        text = apply(dots_masked(text), COMMAS)
+        text = apply(apostrophes(text, lang), EDGES)
+        text = final_stops(text, PREFIXES.get(lang, PREFIXES["en"]) if prefixes is None else prefixes)
+        return F.regexp_replace(apply(text, EDGES), r"\.' ?$", " . ' ")
+
     text = apply(F.concat(F.lit(" "), column, F.lit(" ")), WHITESPACE)
-    for i, p in enumerate(protected or []):
-        text = F.replace(text, F.lit(p), F.lit(f" THISISPROTECTED{i:03d} "))
-    text = apply(text, EDGES + (SPECIALS_COLON if lang in COLON_LANGUAGES else SPECIALS))
-    if aggressive:
-        text = hyphens_split(text)
-    text = apply(dots_masked(text), COMMAS)
-    text = apply(apostrophes(text, lang), EDGES)
-    text = final_stops(text, PREFIXES.get(lang, PREFIXES["en"]) if prefixes is None else prefixes)
-    text = F.regexp_replace(apply(text, EDGES), r"\.' ?$", " . ' ")
-    for i, p in enumerate(protected or []):
-        text = F.replace(text, F.lit(f"THISISPROTECTED{i:03d}"), F.lit(p))
+    text = _with_protected(text, protected, rules) if protected else rules(text)
     text = apply(dots_restored(text), EDGES)
     whole = column.rlike(r"^\s*$")
     if skip_markup:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tokenizing import has_cjk, length_ratio, tagged, tokens
+from lexiloom.operators import sampling
+from lexiloom.operators.evaluation import ranked_hypotheses
+from lexiloom.sources.corpus import settled
 
 
 def distinct_pairs(rows: DataFrame, src: str = "src", trg: str = "trg") -> DataFrame:
@@ -37,13 +40,42 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.select("id", tagged(F.col("src_lang"), F.col("src")).alias("src"), tagged(F.col("trg_lang"), F.col("trg")).alias("trg"))
 
 
+def in_directions(rows: DataFrame, directions: list[str], ratios: dict[str, float] | None = None, seed: str = "1") -> DataFrame:
+    """Rows of pairs turned into the wanted ``directions`` ("en2de"), each resampled by its ratio: (id, src_lang, trg_lang, src, trg).
+
+    A pair serves both of its directions.  A ratio below 1 keeps floor(n *
+    ratio) rows; one above repeats all rows int(ratio) times and samples the rest.
+    """
+    name = F.concat_ws("2", "src_lang", "trg_lang")
+    out = both_directions(rows).where(name.isin(directions))
+    if not ratios:
+        return out
+    asked = name.isin(list(ratios))
+    ranks = sampling.ranked(out.where(asked), F.col("id"), seed, ["src_lang", "trg_lang"])
+    table = F.create_map(*(F.lit(x) for kv in ratios.items() for x in (kv[0], float(kv[1]))))
+    ratio = F.element_at(table, F.concat_ws("2", "row.src_lang", "row.trg_lang"))
+    copies = F.floor(ratio) + F.when(F.col("rank") <= F.floor(F.col("total") * F.round(ratio - F.floor(ratio), 12)), 1).otherwise(0)
+    return out.where(~asked).unionByName(sampling.repeated(ranks, copies).drop("copy"))
+
+
 def write_sides(rows: DataFrame, folder: str, order: str, names: tuple[str, str] = ("src", "trg")) -> None:
-    """Two line files with one order."""
-    one = rows.orderBy(order).coalesce(1)
+    """Two folders of line files with one order: the n-th part of each holds the same rows, parts follow by name."""
+    one = settled(rows.select(F.col(order).alias("o"), "src", "trg").orderBy("o"))
     for column, name in zip(("src", "trg"), names):
         one.select(F.col(column).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
 
 
+def write_languages(rows: DataFrame, folder: str) -> None:
+    """(lang, text) as line files, a subfolder lang=.. for each language."""
+    rows.select("lang", F.col("text").alias("value")).write.mode("overwrite").partitionBy("lang").text(folder)
+
+
+def write_hypotheses(log: DataFrame, references: DataFrame, folder: str, rank: int = 0) -> None:
+    """Files hyp and ref of a decoder log (line_type, id, text and ``at``, its order) and (id, ref), a line an id that has both, by id."""
+    hyp = ranked_hypotheses(log, "at", rank).select("id", F.col("text").alias("src"))
+    write_sides(hyp.join(references.select("id", F.col("ref").alias("trg")), "id"), folder, "id", ("hyp", "ref"))
+
+
 def with_eos(ids: Column, eos: int, longest: int) -> Column:
     """At most ``longest`` ids, the last one ``eos``."""
     bare = F.when(F.element_at(ids, -1) == eos, F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(ids)

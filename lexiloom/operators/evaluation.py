@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,54 +104,64 @@ def masked_mean(states: Column, mask: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.get(x["v"], i)) / n))
 
 
+def pooled(states: DataFrame, keys: list[str], vec: str, mask: Column) -> DataFrame:
+    """(keys, pos, value): the mean of the vectors whose ``mask`` isn't 0, added up where they lie; groups without one have no row."""
+    return states.where(mask != 0).select(*keys, F.posexplode(vec).alias("pos", "value")).groupBy(*keys, "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
+
+
 def nearest(sources: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
-    """(src_id, trg_id, similarity, rank): exact cosine top-k.
+    """(src_id, trg_id, similarity, rank): exact cosine top-k of (id, vec) among (id, vec)."""
+    one = F.lit("").alias("lang")
+    return nearest_in_pairs(sources.select(one, "id", "vec"), targets.select(one, "id", "vec"), k, lambda a, b: True).drop("src_lang", "trg_lang")
+
+
+def nearest_in_pairs(sources: DataFrame, targets: DataFrame, k: int, wanted: Callable[[str, str], bool]) -> DataFrame:
+    """(src_lang, trg_lang, src_id, trg_id, similarity, rank): exact cosine top-k of (lang, id, vec) for all ``wanted`` pairs of languages in one plan.
 
-    Both sides are dealt into blocks; each pair of blocks is one product of
-    matrices in Arrow, which returns k rows for each source, and the blocks'
-    best are ranked again.
+    Both sides of a pair are dealt into blocks; each pair of blocks is one
+    product of matrices in Arrow, which returns k rows for each source, and the
+    blocks' best are ranked again.  Only the languages' counts come to the driver.
     """
-    sides = []
-    for rows, name in ((sources, "s"), (targets, "t")):
-        n = rows.count()
-        blocks = max(1, -(-n // BLOCK_ROWS))
-        sides.append((rows, name, blocks))
-    (s, _, sb), (t, _, tb) = sides
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cuts = []
+    for rows in (sources, targets):
+        cuts.append({r.lang: max(1, -(-r.n // BLOCK_ROWS)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()})
+    grid = [(a, b, cuts[0][a], cuts[1][b]) for a in sorted(cuts[0]) for b in sorted(cuts[1]) if wanted(a, b)]
+    pairs = F.broadcast(sources.sparkSession.createDataFrame(grid, "src_lang string, trg_lang string, sb int, tb int"))  # a row a pair of languages
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     v = F.col("vec").cast("array<double>").alias("vec")
-    left = s.select("id", v, F.pmod(F.xxhash64("id"), F.lit(sb)).cast("int").alias("i"), every(tb).alias("j"), F.lit(True).alias("asks"))
-    right = t.select("id", v, every(sb).alias("i"), F.pmod(F.xxhash64("id"), F.lit(tb)).cast("int").alias("j"), F.lit(False).alias("asks"))
+    left = sources.withColumnRenamed("lang", "src_lang").join(pairs, "src_lang").select("src_lang", "trg_lang", "id", v, own("sb").alias("i"), every("tb").alias("j"), F.lit(True).alias("asks"))
+    right = targets.withColumnRenamed("lang", "trg_lang").join(pairs, "trg_lang").select("src_lang", "trg_lang", "id", v, every("sb").alias("i"), own("tb").alias("j"), F.lit(False).alias("asks"))
+    out = pa.schema([("src_lang", pa.string()), ("trg_lang", pa.string()), ("src_id", pa.int64()), ("trg_id", pa.int64()), ("similarity", pa.float64())])
 
     def cell(data: pa.Table) -> pa.Table:
         asks = np.asarray(data.column("asks").to_numpy(zero_copy_only=False), bool)
         ids = data.column("id").to_numpy()
-        x = np.array(data.column("vec").to_pylist(), float)
-        out = pa.schema([("src_id", pa.int64()), ("trg_id", pa.int64()), ("similarity", pa.float64())])
         if not asks.any() or asks.all():
             return out.empty_table()
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        flat = data.column("vec").combine_chunks()
+        x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         sim = x[asks] @ x[~asks].T
         a, b = ids[asks], ids[~asks]
         order = np.stack([np.lexsort((b, -np.round(row, 9)))[:k] for row in sim])
-        return pa.table([np.repeat(a, order.shape[1]), b[order.ravel()], np.take_along_axis(sim, order, 1).ravel()], schema=out)
+        n = order.size
+        names = [pa.array([data.column(c)[0].as_py()] * n, pa.string()) for c in ("src_lang", "trg_lang")]
+        return pa.table([*names, np.repeat(a, order.shape[1]), b[order.ravel()], np.take_along_axis(sim, order, 1).ravel()], schema=out)
 
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(cell, "src_id long, trg_id long, similarity double")
-    w = W.partitionBy("src_id").orderBy(F.desc(F.round("similarity", 9)), "trg_id")
+    found = left.unionByName(right).groupBy("src_lang", "trg_lang", "i", "j").applyInArrow(cell, "src_lang string, trg_lang string, src_id long, trg_id long, similarity double")
+    w = W.partitionBy("src_lang", "trg_lang", "src_id").orderBy(F.desc(F.round("similarity", 9)), "trg_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def retrieval_matrix(rows: DataFrame, languages: list[str]) -> DataFrame:
     """(src_lang, trg_lang, top1, top5) for all ordered pairs of ``languages``; ``rows`` is (lang, id, vec), equal ids match."""
-    out = None
-    for a in languages:
-        for b in languages:
-            if a == b:
-                continue
-            side = lambda l: rows.where(F.col("lang") == l).select("id", "vec")
-            found = retrieval_accuracy(nearest(side(a), side(b), 5), side(b).count(), F.col("src_id") == F.col("trg_id"))
-            part = found.select(F.lit(a).alias("src_lang"), F.lit(b).alias("trg_lang"), "top1", "top5")
-            out = part if out is None else out.unionByName(part)
-    return out
+    rows = rows.where(F.col("lang").isin(languages))
+    found = nearest_in_pairs(rows, rows, 5, lambda a, b: a != b)
+    sizes = rows.groupBy(F.col("lang").alias("trg_lang")).agg(F.count("*").alias("n"))
+    hit = lambda n: F.sum(F.when((F.col("src_id") == F.col("trg_id")) & (F.col("rank") <= n), 1).otherwise(0))
+    hits = found.groupBy("src_lang", "trg_lang").agg(hit(1).alias("one"), hit(5).alias("five")).join(F.broadcast(sizes), "trg_lang")  # a row a language
+    return hits.select("src_lang", "trg_lang", F.round(F.col("one") / F.col("n"), 6).alias("top1"), F.round(F.col("five") / F.col("n"), 6).alias("top5"))
 
 
 def retrieval_accuracy(found: DataFrame, targets: int, match: Column) -> DataFrame:
@@ -176,41 +186,64 @@ def top_averages(scores: DataFrame, parameters: DataFrame, testset: str, sizes:
     return parameters.join(F.broadcast(chosen), "ckpt").groupBy("k", "param", "pos").agg(F.avg(F.col("value").cast("float").cast("double")).alias("value"))
 
 
-def placed(rows: DataFrame, column: str, entities: list[tuple[str, str, str]], share: float = 0.9) -> DataFrame:
-    """Entity placeholders: ``entities`` are (surface, mapped, type).
+def placed(rows: DataFrame, column: str, entities: list[tuple[str, str, str]], words: list[str] | None = None, share: float = 0.9) -> DataFrame:
+    """Entity placeholders: ``entities`` are (surface, mapped, type), type "PN" if empty.
 
-    Surfaces are found in lower case, longer ones first where they overlap; the
-    k-th entity of a type in a row becomes <--plhd-TYPE-k/>, unless entities
-    make up more than ``share`` of the text.
+    Surfaces are found in lower case, anywhere in the text.  Of matches that
+    overlap the one that begins first stays, of those that begin together the
+    longest.  The k-th entity of a type in a row becomes <--plhd-TYPE-k/>, where
+    its text first stands.  With ``words``, an entity counts only if its text is
+    in that list, behind the first ``share`` of it.  ``text`` and ``entities``
+    (the mapped texts in order) replace ``column``.
     """
-    import re
-
-    table = {a.lower(): (b, t) for a, b, t in entities}
-    pattern = "|".join(re.escape(a) for a in sorted(table, key=lambda a: (-len(a), a)))
+    table = {a.lower(): (b, t or "PN") for a, b, t in entities if a}
+    late = None if words is None else {w for i, w in reversed(list(enumerate(words))) if words.index(w) == i and i / len(words) > share}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern) if pattern else None
+        find = _finder(sorted(table))
         for b in batches:
             texts, used = [], []
             for text in b.column(column).to_pylist():
-                text = text or ""
-                spans = [m for m in find.finditer(text.lower())] if find and len(text.lower()) == len(text) else []
-                if sum(m.end() - m.start() for m in spans) > share * len(text):
-                    spans = []
+                text = original = text or ""
                 counts: dict[str, int] = {}
-                parts, at, mapped = [], 0, []
-                for m in spans:
-                    target, kind = table[m.group()]
-                    k = counts.get(kind, 0)
-                    counts[kind] = k + 1
-                    parts += [text[at : m.start()], f"<--plhd-{kind}-{k}/>"]
+                mapped = []
+                for begin, end, key in _spans(find(text.lower())):
+                    surface = original[begin:end]
+                    if late is not None and surface not in late:
+                        continue
+                    target, kind = table[key]
+                    counts[kind] = counts.get(kind, -1) + 1
+                    text = text.replace(surface, f"<--plhd-{kind}-{counts[kind]}/>", 1) if surface else text
                     mapped.append(target)
-                    at = m.end()
-                texts.append("".join(parts) + text[at:])
+                texts.append(text)
                 used.append(mapped)
             keep = {c: b.column(c) for c in others}
             yield pa.record_batch(keep | {"text": pa.array(texts, pa.string()), "entities": pa.array(used, pa.list_(pa.string()))})
 
     others = [c for c in rows.columns if c not in (column, "text", "entities")]
-    schema = ", ".join(f"{c} {t}" for c, t in rows.select(*others).dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*others).dtypes)
     return rows.mapInArrow(run, f"{schema + ', ' if schema else ''}text string, entities array<string>")
+
+
+def _finder(keys: list[str]) -> Callable[[str], list[tuple[int, int, str]]]:
+    """All places (begin, end, key) of ``keys`` in a text by end, longer ones first; by an automaton where the library is there."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: sorted(((i, i + len(k), k) for k in keys for i in range(len(text)) if text.startswith(k, i)), key=lambda x: (x[1], x[0]))
+    automaton = ahocorasick.Automaton()
+    for k in keys:
+        automaton.add_word(k, k)
+    automaton.make_automaton()
+    return lambda text: sorted(((end + 1 - len(k), end + 1, k) for end, k in automaton.iter(text)), key=lambda x: (x[1], x[0])) if keys else []
+
+
+def _spans(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Matches in order of their ends; a later one that begins no later than the last kept takes its place."""
+    kept: list[tuple[int, int, str]] = []
+    for m in found:
+        if kept and m[0] <= kept[-1][0]:
+            kept[-1] = m
+        elif not kept or m[0] >= kept[-1][1]:
+            kept.append(m)
+    return kept

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.sources.corpus import draw, hashed
+from lexiloom.sources.corpus import draw, hashed, settled
 
 SPACE = 16**7
 
@@ -23,13 +23,16 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(src, dst, depth): the words within ``depth`` steps of each word, with the fewest steps."""
-    step = undirected(edges)
+    """(src, dst, depth): the words within ``depth`` steps of each word, with the fewest steps.
+
+    The edges and each depth are settled, so that no depth computes the earlier ones again.
+    """
+    step = settled(undirected(edges))
     known = step.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("depth"))
     frontier = known
     for d in range(2, depth + 1):
         reached = frontier.join(step, frontier.dst == step.a).where(F.col("src") != F.col("b")).select("src", F.col("b").alias("dst")).distinct()
-        frontier = reached.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = settled(reached.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         known = known.unionByName(frontier)
     return known
 
@@ -42,21 +45,17 @@ def adjacency_lines(found: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest word reachable from each, by contraction rounds.
-
-    Rounds are checkpointed where the session has a checkpoint folder, else cached.
-    """
-    checkpoint = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    left = undirected(edges).select("a", "b").where("a < b")
+    """(id, component): the smallest word reachable from each, by contraction rounds, each of which is settled."""
+    left = settled(undirected(edges).select("a", "b").where("a < b"))
     rounds = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hops = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to"))
-        hops = hops.checkpoint() if checkpoint else hops.cache()
+        hops = settled(hops)
         rounds.append(hops)
         ta, tb = hops.select(F.col("id").alias("a"), F.col("to").alias("ta")), hops.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         left = left.join(ta, "a").join(tb, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        left = left.checkpoint() if checkpoint else left.cache()
+        left = settled(left)
     if not rounds:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = rounds[-1].select("id", F.col("to").alias("component"))

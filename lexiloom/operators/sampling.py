@@ -12,55 +12,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.sources.corpus import hashed
+from lexiloom.sources.corpus import hashed, settled
 
-RANGES = 256
+#: Hexadecimal digits of the hash that name its range: 65,536 ranges of each group.
+DIGITS = 4
 
 
 def ranked(rows: DataFrame, key: Column, seed: str, by: list[str] | None = None) -> DataFrame:
-    """``rows`` with _rank (from 1, by hash) and _total in each group, without a task that holds a group."""
-    by = by or []
-    h = hashed(seed, key)
-    rows = rows.withColumn("_h", h).withColumn("_range", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
-    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by).orderBy("_range") if by else W.orderBy("_range")
+    """(row, rank, total): ``rows`` as a struct, from 1 by hash in each group, and the group's size, without a task that holds a group."""
+    groups = {f"g{i}": F.col(f"`{c}`") for i, c in enumerate(by or [])}
+    inner = rows.select(F.struct("*").alias("row"), hashed(seed, key).alias("h"), key.alias("k"), *(c.alias(n) for n, c in groups.items()))
+    return _numbered(inner.withColumn("part", F.substring("h", 1, DIGITS)), list(groups), "part", ["h", "k"]).select("row", "rank", "total")
+
+
+def _numbered(rows: DataFrame, by: list[str], part: str, order: list[str]) -> DataFrame:
+    """``rows`` with rank and total in each group of ``by``, ordered by (part, order): ranks within a part, and the parts' counts added up."""
+    counts = rows.groupBy(*by, part).agg(F.count("*").alias("n"))
+    w = W.partitionBy(*by).orderBy(part) if by else W.orderBy(part)
     all_ = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    bases = counts.withColumn("_base", F.sum("_n").over(w) - F.col("_n")).withColumn("_total", F.sum("_n").over(all_)).drop("_n")
-    within = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_h", key))
-    out = rows.withColumn("_within", within).join(bases, [*by, "_range"])
-    return out.withColumn("_rank", F.col("_within") + F.col("_base")).drop("_h", "_range", "_within", "_base")
+    bases = counts.select(*by, part, (F.sum("n").over(w) - F.col("n")).alias("base"), F.sum("n").over(all_).alias("total"))
+    within = F.row_number().over(W.partitionBy(*by, part).orderBy(*order))
+    return rows.withColumn("rank", within).join(bases, [*by, part]).withColumn("rank", F.col("rank") + F.col("base")).drop("base")
 
 
 def down_sample(rows: DataFrame, key: Column, ratio: float, seed: str = "1", by: list[str] | None = None) -> DataFrame:
     """floor(n * ratio) rows of each group, without replacement."""
-    return ranked(rows, key, seed, by).where(F.col("_rank") <= F.floor(F.col("_total") * F.lit(ratio))).drop("_rank", "_total")
+    return ranked(rows, key, seed, by).where(F.col("rank") <= F.floor(F.col("total") * F.lit(ratio))).select("row.*")
 
 
 def up_sample(rows: DataFrame, key: Column, ratio: float, seed: str = "1", by: list[str] | None = None) -> DataFrame:
-    """Each row int(ratio) times and floor(n * fraction) rows once more; ``copy`` counts from 1."""
+    """Each row int(ratio) times and floor(n * fraction) rows once more; ``copy`` counts from 1 and replaces a column of that name."""
     whole = int(ratio)
-    copies = F.lit(whole) + F.when(F.col("_rank") <= F.floor(F.col("_total") * F.lit(round(ratio - whole, 12))), 1).otherwise(0)
-    out = ranked(rows, key, seed, by).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)) if whole else F.explode(F.filter(F.array(F.when(copies > 0, 1)), lambda x: x.isNotNull())))
-    return out.drop("_rank", "_total")
+    copies = F.lit(whole) + F.when(F.col("rank") <= F.floor(F.col("total") * F.lit(round(ratio - whole, 12))), 1).otherwise(0)
+    return repeated(ranked(rows, key, seed, by), copies)
+
+
+def repeated(ranks: DataFrame, copies: Column) -> DataFrame:
+    """The rows of ``ranked``, each ``copies`` times; ``copy`` counts from 1."""
+    names = [c for c in ranks.schema["row"].dataType.names if c != "copy"]
+    copy = F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy")
+    return ranks.where(copies > 0).select(*(F.col(f"row.`{c}`") for c in names), copy)
 
 
 def balance(rows: DataFrame, key: Column, group: str, seed: str = "1") -> DataFrame:
     """Every group repeated up to the size of the largest: whole copies and a sample for the rest."""
-    most = rows.groupBy(group).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_most"))
+    most = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
     out = ranked(rows, key, seed, [group]).join(F.broadcast(most))  # one row
-    copies = F.floor(F.col("_most") / F.col("_total")) + F.when(F.col("_rank") <= F.col("_most") % F.col("_total"), 1).otherwise(0)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_rank", "_total", "_most")
+    copies = F.floor(F.col("most") / F.col("total")) + F.when(F.col("rank") <= F.col("most") % F.col("total"), 1).otherwise(0)
+    return repeated(out, copies)
 
 
 def shuffled(rows: DataFrame, key: Column, seed: str = "1") -> DataFrame:
-    """Rows with their place in a reproducible permutation."""
-    return ranked(rows, key, seed).withColumn("place", F.col("_rank").cast("bigint")).drop("_rank", "_total")
+    """Rows with their place in a reproducible permutation; ``place`` replaces a column of that name."""
+    names = [c for c in rows.columns if c != "place"]
+    return ranked(rows, key, seed).select(*(F.col(f"row.`{c}`") for c in names), F.col("rank").cast("bigint").alias("place"))
 
 
 def head_fraction(rows: DataFrame, order: str, percent: float) -> DataFrame:
-    """The first ``percent`` of the rows by ``order``."""
-    n = rows.count()
-    return rows.orderBy(order).limit(int(n * percent / 100))
+    """The first ``percent`` of the rows by ``order``; ranges of the order are counted, so no task holds more than its own."""
+    ranges = settled(rows.repartitionByRange(order).select(F.struct("*").alias("row"), F.col(order).alias("k"), F.spark_partition_id().alias("part")))
+    return _numbered(ranges, [], "part", ["k"]).where(F.col("rank") <= F.floor(F.col("total") * F.lit(percent) / 100)).select("row.*")
+
+
+def ranked_by(rows: DataFrame, order: str, key: str, width: int = 4096) -> DataFrame:
+    """(row, rank, total) by (order, key), where ``key`` is a whole number: parts are a value of ``order`` and ``width`` values of the key."""
+    inner = rows.select(F.struct("*").alias("row"), F.col(order).alias("o"), F.col(key).alias("k")).withColumn("bucket", F.floor(F.col("k") / width))
+    values = inner.groupBy("o").agg(F.count("*").alias("n"))
+    before = values.select("o", F.coalesce(F.sum("n").over(W.orderBy("o").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("all"))
+    return _numbered(inner, ["o"], "bucket", ["k"]).join(before, "o").select("row", (F.col("rank") + F.col("before")).alias("rank"), F.col("all").alias("total"))
 
 
 def shard(rows: DataFrame, key: Column, shards: int, epoch: int) -> DataFrame:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tokenizing import tokens
 
 END = "</w>"
+#: Words that learning takes to the driver.
+MOST_WORDS = 20_000_000
 
 
 def word_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -62,53 +65,102 @@ def pair_counts(vocab: DataFrame) -> DataFrame:
     return pairs.select("left", F.get("s", F.col("i") + 1).alias("right"), "freq").groupBy("left", "right").agg(F.sum("freq").alias("freq"))
 
 
-def learn_merges(vocab: DataFrame, operations: int, least: int = 2) -> list[tuple[str, str]]:
+def learn_merges(vocab: DataFrame, operations: int, least: int = 2, least_freq: int = 1, most_words: int = MOST_WORDS) -> list[tuple[str, str]]:
     """Byte-pair merges from word counts, most frequent pair first, ties to the greatest pair.
 
-    Only the aggregated word table comes to the driver; the loop keeps pair
-    counts in a heap with lazily discarded entries and an index from pairs to
-    words, so each merge costs what it changes.
+    Only the aggregated word table comes to the driver, and only if it has at
+    most ``most_words`` words, some 200 bytes each; a larger corpus is learned
+    from the words of ``least_freq`` or more occurrences.
     """
-    table = vocab.where("length(token) > 0").toArrow().to_pylist()
-    words = [[*r["token"][:-1], r["token"][-1] + END] for r in table]
-    freqs = [r["freq"] for r in table]
-    counts: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, (w, f) in enumerate(zip(words, freqs)):
-        for pair in zip(w, w[1:]):
-            counts[pair] += f
-            where[pair].add(i)
-    heap = [(-c, _descending(p), p) for p, c in counts.items()]
-    heapq.heapify(heap)
-    out: list[tuple[str, str]] = []
-    while heap and len(out) < operations:
-        c, _, pair = heapq.heappop(heap)
-        if counts.get(pair, 0) != -c:
-            continue
-        if -c < least:
-            break
-        out.append(pair)
-        changed = set()
-        for i in list(where.pop(pair, ())):
-            old = words[i]
-            new = merge_pair(old, pair)
-            for p in zip(old, old[1:]):
-                counts[p] -= freqs[i]
-                changed.add(p)
-                where[p].discard(i)
-            for p in zip(new, new[1:]):
-                counts[p] += freqs[i]
-                changed.add(p)
-                where[p].add(i)
-            words[i] = new
-        counts.pop(pair, None)
-        changed.discard(pair)
-        for p in changed:
-            if counts[p] > 0:
-                heapq.heappush(heap, (-counts[p], _descending(p), p))
-            else:
-                del counts[p]
-    return out
+    rows = vocab.where(F.length("token") > 0).where(F.col("freq") >= least_freq)
+    n = rows.count()
+    if n > most_words:
+        raise ValueError(f"{n} words are more than {most_words}: raise least_freq or most_words")
+    table = rows.select("token", F.col("freq").cast("bigint").alias("freq")).toArrow()
+    return Merger(table.column("token"), table.column("freq").to_numpy()).run(operations, least)
+
+
+class Merger:
+    """Words as one array of symbols, linked to their neighbours, with the places of each pair.
+
+    A merge touches the places of its pair alone, all at once.
+    """
+
+    def __init__(self, tokens: pa.ChunkedArray, freqs: np.ndarray):
+        length = np.asarray(pc.utf8_length(tokens).to_numpy(), np.int64)
+        points = np.frombuffer("".join(tokens.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        last = np.cumsum(length) - 1
+        points[last] += 1 << 21  # with the end mark
+        known, self.symbol = np.unique(points, return_inverse=True)
+        self.names = [chr(p & 0x1FFFFF) + (END if p >> 21 else "") for p in known.tolist()]
+        n = len(points)
+        self.weight = np.repeat(np.asarray(freqs, np.int64), length)
+        self.next, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.next[last] = -1
+        self.before[last - length + 1] = -1
+        self.counts: dict[int, int] = {}
+        self.places: dict[int, list[np.ndarray]] = {}
+        self.heap: list[tuple[int, tuple, int]] = []
+        self._count(np.flatnonzero(self.next >= 0), 1)
+
+    def _pairs(self, at: np.ndarray) -> np.ndarray:
+        return self.symbol[at] << 32 | self.symbol[self.next[at]]
+
+    def _count(self, at: np.ndarray, sign: int) -> None:
+        """Add the pairs that begin at ``at`` to the counts, or take them off."""
+        if not len(at):
+            return
+        keys = self._pairs(at)
+        order = np.argsort(keys, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        sums = np.add.reduceat(self.weight[at][order], start)
+        for key, total, group in zip(keys[order][start].tolist(), sums.tolist(), np.split(at[order], start[1:])):
+            count = self.counts.get(key, 0) + sign * total
+            self.counts[key] = count
+            if sign > 0:
+                self.places.setdefault(key, []).append(group)
+            if count > 0:
+                heapq.heappush(self.heap, (-count, _descending(self._named(key)), key))
+
+    def _named(self, key: int) -> tuple[str, str]:
+        return self.names[key >> 32], self.names[key & 0xFFFFFFFF]
+
+    def run(self, operations: int, least: int) -> list[tuple[str, str]]:
+        out: list[tuple[str, str]] = []
+        while self.heap and len(out) < operations:
+            count, _, key = heapq.heappop(self.heap)
+            if self.counts.get(key, 0) != -count:
+                continue
+            if -count < least:
+                break
+            out.append(self._named(key))
+            self._merge(key)
+        return out
+
+    def _merge(self, key: int) -> None:
+        left, right = key >> 32, key & 0xFFFFFFFF
+        at = np.unique(np.concatenate(self.places.pop(key)))
+        at = at[(self.symbol[at] == left) & (self.next[at] >= 0)]
+        at = at[self.symbol[self.next[at]] == right]
+        if left == right and len(at) > 1:  # of overlapping places the first, third, ..
+            chained = np.concatenate([[False], self.next[at[:-1]] == at[1:]])
+            begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+        gone = self.next[at]
+        touched = np.unique(np.concatenate([self.before[at], at, gone]))
+        touched = touched[touched >= 0]
+        self._count(touched[self.next[touched] >= 0], -1)
+        self.names.append(self.names[left] + self.names[right])
+        self.symbol[at] = len(self.names) - 1
+        self.symbol[gone] = -1
+        after = self.next[gone]
+        self.next[at] = after
+        self.before[after[after >= 0]] = at[after >= 0]
+        self.next[gone] = -1
+        touched = np.unique(np.concatenate([self.before[at], at]))
+        touched = touched[touched >= 0]
+        self._count(touched[self.next[touched] >= 0], 1)
+        self.counts.pop(key, None)
 
 
 def _descending(pair: tuple[str, str]) -> tuple[tuple[int, ...], ...]:
@@ -127,44 +179,82 @@ def merge_pair(symbols_: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
-def encode_word(word: str, ranks: dict[tuple[str, str], int], allowed: set[str] | None = None, mark: str = "@@") -> list[str]:
-    """Pieces of one word; with ``allowed``, pieces outside it are split back along the merges."""
-    parts = [*word[:-1], word[-1] + END] if word else []
-    while len(parts) > 1:
-        pair = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 60))
-        if pair not in ranks:
-            break
-        parts = merge_pair(parts, pair)
-    if allowed is not None:
-        halves = {a + b: (a, b) for a, b in ranks}
-
-        def split(piece: str) -> list[str]:
-            shown = piece[: -len(END)] if piece.endswith(END) else piece + mark
-            if shown in allowed or piece not in halves:
-                return [piece]
-            return [x for half in halves[piece] for x in split(half)]
-
-        parts = [x for p in parts for x in split(p)]
-    return [p[: -len(END)] if p.endswith(END) else p + mark for p in parts]
+class WordEncoder:
+    """Splits words by ranked merges.
 
+    ``allowed``: pieces outside it are split back along the merges.
+    ``glossary``: entries are cut out of words and stay whole.  ``version``: in
+    codes of version 0.1 the end mark is a symbol of its own, in 0.2 it belongs
+    to the last character.
+    """
 
-def encode_words(words: DataFrame, merges: list[tuple[str, str]], allowed: set[str] | None = None) -> DataFrame:
-    """(token, pieces): every distinct word encoded once, in Arrow batches."""
-    ranks: dict[tuple[str, str], int] = {}
-    for i, m in enumerate(merges):
-        ranks.setdefault(m, i)
+    def __init__(self, merges: list[tuple[str, str]], allowed: set[str] | None = None, glossary: list[str] | None = None, version: tuple[int, int] = (0, 2), mark: str = "@@"):
+        if version not in ((0, 1), (0, 2)):
+            raise ValueError(f"no codes of version {version}")
+        self.ranks: dict[tuple[str, str], int] = {}
+        for i, m in enumerate(merges):
+            self.ranks.setdefault(m, i)
+        self.allowed, self.glossary, self.version, self.mark = allowed, glossary or [], version, mark
+        self.halves = {a + b: (a, b) for a, b in reversed(self.ranks)}
+
+    def __call__(self, word: str) -> list[str]:
+        parts = [word]
+        for entry in self.glossary:
+            parts = [x for p in parts for x in self._isolated(p, entry)]
+        pieces = [x for p in parts for x in self._pieces(p)]
+        return [p + self.mark for p in pieces[:-1]] + pieces[-1:]
+
+    @staticmethod
+    def _isolated(part: str, entry: str) -> list[str]:
+        if part == entry or entry not in part:
+            return [part]
+        between = [x for rest in part.split(entry) for x in (rest, entry)][:-1]
+        return [x for x in between if x]
+
+    def _pieces(self, part: str) -> list[str]:
+        """Without marks; the end mark is taken off the last one."""
+        if part in self.glossary or not part:
+            return [part] if part else []
+        parts = [*part, END] if self.version == (0, 1) else [*part[:-1], part[-1] + END]
+        while len(parts) > 1:
+            pair = min(zip(parts, parts[1:]), key=lambda p: self.ranks.get(p, 1 << 60))
+            if pair not in self.ranks:
+                break
+            parts = merge_pair(parts, pair)
+        parts = parts[:-1] if parts[-1] == END else [*parts[:-1], parts[-1].removesuffix(END)]
+        if self.allowed is None:
+            return parts
+        return [x for i, p in enumerate(parts) for x in self._split(p, i == len(parts) - 1)]
+
+    def _split(self, piece: str, final: bool) -> list[str]:
+        """Pieces that are allowed, or can't be split further."""
+        halves = self.halves.get(piece + END if final else piece)
+        if halves is None or (piece if final else piece + self.mark) in self.allowed:
+            return [piece]
+        left, right = halves[0], halves[1].removesuffix(END) if final else halves[1]
+        return self._split(left, False) + (self._split(right, final) if right else [])
+
+
+def encode_word(word: str, ranks: dict[tuple[str, str], int], allowed: set[str] | None = None, **how) -> list[str]:
+    """Pieces of one word; see ``WordEncoder``."""
+    return WordEncoder(sorted(ranks, key=ranks.get), allowed, **how)(word) if word else []
+
+
+def encode_words(words: DataFrame, merges: list[tuple[str, str]], allowed: set[str] | None = None, **how) -> DataFrame:
+    """(token, pieces): every distinct word encoded once, in Arrow batches; ``how`` as for ``WordEncoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(merges, allowed, **how)
         for b in batches:
-            yield pa.record_batch({"token": b.column("token"), "pieces": pa.array([encode_word(w, ranks, allowed) for w in b.column("token").to_pylist()], pa.list_(pa.string()))})
+            yield pa.record_batch({"token": b.column("token"), "pieces": pa.array([encoder(w) for w in b.column("token").to_pylist()], pa.list_(pa.string()))})
 
     return words.select("token").distinct().mapInArrow(run, "token string, pieces array<string>")
 
 
-def encode(rows: DataFrame, key: list[str], column: str, merges: list[tuple[str, str]], allowed: set[str] | None = None) -> DataFrame:
+def encode(rows: DataFrame, key: list[str], column: str, merges: list[tuple[str, str]], allowed: set[str] | None = None, **how) -> DataFrame:
     """``key`` and the pieces of each row's tokens; distinct words are encoded once and joined back."""
     words = rows.select(*key, F.posexplode(tokens(F.col(column))).alias("at", "token"))
-    coded = words.join(encode_words(words, merges, allowed), "token")
+    coded = words.join(encode_words(words, merges, allowed, **how), "token")
     lists = coded.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("_l"))
     return rows.select(*key).join(lists, key, "left").select(*key, F.coalesce(F.flatten(F.col("_l.pieces")), F.array().cast("array<string>")).alias("pieces"))
 
@@ -173,3 +263,23 @@ def token_ids(rows: DataFrame, key: list[str], pieces: str, ids: DataFrame, unkn
     """Pieces as numbers of ``ids`` (token, id)."""
     flat = rows.select(*key, F.posexplode(pieces).alias("at", "token")).join(ids, "token", "left").select(*key, "at", F.coalesce("id", F.lit(unknown)).alias("id"))
     return flat.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("_l")).select(*key, F.col("_l.id").alias("ids"))
+
+
+def token_id(ids: DataFrame, token: str, unknown: int) -> int:
+    """The number of a language token that decoding starts with; an unknown one is an error."""
+    found = ids.where(F.col("token") == token).select("id").first()
+    if found is None or found.id == unknown:
+        raise ValueError(f"{token} is not in the vocabulary")
+    return found.id
+
+
+def write_merges(merges: list[tuple[str, str]], spark: SparkSession, folder: str) -> None:
+    """A merge table as text: a version line, then a pair a line, in order."""
+    lines = ["#version: 0.2", *(f"{a} {b}" for a, b in merges)]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def write_vocabulary(vocab: DataFrame, folder: str, separator: str = "\t") -> None:
+    """Token and frequency a line, by frequency and then token, both descending; files in the order of their names."""
+    line = F.concat_ws(separator, "token", F.col("freq").cast("string")).alias("value")
+    cut(vocab).select(line).write.mode("overwrite").text(folder)

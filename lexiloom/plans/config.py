@@ -67,6 +67,11 @@ class RunConfig:
     def names(self, key: str) -> list[str]:
         return [x for x in str(self.tree.get(key, "")).split(";") if x]
 
+    @property
+    def ratios(self) -> dict[str, float]:
+        """Resampling ratios of directions such as en2de."""
+        return {k: float(v) for k, v in self.tree.get("resample", {}).items()}
+
     def pair(self, name: str) -> PairConfig:
         """The block of a pair, of its reversed name, or the default one."""
         a, _, b = name.partition("_")

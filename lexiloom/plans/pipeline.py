@@ -125,7 +125,8 @@ def prepare(rows: DataFrame, config: RunConfig, merges: list[tuple[str, str]] |
     """Parallel rows (id, src_lang, trg_lang, src, trg) through the configured steps: clean, subword, merge, ras.
 
     Rows of all pairs go through one plan; the per-pair and per-language
-    settings become conditions on the language columns.
+    settings become conditions on the language columns.  With ``directions`` the
+    merge step turns each pair into them and resamples each by its ratio.
     """
     languages = config.names("languages")
     pairs = config.names("pairs")
@@ -157,4 +158,7 @@ def prepare(rows: DataFrame, config: RunConfig, merges: list[tuple[str, str]] |
         if "subword" in config.steps and merges is not None:
             copies = vocabulary.encode(copies, ["id"], "src", merges).select("id", F.array_join("pieces", " ").alias("src"))
         rows = rows.select("id", "src_lang", "trg_lang", "src", "trg").unionByName(copies.join(rows.drop("src"), "id").select("id", "src_lang", "trg_lang", "src", "trg"))
-    return corpora.merged(rows) if "merge" in config.steps else rows
+    if "merge" not in config.steps:
+        return rows
+    directions = config.names("directions")
+    return corpora.merged(corpora.in_directions(rows, directions, config.ratios) if directions else rows)

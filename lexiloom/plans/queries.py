@@ -34,6 +34,13 @@ def _sql_draw(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 7) AS BIGINT)"
 
 
+def _replaced(expression: str, *rules: tuple[str, str]) -> str:
+    """Nested regexp_replace calls of (pattern, replacement), written as the SQL engine reads them."""
+    for pattern, replacement in rules:
+        expression = f"regexp_replace({expression}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+    return expression
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
@@ -177,7 +184,36 @@ def tok_nonbreaking(spark, d):
     return rows.select("doc_id", "line_no", tokenizing.final_stops(F.col("line"), tokenizing.PREFIXES["en"]).alias("text"))
 
 
-@query("tok_moses_full")
+# The tokenizers' rules once more, by hand: nothing below comes from the tables that the DataFrame side applies.
+_SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TRIMMED = [(" +", " "), ("^ ", ""), (" $", "")]
+_OPENED = _replaced("' ' || line || ' '", (_SPACE, " "), (r"[\x00-\x1f]", ""), *_TRIMMED)
+_APART = _replaced(_OPENED, (r"([^\p{L}\p{Nd}\s.'`,\-])", r" \1 "), (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", r"\1 @-@ \2"), (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", r"\1 @-@ \2"))
+_DOTTED = _replaced(f"replace({_APART}, '..', chr(57344) || chr(57344))", (r"(\x{E000})[.]", "\\1\ue000"), (r"(\x{E000}+)", r" \1 "))
+_COMMAS_CUT = _replaced(_DOTTED, (r"([^\p{N}]),", r"\1 , "), (r",([^\p{N}])", r" , \1"), (r"(\p{N}),$", r"\1 ,"))
+_QUOTES_EN = [(r"([^\p{L}])'([^\p{L}])", r"\1 ' \2"), (r"([^\p{L}\p{N}])'(\p{L})", r"\1 ' \2"), (r"(\p{L})'([^\p{L}])", r"\1 ' \2"), (r"(\p{L})'(\p{L})", r"\1 '\2"), (r"(\p{N})'(s)", r"\1 '\2")]
+_QUOTES_FR = [(r"([^\p{L}])'([^\p{L}])", r"\1 ' \2"), (r"([^\p{L}])'(\p{L})", r"\1 ' \2"), (r"(\p{L})'([^\p{L}])", r"\1 ' \2"), (r"(\p{L})'(\p{L})", r"\1' \2")]
+_SHORT = {
+    "en": "'Mr', 'Mrs', 'Ms', 'Dr', 'Prof', 'Gen', 'Col', 'Lt', 'Sgt', 'Capt', 'Rev', 'Sen', 'Rep', 'Gov', 'St', 'Jr', 'Sr', 'vs', 'etc', 'Inc', 'Ltd', 'Co', 'Corp'",
+    "de": "'Dr', 'Prof', 'Hr', 'Fr', 'bzw', 'usw', 'ca', 'Abs', 'Str', 'evtl', 'ggf', 'inkl', 'Nr', 'vgl'",
+    "fr": "'M', 'MM', 'Mme', 'Mlle', 'Dr', 'Pr', 'St', 'Ste', 'etc', 'cf'",
+    "es": "'Sr', 'Sra', 'Srta', 'Dr', 'Dra', 'D', 'Ud', 'Uds', 'etc'",
+}
+
+
+def _stops(words: str, short: str, numeric: str) -> str:
+    """Words with their final stop split off where it isn't an abbreviation's, as one text."""
+    stem, after = "substr(q, 1, length(q) - 1)", f"coalesce({words}[i + 1], '')"
+    keep = rf"(contains({stem}, '.') AND regexp_matches({stem}, '\p{{L}}')) OR {stem} IN ({short}) OR regexp_matches({after}, '^\p{{Ll}}') OR ({stem} IN ({numeric}) AND regexp_matches({after}, '^[0-9]'))"
+    return rf"array_to_string(list_transform({words}, lambda q, i: CASE WHEN regexp_matches(q, '^\S+[.]$') AND NOT ({keep}) THEN {stem} || ' .' ELSE q END), ' ')"
+
+
+_QUOTED = f"CASE lang WHEN 'en' THEN {_replaced('x', *_QUOTES_EN, *_TRIMMED)} WHEN 'fr' THEN {_replaced('x', *_QUOTES_FR, *_TRIMMED)} ELSE {_replaced('x', (chr(39), ' ' + chr(39) + ' '), *_TRIMMED)} END"
+_STOPPED = "CASE lang " + " ".join(f"WHEN '{l}' THEN {_stops('ws', short, chr(39) + 'No' + chr(39) + ', ' + chr(39) + 'Nos' + chr(39) + ', ' + chr(39) + 'Art' + chr(39) + ', ' + chr(39) + 'pp' + chr(39) if l == 'en' else 'NULL')}" for l, short in _SHORT.items()) + " END"
+_MOSES = f"""{_LINES}, x1 AS (SELECT *, {_COMMAS_CUT} AS x FROM l), x2 AS (SELECT doc_id, line_no, lang, line, string_split({_QUOTED}, ' ') AS ws FROM x1), x3 AS (SELECT doc_id, line_no, line, {_STOPPED} AS y FROM x2)"""
+
+
+@query("tok_moses_full", f"WITH {_MOSES} SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^\\s*$') THEN line ELSE {_replaced('replace(' + _replaced('y', *_TRIMMED, (chr(92) + '.' + chr(39) + ' ?$', ' . ' + chr(39) + ' ')) + ', chr(57344), ' + quoted('.') + ')', *_TRIMMED)} END AS text FROM x3")
 def tok_moses_full(spark, d):
     out = F.when(F.lit(False), F.col("line"))
     for l in ("en", "de", "fr", "es"):
@@ -185,7 +221,38 @@ def tok_moses_full(spark, d):
     return lines(spark, d).select("doc_id", "line_no", out.alias("text"))
 
 
-@query("tok_penn")
+@query(
+    "tok_protected",
+    f"SELECT doc_id, '<x' || doc_id || '> , a.b-c@d.org :' AS text FROM documents",
+)
+def tok_protected(spark, d):
+    """Tags and addresses at the head of a line, kept whole by regular expressions."""
+    head = F.concat(F.lit("<x"), F.col("doc_id").cast("string"), F.lit(">, a.b-c@d.org:"))
+    return table(spark, d, "documents").select("doc_id", tokenizing.tokenize(head, "en", protected=["<[^>]+>", r"[a-z.\-]+@[a-z.]+"]).alias("text"))
+
+
+_PENN = [
+    (_SPACE, " "), (r"[\x00-\x1f]", ""), ("^``", "`` "), ('^"', "`` "), ("^`([^`])", r"` \1"), ("^'", "`  "),
+    (r'([ (\[{<])"', r"\1 `` "), (r"([ (\[{<])``", r"\1 `` "), (r"([ (\[{<])`([^`])", r"\1 ` \2"), (r"([ (\[{<])'", r"\1 ` "),
+    (r"\.\.\.", " _ELLIPSIS_ "), (r"([^\p{N}]),([^\p{N}])", r"\1 , \2"), (r"(\p{N}),([^\p{N}])", r"\1 , \2"), (r"([^\p{N}]),(\p{N})", r"\1 , \2"),
+    (r"([;:@#$%&\p{Sc}\p{So}])", r" \1 "), (r"([\p{L}\p{Nd}])/([\p{L}\p{Nd}])", r"\1 @/@ \2"), ("([^.])([.])([\\])}>\"']*) ?$", r"\1 \2\3 "),
+    ("([?!])", r" \1 "), (r"([\]\[(){}<>])", r" \1 "), (r"\(", "-LRB-"), (r"\)", "-RRB-"), (r"\[", "-LSB-"), (r"\]", "-RSB-"), (r"\{", "-LCB-"), (r"\}", "-RCB-"),
+    ("--", " -- "), ("$", " "), ("^", " "), ('"', " '' "), ("([^'])' ", r"\1 ' "), ("'([sSmMdD]) ", r" '\1 "),
+    ("'ll ", " 'll "), ("'re ", " 're "), ("'ve ", " 've "), ("n't ", " n't "), ("'LL ", " 'LL "), ("'RE ", " 'RE "), ("'VE ", " 'VE "), ("N'T ", " N'T "),
+    (" ([Cc])annot ", r" \1an not "), (" ([Dd])'ye ", r" \1' ye "), (" ([Gg])imme ", r" \1im me "), (" ([Gg])onna ", r" \1on na "), (" ([Gg])otta ", r" \1ot ta "),
+    (" ([Ll])emme ", r" \1em me "), (" ([Mm])ore'n ", r" \1ore 'n "), (" '([Tt])is ", r" '\1 is "), (" '([Tt])was ", r" '\1 was "), (" ([Ww])anna ", r" \1an na "), *_TRIMMED,
+]
+_PENN_WORDS = "string_split(" + _replaced("line", *_PENN) + ", ' ')"
+_PENN_NUMERIC = "'No', 'Nos', 'Art', 'pp'"
+
+
+def _escaped(expression: str) -> str:
+    for sign, name in (("&", "&amp;"), ("|", "&#124;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;")):
+        expression = f"replace({expression}, {quoted(sign)}, {quoted(name)})"
+    return expression
+
+
+@query("tok_penn", f"WITH {_LINES}, x1 AS (SELECT doc_id, line_no, {_PENN_WORDS} AS ws FROM l WHERE lang = 'en') SELECT doc_id, line_no, {_escaped(_replaced('replace(' + _stops('ws', _SHORT['en'], _PENN_NUMERIC) + ', ' + quoted('_ELLIPSIS_') + ', ' + quoted('...') + ')', *_TRIMMED))} AS text FROM x1")
 def tok_penn(spark, d):
     return lines(spark, d).where("lang = 'en'").select("doc_id", "line_no", tokenizing.tokenize_treebank(F.col("line")).alias("text"))
 
@@ -226,9 +293,17 @@ def cjk_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", tokenizing.has_cjk(text).alias("cjk"))
 
 
-@query("cjk_deseg")
+_CJK_WORDS = "你 好 ok 世 界 ３ 한 국 a b "
+
+
+@query(
+    "cjk_deseg",
+    rf"""WITH {_LINES}, s AS (SELECT doc_id, line_no, {quoted(_CJK_WORDS)} || line || CASE WHEN doc_id % 2 = 0 THEN ' 。 x .' ELSE '' END AS x FROM l)
+    SELECT doc_id, line_no, regexp_replace(array_to_string(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN regexp_full_match(substr(x, i, 1), '{_SPACE}') AND NOT ((i > 1 AND regexp_full_match(substr(x, i - 1, 1), '[a-zA-Z]')) OR regexp_full_match(substr(x, i + 1, 1), '[a-zA-Z]')) THEN '' ELSE substr(x, i, 1) END), ''), '\.$', '。') AS text FROM s""",
+)
 def cjk_deseg(spark, d):
-    return lines(spark, d).select("doc_id", "line_no", tokenizing.join_cjk(F.col("line")).alias("text"))
+    text = F.concat(F.lit(_CJK_WORDS), F.col("line"), F.when(F.col("doc_id") % 2 == 0, F.lit(" 。 x .")).otherwise(F.lit("")))
+    return lines(spark, d).select("doc_id", "line_no", tokenizing.join_cjk(text).alias("text"))
 
 
 @query("remove_bpe", f"WITH {_LINES} SELECT doc_id, line_no, rtrim(replace(replace(line, 'th', 't@@ h') || ' ', '@@ ', '')) AS text FROM l")
@@ -319,6 +394,16 @@ def merge_all(spark, d):
     return corpora.merged(bidirectional_merge(spark, d))
 
 
+_DIRECTED = f"""{_BOTH}, k AS (SELECT *, row_number() OVER (PARTITION BY src_lang ORDER BY md5('1|' || id), id) AS k, count(*) OVER (PARTITION BY src_lang) AS n FROM b)
+    SELECT id, src_lang, trg_lang, src, trg FROM k, unnest(range(1, 1 + CASE WHEN src_lang = 'en' THEN 2 + CASE WHEN k <= floor(n * 0.5) THEN 1 ELSE 0 END WHEN k <= floor(n * 0.3) THEN 1 ELSE 0 END)) AS t(c)"""
+
+
+@query("merge_resampled", _DIRECTED)
+def merge_resampled(spark, d):
+    """Both directions of each pair, one repeated by its ratio, one sampled down."""
+    return corpora.in_directions(_pairs(spark, d), ["en2de", "de2en"], {"en2de": 2.5, "de2en": 0.3})
+
+
 # -- sampling -----------------------------------------------------------------
 
 _BY_HASH = "r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('1|' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
@@ -359,16 +444,12 @@ def upsample_primary(spark, d):
 
 @query("length_buckets", "SELECT doc_id, CAST(ntile(8) OVER (ORDER BY n_chars, doc_id) AS INTEGER) AS bucket FROM documents")
 def length_buckets(spark, d):
-    """Eight buckets of equal size by length; ranks come from counts of each length, not from one sorted task."""
-    docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    sizes = docs.groupBy("n_chars").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("n_chars").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = docs.agg(F.count("*").alias("total"))
-    rows = docs.withColumn("k", F.row_number().over(W.partitionBy("n_chars").orderBy("doc_id"))).join(before, "n_chars").join(F.broadcast(total))
-    place, size, rest = F.col("k") + F.col("base") - 1, F.expr("total div 8"), F.expr("total % 8")
+    """Eight buckets of equal size by length; ranks come from counts, so a frequent length isn't one task's."""
+    rows = sampling.ranked_by(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+    place, size, rest = F.col("rank") - 1, F.expr("total div 8"), F.expr("total % 8")
     first = rest * (size + 1)
     bucket = F.when(place < first, F.floor(place / (size + 1))).otherwise(rest + F.floor((place - first) / size))
-    return rows.select("doc_id", (bucket + 1).cast("int").alias("bucket"))
+    return rows.select("row.doc_id", (bucket + 1).cast("int").alias("bucket"))
 
 
 # -- vocabularies -------------------------------------------------------------
@@ -447,25 +528,68 @@ def bpe_first_merge(spark, d):
     return bpe_pair_stats(spark, d).orderBy(F.desc("freq"), F.desc("left"), F.desc("right")).limit(1)
 
 
-@query("bpe_learn")
-def bpe_learn(spark, d):
-    merges = vocabulary.learn_merges(counts(spark, d), 300)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+#: The merges of the example configuration, and its least frequency of a vocabulary entry.
+_MERGES, _LEAST = 600, 5
+_LEARNED = f"""{_LINES}, {_TOKENS}, {_COUNTS}, b AS (
+    SELECT 0 AS step, token, freq, array_to_string(list_transform(range(1, length(token) + 1), lambda i: ' ' || substr(token, i, 1) || CASE WHEN i = length(token) THEN '</w>' ELSE '' END || ' '), '') AS s, '' AS x, '' AS y FROM c
+    UNION ALL
+    SELECT b.step + 1, b.token, b.freq, replace(b.s, ' ' || m.x || '  ' || m.y || ' ', ' ' || m.x || m.y || ' '), m.x, m.y
+    FROM b, (SELECT x, y FROM (SELECT freq, unnest(q[:-2]) AS x, unnest(q[2:]) AS y FROM (SELECT freq, string_split(substr(s, 2, length(s) - 2), '  ') AS q FROM b) WHERE len(q) > 1) GROUP BY ALL HAVING sum(freq) >= 2 ORDER BY sum(freq) DESC, x DESC, y DESC LIMIT 1) m
+    WHERE b.step < {_MERGES}
+), mg AS (SELECT step - 1 AS rank, any_value(x) AS x, any_value(y) AS y FROM b WHERE step > 0 GROUP BY step),
+fin AS (SELECT token, freq, string_split(substr(s, 2, length(s) - 2), '  ') AS ps FROM b WHERE step = (SELECT max(step) FROM b)),
+pc AS (SELECT token, freq, list_transform(ps, lambda q: CASE WHEN q LIKE '%</w>' THEN substr(q, 1, length(q) - 4) ELSE q || '@@' END) AS ps FROM fin)"""
+_CODED = "SELECT l.doc_id, l.line_no, coalesce(string_agg(array_to_string(e.ps, ' '), ' ' ORDER BY t.i), '') AS text FROM (SELECT doc_id, line_no, list_filter(string_split(line, ' '), lambda q: length(q) > 0) AS ts FROM l) l LEFT JOIN unnest(range(1, len(l.ts) + 1)) AS t(i) ON TRUE LEFT JOIN {0} e ON e.token = l.ts[CAST(t.i AS INTEGER)] GROUP BY ALL"
 
 
 def _learned(spark, d) -> list[tuple[str, str]]:
-    return vocabulary.learn_merges(counts(spark, d), 300)
+    return vocabulary.learn_merges(counts(spark, d), _MERGES)
+
+
+@query("bpe_learn", f'WITH RECURSIVE {_LEARNED} SELECT CAST(rank AS INTEGER) AS rank, x AS "left", y AS "right" FROM mg')
+def bpe_learn(spark, d):
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_learned(spark, d))], "rank int, left string, right string")
 
 
-@query("bpe_encode")
+@query("bpe_encode", f"WITH RECURSIVE {_LEARNED} {_CODED.format('pc')}")
 def bpe_encode(spark, d):
     return vocabulary.encode(lines(spark, d), ["doc_id", "line_no"], "line", _learned(spark, d)).select("doc_id", "line_no", F.array_join("pieces", " ").alias("text"))
 
 
-@query("bpe_vocab_encode")
+def _piece_counts(spark, d, merges: list[tuple[str, str]]) -> DataFrame:
+    words = counts(spark, d)
+    coded = words.join(vocabulary.encode_words(words, merges), "token")
+    return coded.select(F.explode("pieces").alias("token"), "freq").groupBy("token").agg(F.sum("freq").alias("freq"))
+
+
+_PIECES = f"{_LEARNED}, vo AS (SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(ps) AS token, freq FROM pc) GROUP BY token)"
+
+
+@query("bpe_vocabulary", f"WITH RECURSIVE {_PIECES} SELECT token, freq FROM vo WHERE freq >= {_LEAST}")
+def bpe_vocabulary(spark, d):
+    """The pieces of the encoded corpus, counted over distinct words."""
+    return vocabulary.cut(_piece_counts(spark, d, _learned(spark, d)), _LEAST)
+
+
+@query(
+    "bpe_vocab_encode",
+    f"""WITH RECURSIVE {_PIECES}, ok AS (SELECT token FROM vo WHERE freq >= 1000),
+    hv AS (SELECT x || y AS piece, arg_min(x, rank) AS x, arg_min(y, rank) AS y FROM mg GROUP BY ALL),
+    sp AS (
+        SELECT token, lpad(CAST(i.i AS VARCHAR), 6, '0') AS place, ps[CAST(i.i AS INTEGER)] AS p, 0 AS depth FROM fin, unnest(range(1, len(ps) + 1)) AS i(i)
+        UNION ALL
+        SELECT sp.token, sp.place || CASE WHEN k.k = 0 THEN '0' ELSE '1' END, CASE WHEN k.k = 0 THEN hv.x ELSE hv.y END, sp.depth + 1
+        FROM sp JOIN hv ON hv.piece = sp.p, (SELECT unnest([0, 1]) AS k) k
+        WHERE CASE WHEN sp.p LIKE '%</w>' THEN substr(sp.p, 1, length(sp.p) - 4) ELSE sp.p || '@@' END NOT IN (SELECT token FROM ok)
+    ),
+    le AS (SELECT token, list(CASE WHEN p LIKE '%</w>' THEN substr(p, 1, length(p) - 4) ELSE p || '@@' END ORDER BY place) AS ps FROM sp
+        WHERE CASE WHEN p LIKE '%</w>' THEN substr(p, 1, length(p) - 4) ELSE p || '@@' END IN (SELECT token FROM ok) OR p NOT IN (SELECT piece FROM hv) GROUP BY token)
+    {_CODED.format('le')}""",
+)
 def bpe_vocab_encode(spark, d):
+    """Pieces that occur fewer than 1,000 times are split back along the merges."""
     merges = _learned(spark, d)
-    allowed = {(a + b)[:-4] if b.endswith("</w>") else a + b + "@@" for a, b in merges[:150]}
+    allowed = {r.token for r in vocabulary.cut(_piece_counts(spark, d, merges), 1000).select("token").collect()}  # at most a piece a merge and character
     return vocabulary.encode(lines(spark, d), ["doc_id", "line_no"], "line", merges, allowed).select("doc_id", "line_no", F.array_join("pieces", " ").alias("text"))
 
 
@@ -663,11 +787,17 @@ def nbest_lists(spark, d):
 
 
 _WORDS = "list_filter(string_split({0}, ' '), lambda q: length(q) > 0)"
-_GRAMS = f"""{_TURNS}, t AS (SELECT conv_id * 1000 + turn AS id, {_WORDS.format('src')} AS h, {_WORDS.format('trg')} AS r FROM p),
+
+
+def _grams(src: str, trg: str) -> str:
+    return f"""{_TURNS}, t AS (SELECT conv_id * 1000 + turn AS id, {_WORDS.format(src)} AS h, {_WORDS.format(trg)} AS r FROM p),
     hg AS (SELECT t.id, n.n, array_to_string(t.h[CAST(i.i AS INTEGER):CAST(i.i + n.n - 1 AS INTEGER)], ' ') AS g, count(*) AS c FROM t, (SELECT unnest(range(1, 5)) AS n) n, unnest(range(1, len(t.h) - n.n + 2)) AS i(i) GROUP BY ALL),
     rg AS (SELECT t.id, n.n, array_to_string(t.r[CAST(i.i AS INTEGER):CAST(i.i + n.n - 1 AS INTEGER)], ' ') AS g, count(*) AS c FROM t, (SELECT unnest(range(1, 5)) AS n) n, unnest(range(1, len(t.r) - n.n + 2)) AS i(i) GROUP BY ALL),
     o AS (SELECT hg.n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS t FROM hg LEFT JOIN rg ON hg.id = rg.id AND hg.n = rg.n AND hg.g = rg.g GROUP BY hg.n),
     bs AS (SELECT {', '.join(f'CAST(coalesce(sum(CASE WHEN n = {n} THEN {a} END), 0) AS BIGINT) AS {b}{n}' for a, b in (('m', 'match'), ('t', 'total')) for n in range(1, 5))}, (SELECT CAST(sum(len(h)) AS BIGINT) FROM t) AS hyp_len, (SELECT CAST(sum(len(r)) AS BIGINT) FROM t) AS ref_len FROM o)"""
+
+
+_GRAMS = _grams("src", "trg")
 _COLUMNS = ", ".join([f"{a}{n}" for a in ("match", "total") for n in range(1, 5)] + ["hyp_len", "ref_len"])
 
 
@@ -684,7 +814,11 @@ def bleu_stats(spark, d):
 _P = [f"CASE WHEN total{n} = 0 THEN 0 WHEN match{n} = 0 THEN 1.0 / (pow(2, {' + '.join(f'(CASE WHEN match{k} = 0 THEN 1 ELSE 0 END)' for k in range(1, n + 1))}) * total{n}) ELSE match{n} / total{n} END" for n in range(1, 5)]
 
 
-@query("corpus_bleu", f"WITH {_GRAMS}, pr AS (SELECT {', '.join(f'{p} AS p{n}' for n, p in enumerate(_P, 1))}, hyp_len, ref_len FROM bs) SELECT round(100 * CASE WHEN hyp_len < ref_len THEN exp(1 - ref_len / hyp_len) ELSE 1 END * CASE WHEN least(p1, p2, p3, p4) > 0 THEN exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0 END, 2) AS bleu FROM pr")
+def _bleu_sql(grams: str) -> str:
+    return f"WITH {grams}, pr AS (SELECT {', '.join(f'{p} AS p{n}' for n, p in enumerate(_P, 1))}, hyp_len, ref_len FROM bs) SELECT round(100 * CASE WHEN hyp_len < ref_len THEN exp(1 - ref_len / hyp_len) ELSE 1 END * CASE WHEN least(p1, p2, p3, p4) > 0 THEN exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0 END, 2) AS bleu FROM pr"
+
+
+@query("corpus_bleu", _bleu_sql(_GRAMS))
 def corpus_bleu(spark, d):
     return evaluation.bleu(_bleu_stats(spark, d)).select("bleu")
 
@@ -743,9 +877,8 @@ def param_key_check(spark, d):
 
 @query("mean_pool_masked", "SELECT label, CAST(i.i - 1 AS INTEGER) AS pos, round(avg(CAST(embedding[CAST(i.i AS INTEGER)] AS DOUBLE)), 6) AS value FROM embeddings, unnest(range(1, 65)) AS i(i) WHERE vec_id % 3 <> 0 GROUP BY ALL")
 def mean_pool_masked(spark, d):
-    e = table(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("l"))
-    mean = evaluation.masked_mean(F.col("l.embedding"), F.transform("l.vec_id", lambda v: (v % 3 != 0).cast("int")))
-    return e.select("label", F.posexplode(mean).alias("pos", "value")).select("label", "pos", F.round("value", 6).alias("value"))
+    e = table(spark, d, "embeddings").select("label", "embedding", "vec_id")
+    return evaluation.pooled(e, ["label"], "embedding", (F.col("vec_id") % 3 != 0).cast("int")).select("label", "pos", F.round("value", 6).alias("value"))
 
 
 _COSINE = "n AS (SELECT a.vec_id AS src_id, b.vec_id AS trg_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), nr AS (SELECT src_id, trg_id, sim, CAST(row_number() OVER (PARTITION BY src_id ORDER BY sim DESC, trg_id) AS INTEGER) AS rank FROM n QUALIFY rank <= 5)"
@@ -767,7 +900,14 @@ def retrieval_accuracy(spark, d):
     return evaluation.retrieval_accuracy(_neighbours(spark, d), n, F.expr("src_id div 2 = trg_id div 2"))
 
 
-@query("corpus_bleu_13a")
+def _public_tokens(column: str) -> str:
+    plain = f"' ' || {column} || ' '"
+    for old, new in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        plain = f"replace({plain}, {quoted(old)}, {quoted(new)})"
+    return _replaced(plain, (r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))
+
+
+@query("corpus_bleu_13a", _bleu_sql(_grams(_public_tokens("src"), _public_tokens("trg"))))
 def corpus_bleu_13a(spark, d):
     """Corpus BLEU over the public tokenisation of both sides."""
     side = lambda c: tokenizing.tokens(tokenizing.tokenize_bleu(F.col(c)))
@@ -838,10 +978,19 @@ def unknown_apart(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.array_join(evaluation.unknown_apart(words, False), " ").alias("hyp"))
 
 
-@query("entity_placeholder")
+_KIND_OF = "CASE lower(f[i]) WHEN 'the' THEN 'DET' WHEN 'and' THEN 'CON' ELSE 'PN' END"
+_NUMBER_OF = "len(list_filter(f[:i - 1], lambda z: CASE lower(z) WHEN 'the' THEN 'DET' WHEN 'and' THEN 'CON' ELSE 'PN' END = " + _KIND_OF + "))"
+
+
+@query(
+    "entity_placeholder",
+    f"""WITH {_LINES}, f AS (SELECT doc_id, line_no, lang, regexp_extract_all(line, '(?i)thread|the|and') AS f, string_split_regex(line, '(?i)thread|the|and') AS g FROM l)
+    SELECT doc_id, line_no, lang, g[1] || array_to_string(list_transform(range(1, len(f) + 1), lambda i: '<--plhd-' || {_KIND_OF} || '-' || {_NUMBER_OF} || '/>' || g[i + 1]), '') AS text,
+        array_to_string(list_transform(f, lambda z: CASE lower(z) WHEN 'the' THEN 'le' WHEN 'and' THEN 'et' ELSE 'fil' END), ' ') AS entities FROM f""",
+)
 def entity_placeholder(spark, d):
-    names = [("the", "le", "DET"), ("and", "et", "CON"), ("thread", "fil", "PN")]
-    return evaluation.placed(lines(spark, d), "line", names)
+    names = [("the", "le", "DET"), ("and", "et", "CON"), ("thread", "fil", "")]
+    return evaluation.placed(lines(spark, d).select("doc_id", "line_no", "lang", "line"), "line", names).withColumn("entities", F.array_join("entities", " "))
 
 
 _PATHS = "f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/m/checkpoint_' || doc_id || '.pt' WHEN 1 THEN '/m/checkpoint_best.pt' WHEN 2 THEN '/m/a__b.txt' ELSE '/m/x.log' END AS path FROM documents)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,6 +29,24 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(str(path))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, which cuts its lineage and survives a lost executor.
+
+    The folder is the session's spark.checkpoint.dir; only a local session
+    without one gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="lexiloom-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -38,15 +58,18 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def text_corpus(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """(lang, file, line_no, text) of text files; line_no follows each file's order.
+def text_corpus(spark: SparkSession, path: str, lang: str, across_files: bool = False) -> DataFrame:
+    """(lang, file, line_no, text) of text files; line_no follows each file's order, or goes on from file to file by name.
 
-    Files are read whole-line by Spark; the number is the line's rank by its
-    file and position, which needs one sort of (file, position) only.
+    A line's number is its place in its block of the file and the lines of the
+    blocks before, so that a large file is numbered by many tasks.
     """
     rows = spark.read.text(path).select(F.lit(lang).alias("lang"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
-    number = F.row_number().over(W.partitionBy("file").orderBy("block", "at")) - 1
-    return rows.select("lang", "file", number.cast("bigint").alias("line_no"), "text")
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    order = W.orderBy("file", "block") if across_files else W.partitionBy("file").orderBy("block")  # a row for each block of a file
+    bases = counts.select("file", "block", (F.sum("n").over(order) - F.col("n")).alias("base"))
+    number = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("number", number).join(bases, ["file", "block"]).select("lang", "file", (F.col("number") + F.col("base")).cast("bigint").alias("line_no"), "text")
 
 
 def parallel_corpus(src: DataFrame, trg: DataFrame) -> DataFrame:
@@ -84,8 +107,16 @@ def capped(entries: DataFrame, cap: int, by: list[str]) -> DataFrame:
     return entries.withColumn("_n", n).where(F.col("_n") <= cap + 1).drop("_n")
 
 
-def multi_lexicon(rows: DataFrame, column: str, source_languages: list[str] | None = None, mark: str = "__") -> DataFrame:
-    """(src_lang, src_word, trg_lang, trg_word, depth) of tab-separated adjacency lines."""
+def multi_lexicon(rows: DataFrame, column: str, source_languages: list[str] | None = None, mark: str = "__", cap: int | None = None, order: str | None = None) -> DataFrame:
+    """(src_lang, src_word, trg_lang, trg_word, depth) of tab-separated adjacency lines.
+
+    With ``cap``, the first ``cap`` + 1 lines of a source language by ``order``
+    (a column of ``rows``), or of all languages; others don't count.
+    """
+    if cap is not None:
+        if source_languages:
+            rows = rows.where(F.lower(F.substring(column, 1, 2)).isin(source_languages))
+        rows = rows.orderBy(order).limit(cap + 1)
     cells = F.split(F.col(column), "\t")
     head = F.get(cells, F.lit(0))
     out = rows.select(head.alias("head"), F.explode(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))).alias("cell"))
@@ -150,6 +181,75 @@ def generation_log(rows: DataFrame, column: str) -> DataFrame:
     )
 
 
+def nonbreaking_prefixes(spark: SparkSession, folder: str, lang: str, most: int = 100_000) -> dict[str, int]:
+    """Abbreviations of the file nonbreaking_prefix.<lang>, of English where a language has none: 1, or 2 for those before numbers only.
+
+    Lines that begin with # and empty ones don't count.  The table is part of a
+    plan's expressions, so a file of more than ``most`` lines is an error.
+    """
+    for name in (lang, "en"):
+        path = f"{folder.rstrip('/')}/nonbreaking_prefix.{name}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            break
+    else:
+        raise FileNotFoundError(f"no abbreviations in {folder}")
+    rows = spark.read.text(path).where("value <> '' and not startswith(value, '#')").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} abbreviations in {path}")
+    out: dict[str, int] = {}
+    for r in rows:
+        head, mark, _ = r.value.rpartition("#NUMERIC_ONLY#")
+        if mark and head != head.rstrip():
+            out[head.rstrip()] = 2
+        else:
+            out[r.value] = 1
+    return out
+
+
+def patterns(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
+    """The regular expressions of a file of protected patterns, or the entries of a glossary, one a line."""
+    rows = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} patterns in {path}")
+    return [r.value for r in rows]
+
+
+def embedding_files(spark: SparkSession, vectors: str, sentences: str, lang: str) -> DataFrame:
+    """(lang, id, text, vec): comma-separated vectors, and tab-separated ids and sentences, line by line."""
+    v = text_corpus(spark, vectors, lang, across_files=True).select("line_no", F.split("text", ",").cast("array<float>").alias("vec"))
+    t = text_corpus(spark, sentences, lang, across_files=True)
+    parts = F.split(F.trim("text"), "\t")
+    return t.select("line_no", "lang", F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("text")).join(v, "line_no").select("lang", "id", "text", "vec")
+
+
+def write_embeddings(rows: DataFrame, folder: str, lang: str) -> None:
+    """(id, text, vec) as the two files that ``embedding_files`` reads, with one order."""
+    one = settled(rows.select("id", "text", "vec").orderBy("id"))
+    one.select(F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("value")).write.mode("overwrite").text(f"{folder}/{lang}_sent_avg_pool.csv")
+    one.select(F.concat_ws("\t", F.col("id").cast("string"), "text").alias("value")).write.mode("overwrite").text(f"{folder}/{lang}.txt")
+
+
+def shards(existing: set[str], split: str, src: str, trg: str, combine: bool = True) -> list[tuple[str, bool]]:
+    """Name prefixes of a dataset's shards, and whether the pair is stored the other way round.
+
+    ``existing`` holds names like train.en-de.en.  Shards are split, split1, ..
+    up to the first that isn't there; no shard at all is an error.
+    """
+    out: list[tuple[str, bool]] = []
+    while not out or combine:
+        name = split + (str(len(out)) if out else "")
+        for a, b in ((src, trg), (trg, src)):
+            if f"{name}.{a}-{b}.{src}" in existing:
+                out.append((f"{name}.{a}-{b}.", a != src))
+                break
+        else:
+            if not out:
+                raise FileNotFoundError(f"no dataset {split} of {src} and {trg}")
+            break
+    return out
+
+
 def embeddings(rows: DataFrame, dimension: int) -> DataFrame:
     return rows.where((F.size("embedding") == dimension) & F.col("embedding").isNotNull())
 

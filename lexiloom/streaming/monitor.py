@@ -31,9 +31,9 @@ def decoded_name(name: Column) -> Column:
     return F.replace(name, F.lit("__"), F.lit("/"))
 
 
-def new_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, modificationTime, length) of files as they appear; their content stays unread."""
-    rows = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+def new_files(spark: SparkSession, folder: str, pattern: str = "*", most: int = 1000) -> DataFrame:
+    """(path, modificationTime, length) of files as they appear, at most ``most`` in a micro-batch; their content stays unread."""
+    rows = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", most).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
     return rows.select("path", "modificationTime", "length")
 
 
@@ -43,7 +43,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def for_each_new(files: DataFrame, wanted: Callable[[Column], Column], act: Callable[[list[str]], None], state: str, once: bool = True) -> StreamingQuery:
-    """``act`` on the paths of each micro-batch; the checkpoint folder ``state`` keeps what is done."""
+    """``act`` on the paths of each micro-batch, whose number ``new_files`` bounds; the checkpoint folder ``state`` keeps what is done."""
 
     def batch(rows: DataFrame, _: int) -> None:
         act([r.path for r in rows.where(wanted(F.col("path"))).select("path").collect()])

@@ -72,6 +72,24 @@ def test_protected_and_markup(spark):
     assert got == ["see <--plhd-PN-0/> , ok", "<seg id='1'>"]
 
 
+def test_protected_expressions(spark):
+    build = lambda c: tokenizing.tokenize(c, "en", protected=[r"<[^>]+>", r"\w+@\w+\.org"])
+    got = one(spark, build, "a <b c='d'>, me@x.org. <b c='d'> e-f", "no match, here", "x (me@y.org) me@y.org", None)
+    assert got == ["a <b c='d'> , me@x.org . <b c='d'> e @-@ f", "no match , here", "x ( me@y.org ) me@y.org", None]
+
+
+def test_long_lines_take_linear_time(spark):
+    import time
+
+    took = []
+    for words in (2_000, 16_000):
+        rows = spark.createDataFrame([("word. Next, " * words,)], "t string")
+        start = time.time()
+        rows.select(F.length(tokenizing.tokenize(F.col("t"), "en"))).collect()
+        took.append(time.time() - start)
+    assert took[1] < 8 * took[0] + 8
+
+
 def test_treebank(spark):
     got = one(spark, lambda c: tokenizing.tokenize_treebank(c, escape=False), 'He said, "I can\'t (really) go."', "I cannot... we'll")
     assert got == ["He said , `` I ca n't -LRB- really -RRB- go . ''", "I can not ... we 'll"]
@@ -109,6 +127,7 @@ def naive_merges(words, operations):
 def test_learned_merges_equal_recounting(spark):
     random.seed(3)
     words = {"".join(random.choice("abc") for _ in range(random.randint(1, 6))): random.randint(1, 9) for _ in range(60)}
+    words |= {"aaaa": 3, "aaaaa": 2, "abababa": 4}
     vocab = spark.createDataFrame(list(words.items()), "token string, freq long")
     assert vocabulary.learn_merges(vocab, 40) == naive_merges(words, 40)
 
@@ -122,6 +141,24 @@ def test_pieces_join_to_the_word(word):
     assert all(p.endswith("@@") for p in pieces[:-1]) and not pieces[-1].endswith("@@")
 
 
+def test_glossary_and_versions():
+    merges = [("a", "b"), ("ab", "c"), ("b", "</w>")]
+    assert vocabulary.WordEncoder(merges, glossary=["USA"])("1USAabc") == ["1@@", "USA@@", "ab@@", "c"]
+    assert vocabulary.WordEncoder(merges, glossary=["USA"])("USA") == ["USA"]
+    assert vocabulary.WordEncoder(merges, version=(0, 1))("abc") == ["abc"]
+    assert vocabulary.WordEncoder(merges, version=(0, 1))("cb") == ["c@@", "b"]
+    assert vocabulary.WordEncoder(merges)("abc") == ["ab@@", "c"]
+    with pytest.raises(ValueError):
+        vocabulary.WordEncoder(merges, version=(0, 3))
+
+
+def test_learning_has_a_bound(spark):
+    vocab = spark.createDataFrame([("ab", 3), ("cd", 1)], "token string, freq long")
+    assert vocabulary.learn_merges(vocab, 5, least_freq=2, most_words=1) == [("a", "b</w>")]
+    with pytest.raises(ValueError):
+        vocabulary.learn_merges(vocab, 5, most_words=1)
+
+
 def test_vocabulary_constraint():
     merges = {("a", "b"): 0, ("ab", "c</w>"): 1}
     assert vocabulary.encode_word("abc", merges) == ["abc"]

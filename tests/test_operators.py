@@ -137,7 +137,29 @@ def test_pooling_entities_and_rows(spark):
     e = evaluation.placed(spark.createDataFrame([(1, "Visit New York and york now please"), (2, "york")], "id int, line string"), "line", [("new york", "NY", "LOC"), ("york", "Y", "LOC")])
     got = {r.id: (r.text, r.entities) for r in e.collect()}
     assert got[1] == ("Visit <--plhd-LOC-0/> and <--plhd-LOC-1/> now please", ["NY", "Y"])
-    assert got[2] == ("york", [])
+    assert got[2] == ("<--plhd-LOC-0/>", ["Y"])
+    late = evaluation.placed(spark.createDataFrame([(1, "the york, New York")], "id int, line string"), "line", [("new york", "NY", ""), ("york", "Y", "LOC")], words=["york"] + ["x"] * 9 + ["New York"])
+    assert [(r.text, r.entities) for r in late.collect()] == [("the york, <--plhd-PN-0/>", ["NY"])]
+    assert [r.entities for r in evaluation.placed(spark.createDataFrame([("x",)], "line string"), "line", []).collect()] == [[]]
+
+
+def test_entities_without_the_library_are_the_same():
+    import sys
+
+    keys, text = ["ab", "c", "abcd", "bc"], "abcd bc xabc ab"
+    found = evaluation._finder(keys)(text)
+    had = sys.modules.get("ahocorasick")
+    sys.modules["ahocorasick"] = None
+    try:
+        assert evaluation._finder(keys)(text) == found
+    finally:
+        del sys.modules["ahocorasick"]
+        if had:
+            sys.modules["ahocorasick"] = had
+    assert [k for _, _, k in evaluation._spans(found)] == ["ab", "abcd", "bc", "ab", "c", "ab"]
+
+
+def test_new_rows(spark):
     fresh = evaluation.new_embedding_rows(spark, 5, 40, 64).collect()
     values = np.array([r.vec for r in fresh])
     assert values.shape == (40, 64) and abs(values.std() - 64**-0.5) < 0.01
@@ -153,12 +175,92 @@ def test_dataset_columns(spark):
     assert [x.ratio for x in r] == [1.5, 0.0]
 
 
+def test_ranks_leave_own_columns_alone(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b", i, -i, 7, "h", "g0") for i in range(60)], "id long, g string, _h long, _rank long, _n int, h string, g0 string")
+    for out in (sampling.down_sample(rows, F.col("id"), 0.5, by=["g"]), sampling.up_sample(rows, F.col("id"), 1.5), sampling.balance(rows, F.col("id"), "g"), sampling.shuffled(rows, F.col("id")), sampling.head_fraction(rows, "id", 50)):
+        assert out.columns[:7] == rows.columns
+        assert all(r._h == r.id and r._rank == -r.id and (r._n, r.h, r.g0) == (7, "h", "g0") for r in out.collect())
+    assert sorted(r.id for r in sampling.head_fraction(rows.repartition(7), "id", 50).collect()) == list(range(30))
+    ranks = {r.row.id: r["rank"] for r in sampling.ranked_by(rows, "_n", "id", width=4).collect()}
+    assert ranks == {i: i + 1 for i in range(60)}
+
+
+def test_directions_are_resampled(spark):
+    rows = spark.createDataFrame([(i, "de", "en", f"d{i}", f"e{i}") for i in range(10)] + [(20 + i, "en", "fr", f"e{i}", f"f{i}") for i in range(4)], "id long, src_lang string, trg_lang string, src string, trg string")
+    out = corpora.in_directions(rows, ["en2de", "de2en", "fr2en"], {"en2de": 0.5, "de2en": 2.25})
+    got = Counter((r.src_lang, r.trg_lang) for r in out.collect())
+    assert got == {("en", "de"): 5, ("de", "en"): 22, ("fr", "en"): 4}
+    assert all(r.src.startswith(r.src_lang[0]) and r.trg.startswith(r.trg_lang[0]) for r in out.collect())
+
+
+def test_abbreviation_files(spark, tmp_path):
+    (tmp_path / "nonbreaking_prefix.en").write_text("# titles\nDr\n\nNo #NUMERIC_ONLY#\nart.\n")
+    got = corpus.nonbreaking_prefixes(spark, str(tmp_path), "xx")
+    assert got == {"Dr": 1, "No": 2, "art.": 1}
+    with pytest.raises(FileNotFoundError):
+        corpus.nonbreaking_prefixes(spark, str(tmp_path / "none"), "en")
+    with pytest.raises(ValueError):
+        corpus.nonbreaking_prefixes(spark, str(tmp_path), "en", most=2)
+    from lexiloom.functions import tokenizing
+
+    rows = spark.createDataFrame([("Dr. No. 5 and No. X.",)], "t string")
+    assert rows.select(tokenizing.tokenize(F.col("t"), "xx", prefixes=got).alias("t")).first().t == "Dr. No. 5 and No . X ."
+
+
+def test_shards():
+    names = {"train.en-de.en", "train1.de-en.en", "train2.en-de.en", "valid.de-en.en"}
+    assert corpus.shards(names, "train", "en", "de") == [("train.en-de.", False), ("train1.de-en.", True), ("train2.en-de.", False)]
+    assert corpus.shards(names, "train", "en", "de", combine=False) == [("train.en-de.", False)]
+    assert corpus.shards(names, "valid", "en", "de") == [("valid.de-en.", True)]
+    with pytest.raises(FileNotFoundError):
+        corpus.shards(names, "test", "en", "de")
+
+
+def test_written_files_read_back(spark, tmp_path):
+    merges = [("a", "b"), ("ab", "c</w>")]
+    vocabulary.write_merges(merges, spark, str(tmp_path / "codes"))
+    lines = corpus.text_corpus(spark, str(tmp_path / "codes"), "xx", across_files=True).select(F.col("line_no").alias("rank"), F.col("text").alias("value"))
+    assert [(r.left, r.right) for r in corpus.merges(lines).orderBy("rank").collect()] == merges
+    vocabulary.write_vocabulary(spark.createDataFrame([("x", 5), ("y", 7)], "token string, freq long"), str(tmp_path / "vocab"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "vocab")).collect()] == ["y\t7", "x\t5"]
+    corpora.write_languages(spark.createDataFrame([("en", "a"), ("de", "b")], "lang string, text string"), str(tmp_path / "langs"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "langs" / "lang=de")).collect()] == ["b"]
+    log = spark.createDataFrame([("H", 1, "one", 0), ("H", 1, "more", 1), ("H", 2, "two", 0), ("S", 2, "src", 1), ("H", 3, "x", 0)], "line_type string, id long, text string, at int")
+    corpora.write_hypotheses(log, spark.createDataFrame([(1, "r1"), (2, "r2")], "id long, ref string"), str(tmp_path / "out"))
+    assert [sorted(r.value for r in spark.read.text(str(tmp_path / "out" / n)).collect()) for n in ("hyp", "ref")] == [["one", "two"], ["r1", "r2"]]
+    vectors = spark.createDataFrame([(f"id{i:03d}", f"text {i}", [i + 0.5, -i * 0.25]) for i in range(40)], "id string, text string, vec array<float>")
+    corpus.write_embeddings(vectors.repartition(5), str(tmp_path / "emb"), "en")
+    back = corpus.embedding_files(spark, str(tmp_path / "emb" / "en_sent_avg_pool.csv"), str(tmp_path / "emb" / "en.txt"), "en")
+    assert sorted((r.id, r.text, tuple(r.vec)) for r in back.collect()) == sorted((r.id, r.text, tuple(r.vec)) for r in vectors.collect())
+
+
+def test_language_token_ids(spark):
+    ids = spark.createDataFrame([("LANG_TOK_DE", 7), ("<unk>", 3)], "token string, id long")
+    assert vocabulary.token_id(ids, "LANG_TOK_DE", 3) == 7
+    for bad in ("LANG_TOK_FR", "<unk>"):
+        with pytest.raises(ValueError):
+            vocabulary.token_id(ids, bad, 3)
+
+
+def test_capped_multi_lexicon(spark):
+    rows = spark.createDataFrame([(0, "DE__x\tEN__y__1"), (1, "EN__a\tDE__b__1"), (2, "EN__c\tDE__d__1"), (3, "EN__e\tDE__f__1")], "n int, value string")
+    assert sorted(r.src_word for r in corpus.multi_lexicon(rows, "value", ["en"], cap=1, order="n").collect()) == ["a", "c"]
+
+
 def test_side_files(spark, tmp_path):
     pairs = spark.createDataFrame([(2, "b", "y"), (1, "a", "x")], "id long, src string, trg string")
     corpora.write_sides(pairs, str(tmp_path), "id", ("en", "de"))
     src = corpus.text_corpus(spark, str(tmp_path / "en"), "en")
     trg = corpus.text_corpus(spark, str(tmp_path / "de"), "de")
     assert [tuple(r) for r in corpus.parallel_corpus(src, trg).orderBy("line_no").collect()] == [(0, "a", "x"), (1, "b", "y")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several parts
+    try:
+        corpora.write_sides(spark.range(500).selectExpr("id", "concat('s', id) src", "concat('t', id) trg"), str(tmp_path / "many"), "id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sides = [corpus.text_corpus(spark, str(tmp_path / "many" / n), "en", across_files=True) for n in ("src", "trg")]
+    assert sides[0].select("file").distinct().count() > 1
+    assert [tuple(r) for r in corpus.parallel_corpus(*sides).orderBy("line_no").collect()] == [(i, f"s{i}", f"t{i}") for i in range(500)]
 
 
 def test_vocabulary_sets(spark):
