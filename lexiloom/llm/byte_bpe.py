@@ -1,18 +1,22 @@
-"""Byte-level BPE by Spark higher-order functions over distinct words.
-
-One pass, without a shuffle.  A first Arrow step reads a block of documents,
-splits each text where the vocabulary's pattern does, and emits the block's
-distinct words, as arrays of byte values, followed by its documents as lists of
-word numbers.  Between the two Arrow steps Spark folds the ranked merges over
-every word: the state is the list of tokens with the rank of each neighbouring
-pair; a step takes the smallest rank (the first of equals), replaces the pair
-and looks up the two new pairs.  The ranks are one literal, an array of small
-maps dealt out by a hash of the pair, so that a lookup reads one of them.  The
-last Arrow step receives each word's ids and binary pieces in order and puts
-the documents together.
+"""Byte-level BPE: ranked merges folded over the distinct words of a block.
+
+One pass, without a shuffle.  A block of documents is split where the
+vocabulary's pattern splits, the merges are folded over its distinct words, and
+the documents are put together from their words' ids and binary pieces.  Two
+ways to fold give the same ids:
+
+``encode``, which the query uses, folds all words of a block at once in Arrow
+batches: each step takes every word's smallest rank (the first of equals),
+replaces the pair and looks up the two new pairs.
+
+``encode_folded`` folds in Spark higher-order functions, between two Arrow
+steps: the state of a word is the list of its tokens with the rank of each
+neighbouring pair; the ranks are one literal, an array of small maps dealt out
+by a hash of the pair, so that a lookup reads one of them.  It costs about five
+times as much CPU (see the README).
 
 A word of more than ``FOLDED_BYTES`` bytes would take a fold of quadratic cost;
-the same merges are then made with a heap, in the last step.
+the same merges are then made with a heap.
 
 Null and empty texts have no ids.  Repeated rows are encoded each; columns
 besides doc_id and text are ignored.

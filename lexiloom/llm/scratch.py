@@ -3,7 +3,9 @@
 Intermediate results that must survive a lost executor are written as Parquet
 below the folder in ``spark.checkpoint.dir``.  The folder is read from the
 session; only where it is unset (a local test session) a temporary folder of
-this machine is used, and never on a cluster.
+this machine is used, and never on a cluster.  All tables of an application lie
+in one folder, which ``clear`` deletes: call it when the results of its queries
+have been written.  A session that ends with Python clears up by itself.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_BYTES = 64 << 20
 _local: dict[str, str] = {}
 _written: dict[tuple[str, str], list[str]] = {}
 _scope = [""]
+_applications: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +42,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def application_dir(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _applications:
+        _applications.add(app)
+        atexit.register(_clear_at_end, app)
+    return f"{shared_dir(spark)}/lexiloom/{app}"
+
+
+def _clear_at_end(app: str) -> None:
+    if SparkContext._active_spark_context is not None and SparkContext._active_spark_context.applicationId == app:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            clear(spark)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; no DataFrame built on them can be read any more."""
+    _delete(spark, application_dir(spark))
+    for key in [k for k in _written if k[0] == spark.sparkContext.applicationId]:
+        del _written[key]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.setdefault((spark.sparkContext.applicationId, _scope[-1]), []).append(path)
     return path
 
@@ -67,10 +98,8 @@ def release(spark: SparkSession, name: str) -> None:
 
     Call it only when every DataFrame built on them has been written.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in _written.pop((spark.sparkContext.applicationId, name), []):
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    for path in _written.pop((spark.sparkContext.applicationId, name), []):
+        _delete(spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
