@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import cotraining, near_duplicates, packing, queries, scratch, suffix_dedup, toxicity, vocabulary
 
-#: Bytes from which a repeated passage is cut out; over 50 words are nearly always longer, but 51 words can have as few as 101 bytes.
+#: Bytes from which a repeated passage is cut out; 51 words of prose are longer, but 51 words of one or two letters can have as few as 101 bytes and stay.
 PASSAGE_BYTES = 200
 PASSAGE_GRAM = 48
 
@@ -70,16 +70,23 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express the trained stages; tests compare the pipeline with brute force.
+#: SQL can't express the trained stages; tests/llm compare each stage with brute force or held-out labels, on what the stages before it kept.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = queries.table(spark, sf_dir, "documents")
-    with scratch.scope("pipeline outputs"):
-        paths = [scratch.new_path(spark, name) for name, _ in STAGES]
-    for (_, stage), path in zip(STAGES, paths):
+    """All stages over the documents of ``sf_dir``.
+
+    A stage's output goes when the next one is written; the last one stays for
+    the result, until ``scratch.clear`` or the end of the application.
+    """
+    docs, before = queries.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with scratch.scope(f"pipeline {name}"):
+            path = scratch.new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        scratch.release(spark, "pipeline")
+        if before:
+            scratch.release(spark, f"pipeline {before}")
+        docs, before = spark.read.parquet(path), name
     return docs
