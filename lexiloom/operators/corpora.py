@@ -82,5 +82,15 @@ def with_eos(ids: Column, eos: int, longest: int) -> Column:
     return F.concat(F.slice(bare, 1, longest - 1), F.array(F.lit(eos).cast("bigint")))
 
 
+def with_language_id(ids: Column, language: int) -> Column:
+    """The ids with the number of their language's token behind them."""
+    return F.concat(ids, F.array(F.lit(language).cast("bigint")))
+
+
+def with_prefix(rows: DataFrame, prefix: int | None) -> DataFrame:
+    """Every row with the ids that decoding starts from: one, or none."""
+    return rows.withColumn("prefix", F.array(F.lit(prefix).cast("bigint")) if prefix is not None else F.array().cast("array<bigint>"))
+
+
 def fits(rows: DataFrame, column: str, most: int) -> DataFrame:
     return rows.where(F.size(column) <= most)

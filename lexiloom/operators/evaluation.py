@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.operators.vocabulary import new_tokens
+
 ORDERS = 4
 BLOCK_ROWS = 2048
 
@@ -177,6 +179,29 @@ def new_embedding_rows(spark: SparkSession, first_id: int, count: int, dimension
     return noise.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s.x.cast("float")).alias("vec"))
 
 
+#: The tables of a model that hold a row for each token.
+EMBEDDING_TABLES = ("encoder.embed_tokens.weight", "decoder.embed_tokens.weight")
+
+
+def extended(parameters: DataFrame, current: DataFrame, more: DataFrame, dimension: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(parameters, vocabulary) with a row in both embedding tables for each token of ``more`` that ``current`` lacks.
+
+    ``parameters`` is (param, pos, value), pos counting through a table's rows;
+    vocabularies are (token, freq).  Other parameters stay as they are.
+    """
+    fresh = new_tokens(current, more).select("token", F.lit(20).cast("bigint").alias("freq"))
+    rows = current.count()
+    tables = F.explode(F.array(*map(F.lit, EMBEDDING_TABLES))).alias("param")
+    drawn = new_embedding_rows(parameters.sparkSession, rows, fresh.count(), dimension, seed)
+    places = drawn.select("id", F.posexplode("vec").alias("i", "value")).select(tables, (F.col("id") * dimension + F.col("i")).alias("pos"), F.col("value").cast("double").alias("value"))
+    return parameters.select("param", F.col("pos").cast("bigint").alias("pos"), "value").unionByName(places), current.select("token", "freq").unionByName(fresh)
+
+
+def write_parameters(parameters: DataFrame, folder: str) -> None:
+    """(param, pos, value) as Parquet, a subfolder for each parameter, in ranges of pos."""
+    parameters.repartitionByRange("param", "pos").sortWithinPartitions("param", "pos").write.mode("overwrite").partitionBy("param").parquet(folder)
+
+
 def top_averages(scores: DataFrame, parameters: DataFrame, testset: str, sizes: list[int]) -> DataFrame:
     """(k, param, pos, value): for each k of ``sizes`` the mean over the k best checkpoints."""
     best = ranked_checkpoints(scores, testset, max(sizes)).withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.desc("number"))))

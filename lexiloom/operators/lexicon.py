@@ -16,6 +16,11 @@ def grouped(entries: DataFrame) -> DataFrame:
     return entries.groupBy("lang", "src_word").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "trg_word"))), lambda x: x.trg_word).alias("trg_words"))
 
 
+def by_depth(entries: DataFrame) -> DataFrame:
+    """(src_lang, src_word, depth, words): the candidates (trg_word, trg_lang) of each word and depth."""
+    return entries.groupBy("src_lang", "src_word", "depth").agg(F.sort_array(F.collect_list(F.struct("trg_word", "trg_lang"))).alias("words"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, once, without loops."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -93,6 +93,16 @@ class RunConfig:
         return {"name": key, "steps": self.steps} | own.__dict__
 
 
+    def generated(self) -> dict[str, str]:
+        """The configuration text of each pair and language, as ``parse`` reads it: its own settings and the shared ones."""
+        out = {}
+        for key in [*self.names("pairs"), *self.names("languages")]:
+            own = self.resolved(key)
+            lines = [f"{k}: {':'.join(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else v}" for k, v in own.items()]
+            out[key] = "\n".join(lines) + "\n"
+        return out
+
+
 def parse(text: str) -> RunConfig:
     """Configuration text with two-space indents and ``key: value`` lines, comments after #."""
     tree: dict = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -106,10 +107,32 @@ class Pipeline:
             rows = e.decode(rows, column)
         return rows
 
+    @staticmethod
+    def from_json(text: str, make: dict[str, Callable[[dict], Encoder]]) -> "Pipeline":
+        """The encoders that ``to_json`` named, each made from its entry by ``make``."""
+        return Pipeline([make[t["class"]](t) for t in json.loads(text)["transformers"]])
+
     def to_json(self) -> str:
         return json.dumps({"transformers": [e.spec() for e in self.encoders]}, sort_keys=True)
 
 
+def per_command(rows: DataFrame, column: str, command: list[str]) -> DataFrame:
+    """A program over batches of one text column: it reads lines and writes as many.
+
+    Line breaks inside a text go in as blanks.  The program must be installed on
+    every executor.
+    """
+
+    def run(texts: list[str | None]) -> list[str]:
+        sent = "".join((t or "").replace("\n", " ") + "\n" for t in texts)
+        got = subprocess.run(command, input=sent, capture_output=True, text=True, check=True).stdout.split("\n")[:-1]
+        if len(got) != len(texts):
+            raise ValueError(f"{command[0]} wrote {len(got)} lines for {len(texts)}")
+        return got
+
+    return per_batch(rows, column, run)
+
+
 def per_batch(rows: DataFrame, column: str, f: Callable[[list[str]], list[str]]) -> DataFrame:
     """A Python function over batches of one text column, as an operator."""
 

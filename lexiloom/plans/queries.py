@@ -1002,3 +1002,7 @@ def event_file_filter(spark, d):
     path = F.when(k == 0, F.concat(F.lit("/m/checkpoint_"), F.col("doc_id").cast("string"), F.lit(".pt"))).when(k == 1, F.lit("/m/checkpoint_best.pt")).when(k == 2, F.lit("/m/a__b.txt")).otherwise(F.lit("/m/x.log"))
     rows = table(spark, d, "documents").select("doc_id", path.alias("path"))
     return rows.select("doc_id", monitor.checkpoint_name(F.col("path")).alias("ckpt"), monitor.result_name(F.col("path")).alias("result"), monitor.decoded_name(F.col("path")).alias("name"))
+
+
+# the queries of files and streams register themselves in the same catalogue
+from lexiloom.plans import file_queries as _file_queries  # noqa: E402, F401

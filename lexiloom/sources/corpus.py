@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,21 +30,32 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(str(path))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, which cuts its lineage and survives a lost executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir; only a local session
-    without one gets a temporary folder.
+    It is spark.checkpoint.dir; only a local session without one gets a
+    temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="lexiloom-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, which cuts its lineage and survives a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -72,11 +84,12 @@ def text_corpus(spark: SparkSession, path: str, lang: str, across_files: bool =
     return rows.withColumn("number", number).join(bases, ["file", "block"]).select("lang", "file", (F.col("number") + F.col("base")).cast("bigint").alias("line_no"), "text")
 
 
-def parallel_corpus(src: DataFrame, trg: DataFrame) -> DataFrame:
-    """Two sides joined by line number; a missing side is an empty line."""
+def parallel_corpus(src: DataFrame, trg: DataFrame, alignments: DataFrame | None = None) -> DataFrame:
+    """Two sides joined by line number; a missing side is an empty line.  With ``alignments``, also ``align``, null where a line has none."""
     a = src.select("line_no", F.col("text").alias("src"))
     b = trg.select("line_no", F.col("text").alias("trg"))
-    return a.join(b, "line_no", "full").select("line_no", F.coalesce("src", F.lit("")).alias("src"), F.coalesce("trg", F.lit("")).alias("trg"))
+    both = a.join(b, "line_no", "full").select("line_no", F.coalesce("src", F.lit("")).alias("src"), F.coalesce("trg", F.lit("")).alias("trg"))
+    return both if alignments is None else both.join(alignments.select("line_no", F.col("text").alias("align")), "line_no", "left")
 
 
 def pair_directory(first: str, second: str, existing: set[str], separator: str = "_") -> str:
@@ -139,6 +152,11 @@ def edge_list(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.get(two, F.lit(0)).alias("a"), F.get(two, F.lit(1)).alias("b")).where("a is not null")
 
 
+def edge_files(spark: SparkSession, paths: list[str], most: int = 100) -> DataFrame:
+    """(a, b) of the first ``most`` files of two-word lines."""
+    return edge_list(spark.read.text(paths[:most]), "value")
+
+
 def vocabulary(rows: DataFrame, column: str, separator: str = r"\s+", threshold: int = 0) -> DataFrame:
     parts = F.split(F.col(column), separator)
     out = rows.select(F.get(parts, F.lit(0)).alias("token"), F.expr("try_cast(get(split(`{0}`, '{1}'), 1) as bigint)".format(column, separator.replace("\\", "\\\\"))).alias("freq"))
