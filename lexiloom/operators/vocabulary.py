@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lexiloom.functions.tokenizing import tokens
+from lexiloom.sources.corpus import settled
 
 END = "</w>"
 #: Words that learning takes to the driver.
 MOST_WORDS = 20_000_000
+#: Encoded words that a task keeps.
+KEPT_WORDS = 500_000
 
 
 def word_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -73,10 +77,11 @@ def learn_merges(vocab: DataFrame, operations: int, least: int = 2, least_freq:
     from the words of ``least_freq`` or more occurrences.
     """
     rows = vocab.where(F.length("token") > 0).where(F.col("freq") >= least_freq)
+    rows = settled(rows.select("token", F.col("freq").cast("bigint").alias("freq")))
     n = rows.count()
     if n > most_words:
         raise ValueError(f"{n} words are more than {most_words}: raise least_freq or most_words")
-    table = rows.select("token", F.col("freq").cast("bigint").alias("freq")).toArrow()
+    table = rows.toArrow()
     return Merger(table.column("token"), table.column("freq").to_numpy()).run(operations, least)
 
 
@@ -197,6 +202,12 @@ class WordEncoder:
         self.allowed, self.glossary, self.version, self.mark = allowed, glossary or [], version, mark
         self.halves = {a + b: (a, b) for a, b in reversed(self.ranks)}
 
+    def many(self) -> Callable[[list[str]], list[list[str]]]:
+        """The same for a list of non-empty words."""
+        if self.glossary or self.version != (0, 2):
+            return lambda words: [self(w) for w in words]
+        return BatchEncoder(self)
+
     def __call__(self, word: str) -> list[str]:
         parts = [word]
         for entry in self.glossary:
@@ -211,6 +222,11 @@ class WordEncoder:
         between = [x for rest in part.split(entry) for x in (rest, entry)][:-1]
         return [x for x in between if x]
 
+    def constrained(self, parts: list[str]) -> list[str]:
+        """Merged parts split back to what is allowed, with marks."""
+        pieces = [x for i, p in enumerate(parts) for x in self._split(p, i == len(parts) - 1)]
+        return [p + self.mark for p in pieces[:-1]] + pieces[-1:]
+
     def _pieces(self, part: str) -> list[str]:
         """Without marks; the end mark is taken off the last one."""
         if part in self.glossary or not part:
@@ -235,6 +251,79 @@ class WordEncoder:
         return self._split(left, False) + (self._split(right, final) if right else [])
 
 
+class BatchEncoder:
+    """The merges of ``WordEncoder`` for many words at once, version 0.2 and without a glossary.
+
+    In each round every word that isn't done merges the places of its pair of
+    least rank; the words are one array of symbols throughout.
+    """
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+        self.names = sorted({x for pair in encoder.ranks for x in (*pair, pair[0] + pair[1])})
+        number = {n: i for i, n in enumerate(self.names)}
+        rows = sorted((number[a] << 32 | number[b], rank, number[a + b]) for (a, b), rank in encoder.ranks.items())
+        self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+        # characters as code points, with the end mark above them
+        self.points = {ord(n[0]) + (1 << 21 if len(n) > 1 else 0): i for n, i in number.items() if len(n) == 1 or n[1:] == END}
+
+    def _look(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol made) of each place's pair with its right neighbour."""
+        rank, made = np.full(len(symbol), self.NONE), np.zeros(len(symbol), np.int64)
+        if len(symbol) > 1 and len(self.keys):
+            key = np.where(word[:-1] == word[1:], symbol[:-1] << 32 | symbol[1:], -1)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == key)
+            rank[hit], made[hit] = self.ranks[at[hit]], self.made[at[hit]]
+        return rank, made
+
+    def __call__(self, words: list[str]) -> list[list[str]]:
+        """Pieces of non-empty words."""
+        if not words:
+            return []
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        point = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        point[np.cumsum(length) - 1] += 1 << 21
+        known, where = np.unique(point, return_inverse=True)
+        # characters in no merge get numbers of their own
+        symbol = np.array([self.points.get(p, len(self.names) + p) for p in known.tolist()], np.int64)[where]
+        word = np.repeat(np.arange(len(words)), length)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            rank, made = self._look(symbol, word)
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(word))))
+            still = least < self.NONE
+            if not still.all():
+                done.append((word[~still], symbol[~still]))
+                symbol, word, rank, made, least = symbol[still], word[still], rank[still], made[still], least[still]
+            at = np.flatnonzero(rank == least)
+            if len(at) > 1:  # of overlapping places the first, third, ..
+                chained = np.concatenate([[False], at[:-1] + 1 == at[1:]])
+                begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            symbol[at] = made[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            symbol, word = symbol[keep], word[keep]
+        word, symbol = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]).tolist()
+        used, where = np.unique(symbol[order], return_inverse=True)
+        shown = [self._shown(x) for x in used.tolist()]
+        flat = [shown[i] for i in where.tolist()]
+        parts = [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+        if self.encoder.allowed is None:
+            return [[p + self.encoder.mark for p in w[:-1]] + w[-1:] for w in parts]
+        return [self.encoder.constrained(w) for w in parts]
+
+    def _shown(self, x: int) -> str:
+        name = self.names[x] if x < len(self.names) else chr((x - len(self.names)) & 0x1FFFFF)
+        return name.removesuffix(END)
+
+
 def encode_word(word: str, ranks: dict[tuple[str, str], int], allowed: set[str] | None = None, **how) -> list[str]:
     """Pieces of one word; see ``WordEncoder``."""
     return WordEncoder(sorted(ranks, key=ranks.get), allowed, **how)(word) if word else []
@@ -244,19 +333,47 @@ def encode_words(words: DataFrame, merges: list[tuple[str, str]], allowed: set[s
     """(token, pieces): every distinct word encoded once, in Arrow batches; ``how`` as for ``WordEncoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(merges, allowed, **how)
+        many = WordEncoder(merges, allowed, **how).many()
         for b in batches:
-            yield pa.record_batch({"token": b.column("token"), "pieces": pa.array([encoder(w) for w in b.column("token").to_pylist()], pa.list_(pa.string()))})
+            yield pa.record_batch({"token": b.column("token"), "pieces": pa.array(many(b.column("token").to_pylist()), pa.list_(pa.string()))})
 
-    return words.select("token").distinct().mapInArrow(run, "token string, pieces array<string>")
+    return words.select("token").where("token <> ''").distinct().mapInArrow(run, "token string, pieces array<string>")
 
 
 def encode(rows: DataFrame, key: list[str], column: str, merges: list[tuple[str, str]], allowed: set[str] | None = None, **how) -> DataFrame:
-    """``key`` and the pieces of each row's tokens; distinct words are encoded once and joined back."""
-    words = rows.select(*key, F.posexplode(tokens(F.col(column))).alias("at", "token"))
-    coded = words.join(encode_words(words, merges, allowed, **how), "token")
-    lists = coded.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("_l"))
-    return rows.select(*key).join(lists, key, "left").select(*key, F.coalesce(F.flatten(F.col("_l.pieces")), F.array().cast("array<string>")).alias("pieces"))
+    """``key`` and the pieces of each row's tokens, without a shuffle; ``how`` as for ``WordEncoder``.
+
+    A task encodes each distinct word of a batch once, and keeps up to
+    ``KEPT_WORDS`` of them for its next batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(merges, allowed, **how)
+        many = encoder.many()
+        known: dict[str, list[str]] = {"": []}
+        for b in batches:
+            texts = b.column(column).cast(pa.large_string()).fill_null("")
+            words = pc.split_pattern(texts, " ")
+            codes = words.flatten().dictionary_encode()
+            distinct = codes.dictionary.to_pylist()
+            if len(known) + len(distinct) > KEPT_WORDS:
+                known = {"": []}
+            fresh = [w for w in distinct if w not in known]
+            known.update(zip(fresh, many(fresh)))
+            own = [known[w] for w in distinct]
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            first = np.cumsum(size) - size
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            count = size[at] if len(own) else np.zeros(0, np.int64)
+            total = np.concatenate([[0], np.cumsum(count)])
+            places = np.repeat(first[at] - total[:-1], count) + np.arange(total[-1]) if len(own) else np.zeros(0, np.int64)
+            values = pa.array([p for w in own for p in w], pa.string()).take(pa.array(places, pa.int64()))
+            offsets = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            pieces = pa.ListArray.from_arrays(pa.array(total[offsets], pa.int32()), values)
+            yield pa.record_batch([*(b.column(c) for c in key), pieces], names=[*key, "pieces"])
+
+    some = rows.select(*key, column) if column not in key else rows.select(*key)
+    return some.mapInArrow(run, rows.select(*key).schema.add("pieces", ArrayType(StringType())))
 
 
 def token_ids(rows: DataFrame, key: list[str], pieces: str, ids: DataFrame, unknown: int) -> DataFrame:

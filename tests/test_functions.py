@@ -141,6 +141,15 @@ def test_pieces_join_to_the_word(word):
     assert all(p.endswith("@@") for p in pieces[:-1]) and not pieces[-1].endswith("@@")
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abcé", min_size=1, max_size=12), min_size=1, max_size=12), st.booleans())
+def test_words_at_once_equal_words_one_by_one(words, constrained):
+    merges = [("a", "a"), ("a", "b"), ("aa", "aa"), ("b", "c</w>"), ("ab", "ab"), ("é", "é</w>"), ("aa", "a</w>"), ("ab", "c"), ("a", "b"), ("c", "c")]
+    encoder = vocabulary.WordEncoder(merges, {"a@@", "b@@", "ab@@", "c", "aa@@", "é"} if constrained else None)
+    assert encoder.many()(words) == [encoder(w) for w in words]
+    assert vocabulary.WordEncoder([]).many()(words) == [vocabulary.WordEncoder([])(w) for w in words]
+
+
 def test_glossary_and_versions():
     merges = [("a", "b"), ("ab", "c"), ("b", "</w>")]
     assert vocabulary.WordEncoder(merges, glossary=["USA"])("1USAabc") == ["1@@", "USA@@", "ab@@", "c"]
