@@ -7,9 +7,9 @@ node picks one or two coordinates (1 / threshold on average), and every class in
 the node goes on to the child of each picked coordinate and of its own minwise
 token there, so that a pair as similar as the threshold meets in one child on
 average.  After ``DEPTH`` levels the nodes are compared exhaustively on
-256-bit sketches and set sizes; a node of more than ``NODE_ROWS`` classes first compares the
-classes that resemble its first ones with all others and sends the rest one
-level down, where nodes pick more coordinates, so that pairs which go down in
+256-bit sketches and set sizes; a node of more than ``NODE_ROWS`` classes first
+compares the classes that resemble its first ones with all others and sends the
+rest one level down, where nodes pick more coordinates, so that pairs which go down in
 every tree aren't lost.  With 16 trees a pair just at a similarity of 0.8 is
 missed with a probability of about one in a million if its coordinates are
 independent and it meets at ``DEPTH``, and where it goes down in every tree with
@@ -52,7 +52,7 @@ DEPTH = 4
 LAST_DEPTH = 12
 NODE_ROWS = 2048
 FIRST_ROWS = 16
-#: Rows of one node that meet in one task of the last comparison; larger nodes are compared in a grid of parts.
+#: Rows of one node that are compared at once; larger nodes are compared in pieces first and in a grid of parts at last.
 CELL_ROWS = 8192
 BLOCK = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
@@ -200,8 +200,8 @@ def cross_pairs(key: np.ndarray, look: Look, part_of: np.ndarray) -> Iterator[tu
             yield k + i[i < j], k + j[i < j]
 
 
-def whole_nodes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[pa.Table]:
-    """Tables of at least ``limit`` rows that never split a node; input is sorted by key."""
+def whole_nodes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18, whole: bool = True) -> Iterator[pa.Table]:
+    """Tables of at least ``limit`` rows that split no node, or, unless ``whole``, only nodes of more than ``limit`` rows; input is sorted by key."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -210,7 +210,7 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iter
         if rows >= limit:
             t = pa.Table.from_batches(held).combine_chunks()
             key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
+            cut = int(np.searchsorted(key, key[-1])) or (0 if whole else len(key))
             if cut:
                 yield t.slice(0, cut)
             t = t.slice(cut)
@@ -282,14 +282,39 @@ def _in_nodes(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rep")
 
 
-def look_alikes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (key, rep, first, size and sketch): classes with a look-alike in their node, and an earlier one."""
+def pieces_of(key: np.ndarray, most: int, before: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's piece, whether its node is in pieces): nodes of more than ``most`` rows, and one that began ``before`` this table, are cut into pieces of ``most`` rows."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    split = size > most
+    if len(start) and before is not None:
+        split[0] |= key[0] == before
+    owner = np.repeat(np.arange(len(start)), size)
+    part = np.where(split[owner], (np.arange(len(key)) - start[owner]) // most, 0)
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(0, bool)
+    return np.cumsum(new), split[owner]
+
+
+def look_alikes(classes: DataFrame, threshold: float, piece_rows: int = CELL_ROWS) -> DataFrame:
+    """Rows (key, rep, first, size and sketch): classes with a look-alike in their node, and an earlier one.
+
+    A node of more than ``piece_rows`` rows is compared piece by piece, in
+    bounded memory and linear time; all its rows go down a level too, and at
+    ``LAST_DEPTH`` all stay, for the grid of the last comparison.
+    """
 
     def compare(oversize: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in whole_nodes(batches):
+            before = None
+            for t in whole_nodes(batches, whole=False):
                 key, rep = t.column("key").to_numpy(), t.column("rep").to_numpy()
-                found, down = first_alike(key, _look(t, threshold), oversize)
+                piece, split = pieces_of(key, piece_rows, before)
+                before = int(key[-1])
+                found, down = first_alike(piece, _look(t, threshold), oversize)
+                if oversize:
+                    down |= split
+                else:
+                    found = np.where(split & (found < 0), np.arange(len(key)), found)
                 keep = (found >= 0) | down
                 first = rep[np.maximum(found, 0)]
                 yield pa.record_batch({"key": key[keep], "rep": rep[keep], "first": pa.array(first[keep], mask=found[keep] < 0), "down": down[keep]} | {c: t.column(c).to_numpy()[keep] for c in ("size", *SKETCH)})
@@ -394,7 +419,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -
 def links(classes: DataFrame, docs: DataFrame, width: int, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, component) of the classes that are linked to another one."""
     percent = round(threshold * 100)
-    nodes = look_alikes(classes, threshold)
+    nodes = look_alikes(classes, threshold, cell_rows)
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     tested = materialize(ordered(nodes.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "tested")
     sure = materialize(confirmed(tested, docs, width, threshold), "links")

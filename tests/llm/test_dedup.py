@@ -189,6 +189,13 @@ def test_oversize_nodes_go_down():
     assert (found[100:140] >= 0).all() and found[0] >= 0 and down[200:].all()
 
 
+def test_large_nodes_are_cut_into_pieces():
+    key = np.repeat([3, 5, 9], [4, 7, 2])
+    piece, split = near_duplicates.pieces_of(key, 4, None)
+    assert piece.tolist() == [1] * 4 + [2] * 4 + [3] * 3 + [4] * 2 and split.tolist() == [False] * 4 + [True] * 7 + [False] * 2
+    assert near_duplicates.pieces_of(key, 4, 3)[1][:4].all() and len(near_duplicates.pieces_of(key[:0], 4, 3)[0]) == 0
+
+
 @pytest.mark.parametrize("local", [1_000_000, 0])
 def test_components(spark, local):
     edges = [(1, 2), (2, 3), (10, 11), (11, 9), (20, 21), (3, 30), (30, 29), (7, 7)]
