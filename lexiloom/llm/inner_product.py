@@ -2,11 +2,12 @@
 
 Components become whole numbers, floor(256 * x).  A cell goes through its
 vectors by descending length in chunks.  Queries and vectors are turned by the
-right singular vectors of a bounded sample, so that the first ``HEAD``
-coordinates hold most of the length; by Cauchy-Schwarz the product is at most
-the product of the heads plus the product of the lengths of the rests.  Pairs
-whose bound is below the query's k-th best score are dropped, the others get
-their exact integer product, and a query stops where its length times the
+right singular vectors of a bounded sample, so that the first coordinates hold
+most of the length; by Cauchy-Schwarz the product is at most the sum over the
+first coordinates plus the product of the lengths of the rests.  The sum grows
+over ``HEADS`` coordinates in turn, and at each of them the pairs whose bound is
+below the query's k-th best score are dropped; those left at the end get their
+exact integer product, and a query stops where its length times the
 chunk's largest length can't reach its k-th best.  Bounds carry a slack for
 rounding, so the result is exact.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from lexiloom.llm.vector_cells import best, sampled, search, vectors
 
-HEAD = 16
+HEADS = (16, 32, 48)
 CHUNK = 256
 
 
@@ -29,14 +30,15 @@ def whole(v: np.ndarray) -> np.ndarray:
     return np.floor(256.0 * v).astype(np.int64)
 
 
-def top_products(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, turn: np.ndarray, top: int, head: int = HEAD, chunk: int = CHUNK):
+def top_products(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, turn: np.ndarray, top: int, heads: tuple[int, ...] = HEADS, chunk: int = CHUNK):
     """(query id, id, score) of the ``top`` highest products of each query with vectors of another id."""
     length = np.sqrt((v.astype(float) ** 2).sum(1))
     order = np.lexsort((ids, -length))
     ids, v, length = ids[order], v[order], length[order]
     tv, tq = v @ turn, q @ turn
-    rest = lambda x: np.sqrt(np.maximum((x[:, head:] ** 2).sum(1), 0))
-    rest_v, rest_q, length_q = rest(tv), rest(tq), np.sqrt((q.astype(float) ** 2).sum(1))
+    heads = [h for h in heads if h < q.shape[1]] or [q.shape[1]]
+    rests = lambda x: [np.sqrt((x[:, h:] ** 2).sum(1)) for h in heads]
+    rest_v, rest_q, length_q = rests(tv), rests(tq), np.sqrt((q.astype(float) ** 2).sum(1))
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
     least = np.full(len(q), -np.inf)
     for a in range(0, len(v), chunk):
@@ -45,9 +47,13 @@ def top_products(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.nd
         open_ = np.flatnonzero(length_q * length[a] + slack >= least)
         if not len(open_):
             break
-        bound = tq[open_, :head] @ tv[a:b, :head].T + rest_q[open_][:, None] * rest_v[a:b][None, :]
-        i, j = np.nonzero(bound + slack[open_][:, None] >= least[open_][:, None])
-        i, j = open_[i], a + j
+        sums = tq[open_, : heads[0]] @ tv[a:b, : heads[0]].T
+        i, j = np.nonzero(sums + rest_q[0][open_][:, None] * rest_v[0][a:b][None, :] + slack[open_][:, None] >= least[open_][:, None])
+        partial, i, j = sums[i, j], open_[i], a + j
+        for h, (low, high) in enumerate(zip(heads, heads[1:]), 1):
+            partial = partial + (tq[i, low:high] * tv[j, low:high]).sum(1)
+            near = partial + rest_q[h][i] * rest_v[h][j] + slack[i] >= least[i]
+            partial, i, j = partial[near], i[near], j[near]
         other = ids[j] != query_ids[i]
         i, j = i[other], j[other]
         score = (q[i] * v[j]).sum(1)
