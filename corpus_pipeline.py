@@ -59,7 +59,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that fill windows of 1024 ids."""
     spec = vocabulary.read_vocabulary(queries.tokenizer_path("byte_bpe_50k.json"))
-    return packing.piece_digest(packing.pack(docs, spec, window=1024, end_id=0, keep_loaded=False, block_bytes=4 << 20))
+    return packing.piece_digest(packing.pack(docs, spec, window=1024, end_id=0, keep_loaded=False, block_bytes=1 << 20))
 
 
 STAGES: list[tuple[str, Stage]] = [
