@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.textblocks import blocks, buffer_of, encoded, gather, pretoken_chunks, slices
+from lexiloom.sources.corpus import ship
 
 FOLDED_BYTES = 48
 BLOCK = 16 << 20
@@ -170,6 +171,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens and hashes of the ids and of the decoded bytes, the merges folded by Spark."""
+    ship(docs.sparkSession)
     long_words = F.col("long")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +335,7 @@ def pair_table(ranks: dict[bytes, int]) -> PairTable:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """As ``encode_folded``, with the merges of a block's distinct words folded over Arrow batches."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pair_table(ranks)

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.scratch import materialize, new_path, task_count
 from lexiloom.llm.textblocks import blocks
 from lexiloom.llm.vocabulary import encoder
+from lexiloom.sources.corpus import ship
 
 MAGIC = b"LXKEYED1"
 SHARD_BYTES = 64 << 20
@@ -224,6 +225,7 @@ def write_store(docs: DataFrame, spec: str, end_id: int, keeps_blanks: bool = Fa
     are ignored; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or new_path(spark, "keyed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

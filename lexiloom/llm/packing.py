@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.textblocks import BLOCK_BYTES, blocks
 from lexiloom.llm.vocabulary import encoder, unload
+from lexiloom.sources.corpus import ship
 
 GROUP_DOCUMENTS = 8192
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -121,6 +122,7 @@ def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, keeps_
     With ``keep_loaded`` a worker keeps the tokenizer for its next task; without,
     its memory is free for other stages.  Smaller blocks take less memory and more time.
     """
+    ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

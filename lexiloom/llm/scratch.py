@@ -20,6 +20,8 @@ from collections.abc import Iterator
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.sources.corpus import ship
+
 TARGET_BYTES = 64 << 20
 _local: dict[str, str] = {}
 _written: dict[tuple[str, str], list[str]] = {}
@@ -103,7 +105,11 @@ def release(spark: SparkSession, name: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, so that long texts fit; a number set by the user stays."""
+    """Fewer rows in an Arrow batch than Spark's default, so that long texts fit; a number set by the user stays.
+
+    The package is sent to the executors too: operators call this first.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))

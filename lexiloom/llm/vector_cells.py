@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.sources.corpus import ship
+
 SHARD_ROWS = 8192
 QUERY_ROWS = 8192
 SAMPLE = 8192
@@ -28,6 +30,7 @@ SAMPLE = 8192
 
 def vectors(table: DataFrame, column: str = "embedding", nonzero: bool = False) -> DataFrame:
     """(vec_id, v): the vectors that take part, as doubles."""
+    ship(table.sparkSession)
     v = F.col(column).cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
