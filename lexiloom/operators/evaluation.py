@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.operators.vocabulary import new_tokens
+from lexiloom.sources.corpus import ship
 
 ORDERS = 4
 BLOCK_ROWS = 2048
@@ -124,6 +125,7 @@ def nearest_in_pairs(sources: DataFrame, targets: DataFrame, k: int, wanted: Cal
     product of matrices in Arrow, which returns k rows for each source, and the
     blocks' best are ranked again.  Only the languages' counts come to the driver.
     """
+    ship(sources.sparkSession)
     cuts = []
     for rows in (sources, targets):
         cuts.append({r.lang: max(1, -(-r.n // BLOCK_ROWS)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()})
@@ -221,6 +223,7 @@ def placed(rows: DataFrame, column: str, entities: list[tuple[str, str, str]], w
     in that list, behind the first ``share`` of it.  ``text`` and ``entities``
     (the mapped texts in order) replace ``column``.
     """
+    ship(rows.sparkSession)
     table = {a.lower(): (b, t or "PN") for a, b, t in entities if a}
     late = None if words is None else {w for i, w in reversed(list(enumerate(words))) if words.index(w) == i and i / len(words) > share}
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexiloom.functions.tokenizing import tokens
-from lexiloom.sources.corpus import settled
+from lexiloom.sources.corpus import settled, ship
 
 END = "</w>"
 #: Words that learning takes to the driver.
@@ -332,6 +332,8 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int], allowed: set[str]
 def encode_words(words: DataFrame, merges: list[tuple[str, str]], allowed: set[str] | None = None, **how) -> DataFrame:
     """(token, pieces): every distinct word encoded once, in Arrow batches; ``how`` as for ``WordEncoder``."""
 
+    ship(words.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = WordEncoder(merges, allowed, **how).many()
         for b in batches:
@@ -346,6 +348,7 @@ def encode(rows: DataFrame, key: list[str], column: str, merges: list[tuple[str,
     A task encodes each distinct word of a batch once, and keeps up to
     ``KEPT_WORDS`` of them for its next batches.
     """
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(merges, allowed, **how)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import cleaning, tokenizing
 from lexiloom.operators import corpora, lexicon, sampling, vocabulary
 from lexiloom.plans.config import RunConfig
+from lexiloom.sources.corpus import ship
 
 _REGISTRY: dict[str, Callable[..., Column]] = {}
 
@@ -135,6 +136,7 @@ def per_command(rows: DataFrame, column: str, command: list[str]) -> DataFrame:
 
 def per_batch(rows: DataFrame, column: str, f: Callable[[list[str]], list[str]]) -> DataFrame:
     """A Python function over batches of one text column, as an operator."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,12 +18,14 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once, so that its functions can be loaded there."""
+    """Send the package to the executors once, so that its functions can be loaded there; every operator with Python workers does so first."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         root = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="lexiloom-")) / "lexiloom-package.zip"
+        folder = tempfile.mkdtemp(prefix="lexiloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = Path(folder) / "lexiloom-package.zip"
         with zipfile.ZipFile(path, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
