@@ -18,7 +18,9 @@ and last window).
    only deals out the work and says which further places hold what a read one
    holds; without the resolver nothing is removed.
    An anchor with more than ``CROWD`` different blocks isn't gathered in one
-   task: its windows are listed and counted by two 64-bit hashes instead.
+   task: the places read of its blocks are dealt out again, as texts of their
+   own and by anchors that another hash picks.  After ``LEVELS`` such rounds,
+   windows that still crowd are counted by two 64-bit hashes instead.
 4. The covered parts go back to all occurrences, and each document removes them.
 
 A document is known by a hash of its doc_id and text, so rows without a doc_id
@@ -46,21 +48,27 @@ BLOCK = 1 << 20
 SHARD_BLOCKS = 8192
 #: Distinct blocks that one anchor's group may have in one task.
 CROWD = 20_000
+LEVELS = 3
 #: (contents, anchors, blocks, left, right, width, gram) to the repeated ranges of each content, relative to its anchor; rows are sorted by anchor and block, of which there are two at most.
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int], list[list[tuple[int, int]]]]
 
 
 def elements(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values, document offsets): bytes, or 64-bit hashes of words."""
+    """(values, document offsets): bytes, 64-bit hashes of words, or such hashes as they are ("hash")."""
     data, off = buffer_of(texts)
     if kind == "byte":
         return data, off
+    if kind == "hash":
+        return np.ascontiguousarray(data).view(np.uint64), off // 8
     s, e, first = words(data, off)
     return Slices(data).hash(s, e), first
 
 
-def anchors(values: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Blocks as (document, anchor position, first window, last window, anchor hash, block hash); positions in ``values``."""
+def anchors(values: np.ndarray, off: np.ndarray, width: int, gram: int, level: int = 0) -> tuple[np.ndarray, ...]:
+    """Blocks as (document, anchor position, first window, last window, anchor hash, block hash); positions in ``values``.
+
+    Each ``level`` picks anchors by another hash.
+    """
     n = len(values)
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < width:
@@ -68,6 +76,8 @@ def anchors(values: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple
     hashes = Slices(values)
     at = np.arange(n - gram + 1)
     grams = hashes.hash(at, at + gram)
+    if level:
+        grams = mixed(grams ^ np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     span, size = width - gram + 1, 1
     while size * 2 <= span:
@@ -94,11 +104,11 @@ def with_row(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def anchored(rows: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
+def anchored(rows: DataFrame, kind: str, width: int, gram: int, level: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
             values, off = elements(b.column("text"), kind)
-            doc, p, first, last, anchor, block = anchors(values, off, width, gram)
+            doc, p, first, last, anchor, block = anchors(values, off, width, gram, level)
             base = off[doc]
             yield pa.record_batch({"row": b.column("row").take(pa.array(doc)), "p": (p - base).astype(np.int32), "first": (first - base).astype(np.int32), "last": (last - base).astype(np.int32), "anchor": anchor.view(np.int64), "block": block.view(np.int64)})
 
@@ -137,9 +147,9 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
     return rows, repeated_spans(rows, kind, width, gram, resolver, crowd)
 
 
-def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD, level: int = 0) -> DataFrame:
     """(row, spans) of those of ``rows`` (row, text as string or binary) that have any; rows of equal ``row`` have equal texts."""
-    places = materialize(anchored(rows, kind, width, gram), "places")
+    places = materialize(anchored(rows, kind, width, gram, level), "places")
     counted = places.groupBy("anchor", "block").agg(F.count("*").alias("n"))
     by_anchor = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     repeated = materialize(counted.join(by_anchor, "anchor").select("anchor", "block", "n", "kinds"), "repeated")
@@ -191,7 +201,8 @@ def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver:
             place = np.repeat(f["p"].to_numpy() - f["first"].to_numpy() + first, count)
             yield pa.record_batch({"anchor": f["anchor"].take(of), "block": f["block"].take(of), "n": f["n"].take(of), "at": (at - place).astype(np.int32), "w1": one.hash(at, at + width).view(np.int64), "w2": two.hash(at, at + width).view(np.int64)})
 
-    contents = asked_texts(repeated.where(f"kinds <= {crowd}"), True).mapInArrow(read, "anchor long, block long, left int, right int, content binary")
+    content = "anchor long, block long, left int, right int, content binary"
+    contents = asked_texts(repeated.where(f"kinds <= {crowd}"), True).mapInArrow(read, content)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sorted_groups(batches, SHARD_BLOCKS):
@@ -211,11 +222,20 @@ def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver:
     results = dealt.mapInArrow(resolve, "anchor long, block long, cover array<struct<f:int,t:int>>")
     crowded = repeated.where(f"kinds > {crowd}")
     if not crowded.isEmpty():
-        windows = materialize(asked_texts(crowded, False).mapInArrow(list_windows, "anchor long, block long, n long, at int, w1 long, w2 long").dropDuplicates(["anchor", "block", "at"]), "windows")
-        same = ["anchor", "at", "w1", "w2"]
-        twice = windows.groupBy(*same).agg(F.sum("n").alias("n")).where("n > 1").select(*same)
-        hits = windows.join(twice, same, "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("at")).alias("at"))
-        results = results.unionByName(hits.select("anchor", "block", F.transform("at", lambda x: F.struct(x.alias("f"), (x + width).alias("t"))).alias("cover")))
+        if level < LEVELS:
+            # the places read become texts of their own
+            pieces = materialize(asked_texts(crowded, True).mapInArrow(read, content).select(F.xxhash64("anchor", "block", F.monotonically_increasing_id()).alias("piece"), "anchor", "block", "left", "content"), "pieces")
+            found = repeated_spans(pieces.select(F.col("piece").alias("row"), F.col("content").alias("text")), "byte" if kind == "byte" else "hash", width, gram, resolver, crowd, level + 1)
+            own = pieces.select(F.col("piece").alias("row"), "anchor", "block", "left").join(found, "row")
+            covers = own.select("anchor", "block", F.transform("spans", lambda x: F.struct((x.f - F.col("left")).alias("f"), (x.t - F.col("left")).alias("t"))).alias("cover"))
+            # both copies of a block say the same
+            results = results.unionByName(covers.dropDuplicates(["anchor", "block"]))
+        else:
+            windows = materialize(asked_texts(crowded, False).mapInArrow(list_windows, "anchor long, block long, n long, at int, w1 long, w2 long").dropDuplicates(["anchor", "block", "at"]), "windows")
+            same = ["anchor", "at", "w1", "w2"]
+            twice = windows.groupBy(*same).agg(F.sum("n").alias("n")).where("n > 1").select(*same)
+            hits = windows.join(twice, same, "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("at")).alias("at"))
+            results = results.unionByName(hits.select("anchor", "block", F.transform("at", lambda x: F.struct(x.alias("f"), (x + width).alias("t"))).alias("cover")))
     results = materialize(results, "covers")
     found = only_maybe(places, "block", bitmap(results.select(key))).join(results, ["anchor", "block"])
     moved = F.transform("cover", lambda c: F.struct((F.col("p") + c.f).alias("f"), (F.col("p") + c.t).alias("t")))
