@@ -1,13 +1,11 @@
 """Ordered text rules, folded over a Column.
 
 A rule is (kind, pattern, replacement): kind "text" replaces a literal, kind
-"regex" a Java regular expression with $1-style groups.  The same table can be
-rendered as SQL, which is how the rules are checked on a second engine.
+"regex" a Java regular expression with $1-style groups.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,14 +28,3 @@ def apply(column: Column, rules: list[Rule]) -> Column:
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
-
-
-def as_sql(expression: str, rules: list[Rule]) -> str:
-    """The same fold as nested calls of a dialect with RE2 expressions and \\1-style groups."""
-    for kind, pattern, replacement in rules:
-        if kind == "text":
-            expression = f"replace({expression}, {quoted(pattern)}, {quoted(replacement)})"
-        else:
-            groups = re.sub(r"\$(\d)", r"\\\1", replacement.replace("\\$", "$"))
-            expression = f"regexp_replace({expression}, {quoted(pattern)}, {quoted(groups)}, 'g')"
-    return expression

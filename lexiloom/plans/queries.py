@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import cleaning, tokenizing
-from lexiloom.functions.rules import as_sql, quoted
+from lexiloom.functions.rules import quoted
 from lexiloom.operators import corpora, evaluation, lexicon, sampling, vocabulary
 from lexiloom.sources import corpus
 from lexiloom.streaming import monitor
@@ -40,6 +40,54 @@ def _replaced(expression: str, *rules: tuple[str, str]) -> str:
         expression = f"regexp_replace({expression}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
     return expression
 
+# The rules once more, by hand: nothing of this comes from the tables that the DataFrame side applies.
+_SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TRIMMED = [(" +", " "), ("^ ", ""), (" $", "")]
+_COMMAS = [(r"([^\p{N}]),", r"\1 , "), (r",([^\p{N}])", r" , \1"), (r"(\p{N}),$", r"\1 ,")]
+_QUOTES_EN = [(r"([^\p{L}])'([^\p{L}])", r"\1 ' \2"), (r"([^\p{L}\p{N}])'(\p{L})", r"\1 ' \2"), (r"(\p{L})'([^\p{L}])", r"\1 ' \2"), (r"(\p{L})'(\p{L})", r"\1 '\2"), (r"(\p{N})'(s)", r"\1 '\2")]
+_QUOTES_FR = [(r"([^\p{L}])'([^\p{L}])", r"\1 ' \2"), (r"([^\p{L}])'(\p{L})", r"\1 ' \2"), (r"(\p{L})'([^\p{L}])", r"\1 ' \2"), (r"(\p{L})'(\p{L})", r"\1' \2")]
+_QUOTES_ALONE = [("'", " ' ")]
+_PUNCTUATION = [
+    ("\\r", ""), (r"\(", " ("), (r"\)", ") "), (" +", " "), (r"\) ([.!:?;,])", r")\1"), (r"\( ", "("), (r" \)", ")"), ("([0-9]) %", r"\1%"), (" :", ":"), (" ;", ";"),
+    ("`", "'"), ("''", ' " '), ("„", '"'), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), (" +", " "), ("´", "'"),
+    ("([a-zA-Z])‘([a-zA-Z])", r"\1'\2"), ("([a-zA-Z])’([a-zA-Z])", r"\1'\2"), ("‘", '"'), ("‚", '"'), ("’", '"'), ("''", '"'), ("´´", '"'), ("…", "..."),
+    (r"\x{A0}«\x{A0}", ' "'), (r"«\x{A0}", '"'), ("«", '"'), (r"\x{A0}»\x{A0}", '" '), (r"\x{A0}»", '"'), ("»", '"'),
+    (r"\x{A0}%", "%"), (r"nº\x{A0}", "nº "), (r"\x{A0}:", ":"), (r"\x{A0}ºC", " ºC"), (r"\x{A0}cm", " cm"), (r"\x{A0}\?", "?"), (r"\x{A0}!", "!"), (r"\x{A0};", ";"), (r",\x{A0}", ", "), (" +", " "),
+]
+_PUNCTUATION_OF = {
+    "en": [('"([,.]+)', r'\1"'), (r"([0-9])\x{A0}([0-9])", r"\1.\2")],
+    "other": [(',"', '",'), (r'([.]+)"(\s*(?:[^<]|$))', r'"\1\2'), (r"([0-9])\x{A0}([0-9])", r"\1,\2")],
+}
+
+
+def _punctuation_sql(expression: str, lang: str) -> str:
+    return _replaced(expression, *_PUNCTUATION, *_PUNCTUATION_OF["en" if lang == "en" else "other"])
+
+
+def _escaped(expression: str) -> str:
+    for sign, name in (("&", "&amp;"), ("|", "&#124;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;")):
+        expression = f"replace({expression}, {quoted(sign)}, {quoted(name)})"
+    return expression
+
+
+def _public_tokens(column: str) -> str:
+    plain = f"' ' || {column} || ' '"
+    for old, new in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        plain = f"replace({plain}, {quoted(old)}, {quoted(new)})"
+    return _replaced(plain, (r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))
+
+
+def _unescaped_sql(expression: str) -> str:
+    """Three rounds of twelve named or numbered entities and of those of the letters from à to ÿ."""
+    names = [("&bar;", "|"), ("&#124;", "|"), ("&lt;", "<"), ("&gt;", ">"), ("&bra;", "["), ("&ket;", "]"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&")]
+    for _ in range(3):
+        for name, sign in names:
+            expression = f"replace({expression}, {quoted(name)}, {quoted(sign)})"
+        for code in range(224, 256):
+            expression = f"replace({expression}, '&#{code};', chr({code}))"
+    return expression
+
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
@@ -83,7 +131,7 @@ def max_lang_count(spark, d):
 
 # -- cleaning -----------------------------------------------------------------
 
-_UNESCAPED = as_sql("html", (cleaning.ENTITIES + cleaning.LATIN_ENTITIES) * cleaning.ROUNDS)
+_UNESCAPED = _unescaped_sql("html")
 
 
 @query("page_deescape", f"SELECT page_id, regexp_replace(regexp_replace({_UNESCAPED}, '\\p{{C}}', ' ', 'g'), '[ ][ ]+', ' ', 'g') AS text FROM pages")
@@ -95,7 +143,7 @@ def _punctuated(lang: str, always: bool = False) -> tuple[Query, str]:
     def run(spark, d):
         return lines(spark, d).where(F.col("lang") == lang).select("doc_id", "line_no", cleaning.normalize_punctuation(F.col("line"), lang, always=always).alias("text"))
 
-    return run, f"WITH {_LINES} SELECT doc_id, line_no, {as_sql('line', cleaning.punctuation_rules(lang, always=always))} AS text FROM l WHERE lang = {quoted(lang)}"
+    return run, f"WITH {_LINES} SELECT doc_id, line_no, {_punctuation_sql('line', lang)} AS text FROM l WHERE lang = {quoted(lang)}"
 
 
 for _lang in ("en", "de", "fr", "es"):
@@ -105,8 +153,8 @@ _run, _sql = _punctuated("en", always=True)
 query("norm_punct_columns", _sql)(_run)
 
 
-_SHOWN = f"regexp_replace({as_sql('line', (cleaning.ENTITIES + cleaning.LATIN_ENTITIES) * cleaning.ROUNDS)}, '\\p{{C}}', ' ', 'g')"
-_CLEANED_BY = " ".join(f"WHEN {quoted(l)} THEN regexp_replace({as_sql('shown', cleaning.punctuation_rules(l))}, '[ ][ ]+', ' ', 'g')" for l in ("en", "de", "fr", "es"))
+_SHOWN = f"regexp_replace({_unescaped_sql('line')}, '\\p{{C}}', ' ', 'g')"
+_CLEANED_BY = " ".join(f"WHEN {quoted(l)} THEN regexp_replace({_punctuation_sql('shown', l)}, '[ ][ ]+', ' ', 'g')" for l in ("en", "de", "fr", "es"))
 
 
 @query("clean_lines", f"WITH {_LINES}, h AS (SELECT doc_id, line_no, lang, {_SHOWN} AS shown FROM l) SELECT doc_id, line_no, CASE lang {_CLEANED_BY} END AS text FROM h")
@@ -117,7 +165,7 @@ def clean_lines(spark, d):
 _INJECTED = "'„' || line || '” – 5 % (a) : 10' || chr(160) || '000 l’eau ''''x'''' ... « y »'"
 
 
-@query("norm_punct_injected", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql(_INJECTED, cleaning.punctuation_rules('fr'))} AS text FROM l")
+@query("norm_punct_injected", f"WITH {_LINES} SELECT doc_id, line_no, {_punctuation_sql(_INJECTED, 'fr')} AS text FROM l")
 def norm_punct_injected(spark, d):
     text = F.concat(F.lit("„"), F.col("line"), F.lit("” – 5 % (a) : 10\u00a0000 l’eau ''x'' ... « y »"))
     return lines(spark, d).select("doc_id", "line_no", cleaning.normalize_punctuation(text, "fr").alias("text"))
@@ -125,35 +173,35 @@ def norm_punct_injected(spark, d):
 
 # -- tokenizing ---------------------------------------------------------------
 
-_SPECIALS_SQL = [("regex", r"([^\p{L}\p{Nd}\s.'`,\-])", " $1 ")]
+_SPECIALS_SQL = (r"([^\p{L}\p{Nd}\s.'`,\-])", r" \1 ")
 
 
-@query("tok_specials", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql('line', _SPECIALS_SQL)} AS text FROM l")
+@query("tok_specials", f"WITH {_LINES} SELECT doc_id, line_no, {_replaced('line', _SPECIALS_SQL)} AS text FROM l")
 def tok_specials(spark, d):
     from lexiloom.functions.rules import apply
 
     return lines(spark, d).select("doc_id", "line_no", apply(F.col("line"), tokenizing.SPECIALS).alias("text"))
 
 
-@query("tok_commas", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql('line', tokenizing.COMMAS)} AS text FROM l")
+@query("tok_commas", f"WITH {_LINES} SELECT doc_id, line_no, {_replaced('line', *_COMMAS)} AS text FROM l")
 def tok_commas(spark, d):
     from lexiloom.functions.rules import apply
 
     return lines(spark, d).select("doc_id", "line_no", apply(F.col("line"), tokenizing.COMMAS).alias("text"))
 
 
-for _lang, _rules in (("en", tokenizing.APOSTROPHES_RIGHT), ("fr", tokenizing.APOSTROPHES_LEFT), ("other", tokenizing.APOSTROPHES_ALONE)):
+for _lang, _rules in (("en", _QUOTES_EN), ("fr", _QUOTES_FR), ("other", _QUOTES_ALONE)):
 
     def _apostrophes(spark, d, lang=_lang):
         text = F.concat(F.col("text"), F.lit(" it's l'eau 1990's ' x'"))
         return table(spark, d, "conversations").select("conv_id", "turn", tokenizing.apostrophes(text, lang).alias("text"))
 
-    query(f"tok_apostrophe_{_lang}", f"SELECT conv_id, turn, {as_sql(chr(40) + 'text || ' + quoted(chr(32) + 'it' + chr(39) + 's l' + chr(39) + 'eau 1990' + chr(39) + 's ' + chr(39) + ' x' + chr(39)) + chr(41), _rules)} AS text FROM conversations")(_apostrophes)
+    query(f"tok_apostrophe_{_lang}", f"SELECT conv_id, turn, {_replaced('text || ' + quoted(" it's l'eau 1990's ' x'"), *_rules)} AS text FROM conversations")(_apostrophes)
 
-_HYPHEN_SQL = [("regex", r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", "$1 @-@ $2")] * 2
+_HYPHEN_SQL = [(r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", r"\1 @-@ \2")] * 2
 
 
-@query("tok_hyphen", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql('line', _HYPHEN_SQL)} AS text FROM l")
+@query("tok_hyphen", f"WITH {_LINES} SELECT doc_id, line_no, {_replaced('line', *_HYPHEN_SQL)} AS text FROM l")
 def tok_hyphen(spark, d):
     return lines(spark, d).select("doc_id", "line_no", tokenizing.hyphens_split(F.col("line")).alias("text"))
 
@@ -184,15 +232,10 @@ def tok_nonbreaking(spark, d):
     return rows.select("doc_id", "line_no", tokenizing.final_stops(F.col("line"), tokenizing.PREFIXES["en"]).alias("text"))
 
 
-# The tokenizers' rules once more, by hand: nothing below comes from the tables that the DataFrame side applies.
-_SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_TRIMMED = [(" +", " "), ("^ ", ""), (" $", "")]
 _OPENED = _replaced("' ' || line || ' '", (_SPACE, " "), (r"[\x00-\x1f]", ""), *_TRIMMED)
 _APART = _replaced(_OPENED, (r"([^\p{L}\p{Nd}\s.'`,\-])", r" \1 "), (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", r"\1 @-@ \2"), (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", r"\1 @-@ \2"))
 _DOTTED = _replaced(f"replace({_APART}, '..', chr(57344) || chr(57344))", (r"(\x{E000})[.]", "\\1\ue000"), (r"(\x{E000}+)", r" \1 "))
-_COMMAS_CUT = _replaced(_DOTTED, (r"([^\p{N}]),", r"\1 , "), (r",([^\p{N}])", r" , \1"), (r"(\p{N}),$", r"\1 ,"))
-_QUOTES_EN = [(r"([^\p{L}])'([^\p{L}])", r"\1 ' \2"), (r"([^\p{L}\p{N}])'(\p{L})", r"\1 ' \2"), (r"(\p{L})'([^\p{L}])", r"\1 ' \2"), (r"(\p{L})'(\p{L})", r"\1 '\2"), (r"(\p{N})'(s)", r"\1 '\2")]
-_QUOTES_FR = [(r"([^\p{L}])'([^\p{L}])", r"\1 ' \2"), (r"([^\p{L}])'(\p{L})", r"\1 ' \2"), (r"(\p{L})'([^\p{L}])", r"\1 ' \2"), (r"(\p{L})'(\p{L})", r"\1' \2")]
+_COMMAS_CUT = _replaced(_DOTTED, *_COMMAS)
 _SHORT = {
     "en": "'Mr', 'Mrs', 'Ms', 'Dr', 'Prof', 'Gen', 'Col', 'Lt', 'Sgt', 'Capt', 'Rev', 'Sen', 'Rep', 'Gov', 'St', 'Jr', 'Sr', 'vs', 'etc', 'Inc', 'Ltd', 'Co', 'Corp'",
     "de": "'Dr', 'Prof', 'Hr', 'Fr', 'bzw', 'usw', 'ca', 'Abs', 'Str', 'evtl', 'ggf', 'inkl', 'Nr', 'vgl'",
@@ -246,18 +289,12 @@ _PENN_WORDS = "string_split(" + _replaced("line", *_PENN) + ", ' ')"
 _PENN_NUMERIC = "'No', 'Nos', 'Art', 'pp'"
 
 
-def _escaped(expression: str) -> str:
-    for sign, name in (("&", "&amp;"), ("|", "&#124;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;")):
-        expression = f"replace({expression}, {quoted(sign)}, {quoted(name)})"
-    return expression
-
-
 @query("tok_penn", f"WITH {_LINES}, x1 AS (SELECT doc_id, line_no, {_PENN_WORDS} AS ws FROM l WHERE lang = 'en') SELECT doc_id, line_no, {_escaped(_replaced('replace(' + _stops('ws', _SHORT['en'], _PENN_NUMERIC) + ', ' + quoted('_ELLIPSIS_') + ', ' + quoted('...') + ')', *_TRIMMED))} AS text FROM x1")
 def tok_penn(spark, d):
     return lines(spark, d).where("lang = 'en'").select("doc_id", "line_no", tokenizing.tokenize_treebank(F.col("line")).alias("text"))
 
 
-@query("tok_bleu", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql(chr(40) + quoted(' ') + ' || line || ' + quoted(' ') + chr(41), tokenizing.BLEU_13A)} AS text FROM l")
+@query("tok_bleu", f"WITH {_LINES} SELECT doc_id, line_no, {_replaced(_public_tokens('line'), *_TRIMMED)} AS text FROM l")
 def tok_bleu(spark, d):
     return lines(spark, d).select("doc_id", "line_no", tokenizing.tokenize_bleu(F.col("line")).alias("text"))
 
@@ -265,14 +302,20 @@ def tok_bleu(spark, d):
 _SPACED = [("regex", "([,.()])", " $1 ")]
 
 
-@query("detokenize", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql(as_sql('line', _SPACED), tokenizing.DETOKENIZE + tokenizing.DETOKENIZE_RIGHT + tokenizing.EDGES)} AS text FROM l")
+_JOINED = _replaced(
+    "line", (r"([,.()])", r" \1 "), (" @-@ ", "-"), ("&apos;", "'"), ("&quot;", '"'), ("&#124;", "|"), ("&#91;", "["), ("&#93;", "]"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+    (r" ([,.?!:;%)\]}]+)", r"\1"), (r"([(\[{$#]) ", r"\1"), (" (n't|'(s|m|d|ll|re|ve)) ", r"\1 "), (" (n't|'(s|m|d|ll|re|ve))$", r"\1"), *_TRIMMED,
+)
+
+
+@query("detokenize", f"WITH {_LINES} SELECT doc_id, line_no, {_JOINED} AS text FROM l")
 def detokenize(spark, d):
     from lexiloom.functions.rules import apply
 
     return lines(spark, d).select("doc_id", "line_no", tokenizing.detokenize(apply(F.col("line"), _SPACED), "en").alias("text"))
 
 
-@query("tok_escape", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql('line', tokenizing.ESCAPES)} AS text FROM l")
+@query("tok_escape", f"WITH {_LINES} SELECT doc_id, line_no, {_escaped('line')} AS text FROM l")
 def tok_escape(spark, d):
     from lexiloom.functions.rules import apply
 
@@ -282,7 +325,13 @@ def tok_escape(spark, d):
 _CJK_TEXT = "你好,world 3.5 한국-1, "
 
 
-@query("cjk_split", f"WITH {_LINES} SELECT doc_id, line_no, {as_sql(chr(40) + quoted(_CJK_TEXT) + ' || line)', [r if r[1] != '(?U)' + chr(92) + 's+' else ('regex', chr(92) + 's+', ' ') for r in tokenizing.CJK_RULES])} AS text FROM l")
+_CJK_APART = _replaced(
+    f"{quoted(_CJK_TEXT)} || line", (r"([\x{2E80}-\x{9FFF}\x{A000}-\x{A4FF}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}])", r" \1 "),
+    (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "), (_SPACE, " "), (r"^\s+", ""), (r"\s+$", ""),
+)
+
+
+@query("cjk_split", f"WITH {_LINES} SELECT doc_id, line_no, {_CJK_APART} AS text FROM l")
 def cjk_split(spark, d):
     return lines(spark, d).select("doc_id", "line_no", tokenizing.split_cjk(F.concat(F.lit(_CJK_TEXT), F.col("line"))).alias("text"))
 
@@ -464,7 +513,7 @@ def word_count(spark, d):
     return counts(spark, d)
 
 
-_CLEANED = as_sql("line", (cleaning.ENTITIES + cleaning.LATIN_ENTITIES) * cleaning.ROUNDS)
+_CLEANED = _unescaped_sql("line")
 _CLEAN_LINES = f"q AS (SELECT lang, regexp_replace(regexp_replace({_CLEANED}, '\\p{{C}}', ' ', 'g'), '[ ][ ]+', ' ', 'g') AS line FROM l)"
 
 
@@ -900,13 +949,6 @@ def retrieval_accuracy(spark, d):
     return evaluation.retrieval_accuracy(_neighbours(spark, d), n, F.expr("src_id div 2 = trg_id div 2"))
 
 
-def _public_tokens(column: str) -> str:
-    plain = f"' ' || {column} || ' '"
-    for old, new in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        plain = f"replace({plain}, {quoted(old)}, {quoted(new)})"
-    return _replaced(plain, (r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))
-
-
 @query("corpus_bleu_13a", _bleu_sql(_grams(_public_tokens("src"), _public_tokens("trg"))))
 def corpus_bleu_13a(spark, d):
     """Corpus BLEU over the public tokenisation of both sides."""
