@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.sources.corpus import draw, hashed, settled
+from lexiloom.sources.corpus import draw, hashed, settled, ship
 
 SPACE = 16**7
+#: Entries of a lexicon that every worker may hold, some 200 bytes each; a larger one is joined.
+LOOKED_UP = 100_000
 
 
 def grouped(entries: DataFrame) -> DataFrame:
@@ -70,22 +76,30 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def substitute(rows: DataFrame, entries: DataFrame, languages: list[str], prob: float = 0.15, copies: int = 1, seed: str = "1") -> DataFrame:
+def substitute(rows: DataFrame, entries: DataFrame, languages: list[str], prob: float = 0.15, copies: int = 1, seed: str = "1", most: int | None = None) -> DataFrame:
     """Dictionary substitution: (row key, lang, tokens, replaced) of copies with at least one replaced token.
 
     ``rows``: (id, tokens), one row an id; ``entries``: (lang, src_word, trg_word, rank).  Each
     row takes ``copies`` of ``languages`` by the smallest hash; each token that
     the lexicon has is replaced with probability ``prob`` by the candidate of
-    smallest hash.  The draws depend on (seed, row, place) alone.
+    smallest hash.  The draws depend on (seed, row, place) alone.  ``most``: the
+    number of entries at most, where a cap is known.
     """
     order = F.array_sort(F.array(*(F.struct(hashed(seed, F.col("id"), F.lit(l)).alias("h"), F.lit(l).alias("lang")) for l in languages)))
     chosen = rows.select("id", "tokens", F.explode(F.slice(order, 1, copies).lang).alias("lang"))
     candidates = entries.groupBy("lang", F.col("src_word").alias("token")).agg(F.sort_array(F.collect_list(F.struct("rank", "trg_word"))).alias("c"))
-    return _replaced(chosen, candidates, ["lang", "token"], prob, seed)
+    return _replaced(chosen, candidates, ["lang", "token"], prob, seed, most)
+
 
+def _replaced(chosen: DataFrame, candidates: DataFrame, keys: list[str], prob: float, seed: str, most: int | None = None) -> DataFrame:
+    """Rows of (id, lang, tokens) with words drawn from ``candidates`` (keys, c: (rank, trg_word)).
 
-def _replaced(chosen: DataFrame, candidates: DataFrame, keys: list[str], prob: float, seed: str) -> DataFrame:
-    """Rows of (id, lang, tokens) with words drawn from ``candidates`` (keys, c: (rank, trg_word)); only drawn words are looked up."""
+    A lexicon that is known to have no more than ``most`` entries, and those no
+    more than ``LOOKED_UP``, goes to every worker, and no text is shuffled.  In
+    others the drawn words are looked up by a join.
+    """
+    if most is not None and most <= LOOKED_UP:
+        return _looked_up(chosen, candidates, keys, prob, seed)
     words = chosen.select("id", *dict.fromkeys(["lang", *keys[:-1]]), F.posexplode("tokens").alias("pos", "token"))
     hit = words.where(draw(seed, "p", F.col("id"), F.col("lang"), F.col("pos")) < int(prob * SPACE)).join(candidates, keys)
     drawn = F.transform("c", lambda x: F.struct(hashed(seed, "c", F.col("id"), F.col("lang"), F.col("pos"), x["rank"]).alias("h"), x["trg_word"].alias("word")))
@@ -97,7 +111,40 @@ def _replaced(chosen: DataFrame, candidates: DataFrame, keys: list[str], prob: f
     return out.select("id", "lang", tokens.alias("tokens"), replaced.alias("replaced"), "total")
 
 
-def substitute_multi(rows: DataFrame, entries: DataFrame, targets: list[str], prob: float = 0.15, max_depth: int = 1, copies: int = 1, seed: str = "1") -> DataFrame:
+def _looked_up(chosen: DataFrame, candidates: DataFrame, keys: list[str], prob: float, seed: str) -> DataFrame:
+    """The same draws, row by row in Arrow batches, with the lexicon as a table of each worker."""
+    ship(chosen.sparkSession)
+    table: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for r in candidates.select(F.col(keys[0]).alias("k"), "token", "c").toArrow().to_pylist():  # at most LOOKED_UP entries
+        table[r["k"], r["token"]] = [(str(x["rank"]), x["trg_word"]) for x in r["c"]]
+    shared = chosen.sparkSession.sparkContext.broadcast(table)
+    limit = int(prob * SPACE)
+    rows = chosen.where(F.size("tokens") > 0).select("id", "lang", "tokens", F.col(keys[0]).alias("k"))
+    types = dict(rows.dtypes)
+
+    def md5(text: str) -> str:
+        return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            texts, counts = [], []
+            for id_, lang, tokens, k in zip(*(b.column(c).to_pylist() for c in ("id", "lang", "tokens", "k"))):
+                own, changed = list(tokens), 0
+                for at, token in enumerate(tokens):
+                    found = known.get((k, token))
+                    if found and int(md5(f"{seed}|p|{id_}|{lang}|{at}")[:7], 16) < limit:
+                        own[at] = min((md5(f"{seed}|c|{id_}|{lang}|{at}|{rank}"), word) for rank, word in found)[1]
+                        changed += 1
+                texts.append(own)
+                counts.append(changed)
+            sizes = b.column("tokens").value_lengths().cast(pa.int64())
+            yield pa.record_batch({"id": b.column("id"), "lang": b.column("lang"), "tokens": pa.array(texts, pa.list_(pa.string())), "replaced": pa.array(counts, pa.int64()), "total": sizes})
+
+    return rows.mapInArrow(run, f"id {types['id']}, lang string, tokens array<string>, replaced long, total long")
+
+
+def substitute_multi(rows: DataFrame, entries: DataFrame, targets: list[str], prob: float = 0.15, max_depth: int = 1, copies: int = 1, seed: str = "1", most: int | None = None) -> DataFrame:
     """Substitution through a multi-way lexicon: ``rows`` (id, src_lang, tokens), ``entries`` (src_lang, src_word, trg_lang, trg_word, depth).
 
     A candidate at depth d weighs 2 ** (max depth - d); candidates outside
@@ -111,7 +158,7 @@ def substitute_multi(rows: DataFrame, entries: DataFrame, targets: list[str], pr
     rank = F.concat_ws("~", "trg_lang", "trg_word", F.col("_w").cast("string"))
     candidates = weighted.groupBy("src_lang", F.col("src_word").alias("token")).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "trg_word"))).alias("c"))
     numbered = rows.select("id", "src_lang", "tokens", F.explode(F.sequence(F.lit(1), F.lit(copies)).cast("array<string>")).alias("lang"))
-    return _replaced(numbered, candidates, ["src_lang", "token"], prob, seed)
+    return _replaced(numbered, candidates, ["src_lang", "token"], prob, seed, most)
 
 
 def augmented(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import cleaning, tokenizing
 from lexiloom.operators import corpora, lexicon, sampling, vocabulary
 from lexiloom.plans.config import RunConfig
-from lexiloom.sources.corpus import ship
+from lexiloom.sources.corpus import capped, ship
 
 _REGISTRY: dict[str, Callable[..., Column]] = {}
 
@@ -178,7 +178,9 @@ def prepare(rows: DataFrame, config: RunConfig, merges: list[tuple[str, str]] |
             rows = rows.drop(side).join(coded, "id")
     if "ras" in config.steps and entries is not None:
         own = config.substitution
-        found = lexicon.substitute(words.select("id", tokenizing.tokens(F.col("src")).alias("tokens")), entries, [l for l in own.languages if l != "en"], own.replace_prob, own.num_repeat)
+        others = [l for l in own.languages if l != "en"]
+        kept = capped(entries.where(F.col("lang").isin(others)), own.vocab_size, ["lang"])
+        found = lexicon.substitute(words.select("id", tokenizing.tokens(F.col("src")).alias("tokens")), kept, others, own.replace_prob, own.num_repeat, most=(own.vocab_size + 1) * len(others))
         copies = lexicon.augmented(found).select("id", F.array_join("tokens", " ").alias("src"))
         if "subword" in config.steps and merges is not None:
             copies = vocabulary.encode(copies, ["id"], "src", merges).select("id", F.array_join("pieces", " ").alias("src"))

@@ -761,6 +761,19 @@ def ras_bilingual(spark, d):
     return lexicon.augmented(_substituted(spark, d)).select("id", "lang", F.array_join("tokens", " ").alias("text"), "replaced")
 
 
+_CAP = 2000
+_CAPPED = _RAS.replace("AND a.lang = 'en' AND b.lang <> 'en')", f"AND a.lang = 'en' AND b.lang <> 'en' AND a.rank <= {_CAP + 1})")
+
+
+@query("ras_capped", f"WITH {_CAPPED.format(copies=1)} SELECT id, lang, text, replaced FROM rs WHERE replaced > 0")
+def ras_capped(spark, d):
+    """With the default cap of a lexicon, which every worker holds."""
+    rows = lines(spark, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), tokenizing.tokens(F.col("line")).alias("tokens"))
+    entries = corpus.capped(pseudo_lexicon(spark, d).where(F.col("rank") <= _CAP + 1), _CAP, ["lang"])
+    found = lexicon.substitute(rows, entries, ["de", "es", "fr"], 0.15, most=3 * (_CAP + 1))
+    return lexicon.augmented(found).select("id", "lang", F.array_join("tokens", " ").alias("text"), "replaced")
+
+
 @query("ras_repeat", f"WITH {_RAS.format(copies=2)} SELECT id, lang, replaced, total FROM rs")
 def ras_repeat(spark, d):
     return _substituted(spark, d, 2).select("id", "lang", "replaced", "total")

@@ -77,14 +77,16 @@ def test_substitution_draws(spark):
     stats = lexicon.statistics(out).first()
     assert stats.total_tokens == 2 * n and 0.12 * n < stats.replaced_tokens < 0.18 * n
     assert {r.tokens[0] for r in lexicon.augmented(out).collect()} == {"hund", "koeter", "chien"}
-    again = {(r.id, r.lang): tuple(r.tokens) for r in lexicon.substitute(sentences.repartition(9), entries, ["de", "fr"], 0.15).collect()}
-    assert again == {(r.id, r.lang): tuple(r.tokens) for r in out.collect()}
+    for most in (None, 3):  # joined, and looked up by each worker
+        again = {(r.id, r.lang): tuple(r.tokens) for r in lexicon.substitute(sentences.repartition(9), entries, ["de", "fr"], 0.15, most=most).collect()}
+        assert again == {(r.id, r.lang): tuple(r.tokens) for r in out.collect()}
 
 
 def test_multi_substitution_prefers_near_words(spark):
     sentences = spark.createDataFrame([(i, "en", ["dog"]) for i in range(3000)], "id long, src_lang string, tokens array<string>")
     entries = spark.createDataFrame([("en", "dog", "de", "hund", 1), ("en", "dog", "fr", "chien", 2), ("en", "dog", "it", "cane", 1)], "src_lang string, src_word string, trg_lang string, trg_word string, depth int")
     got = Counter(r.tokens[0] for r in lexicon.substitute_multi(sentences, entries, ["de", "fr"], 1.0, max_depth=2).collect())
+    assert got == Counter(r.tokens[0] for r in lexicon.substitute_multi(sentences, entries, ["de", "fr"], 1.0, max_depth=2, most=3).collect())
     assert set(got) == {"hund", "chien"} and 1.7 < got["hund"] / got["chien"] < 2.3
     assert set(r.tokens[0] for r in lexicon.substitute_multi(sentences.limit(50), entries, ["es"], 1.0).collect()) == {"dog"}
 
