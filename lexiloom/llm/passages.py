@@ -150,6 +150,9 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
 def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD, level: int = 0) -> DataFrame:
     """(row, spans) of those of ``rows`` (row, text as string or binary) that have any; rows of equal ``row`` have equal texts."""
     places = materialize(anchored(rows, kind, width, gram, level), "places")
+    # the first shuffle moves anchors alone; what follows sees the places of those that are there twice, and a few more
+    twice = places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
+    places = materialize(only_maybe(places, "anchor", bitmap(twice.select(F.col("anchor").alias("key")))), "repeated-places")
     counted = places.groupBy("anchor", "block").agg(F.count("*").alias("n"))
     by_anchor = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     repeated = materialize(counted.join(by_anchor, "anchor").select("anchor", "block", "n", "kinds"), "repeated")
