@@ -46,17 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def application_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/lexiloom/{app}"
     if app not in _applications:
         _applications.add(app)
-        atexit.register(_clear_at_end, app)
-    return f"{shared_dir(spark)}/lexiloom/{app}"
+        atexit.register(_clear_at_end, spark.sparkContext, path)
+    return path
 
 
-def _clear_at_end(app: str) -> None:
-    if SparkContext._active_spark_context is not None and SparkContext._active_spark_context.applicationId == app:
-        spark = SparkSession.getActiveSession()
-        if spark is not None:
-            clear(spark)
+def _clear_at_end(context: SparkContext, path: str) -> None:
+    if SparkContext._active_spark_context is context and context._jvm is not None:
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear(spark: SparkSession) -> None:
