@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,9 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="lexiloom-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+        atexit.register(_drop, context, context.getCheckpointDir())
     return context.getCheckpointDir()
 
 
+def _drop(context: SparkContext, folder: str) -> None:
+    """At the end of Python: the application's own part of the checkpoint folder goes, if the session is still up."""
+    if SparkContext._active_spark_context is context and context._jvm is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
