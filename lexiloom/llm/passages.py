@@ -31,6 +31,7 @@ part in a join out of its shuffle; when full they only stop saving work.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.bitmaps import bitmap, maybe_in, only_maybe
 from lexiloom.llm.rolling import Slices, mixed
-from lexiloom.llm.scratch import materialize, small_batches
+from lexiloom.llm.scratch import materialize, release, scope, small_batches
 from lexiloom.llm.textblocks import blocks, buffer_of, words
 
 BLOCK = 1 << 20
@@ -148,11 +149,26 @@ def covered(docs: DataFrame, kind: str, width: int, gram: int, resolver: Resolve
 
 
 def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int = CROWD, level: int = 0) -> DataFrame:
-    """(row, spans) of those of ``rows`` (row, text as string or binary) that have any; rows of equal ``row`` have equal texts."""
-    places = materialize(anchored(rows, kind, width, gram, level), "places")
+    """(row, spans) of those of ``rows`` (row, text as string or binary) that have any; rows of equal ``row`` have equal texts.
+
+    Of the tables written on the way only the result's stays.
+    """
+    spark, own = rows.sparkSession, f"repeated spans {uuid.uuid4().hex}"
+    with scope(own):
+        spans = _spans_of(rows, kind, width, gram, resolver, crowd, level)
+    out = materialize(spans, "spans")
+    release(spark, own)
+    return out
+
+
+def _spans_of(rows: DataFrame, kind: str, width: int, gram: int, resolver: Resolver, crowd: int, level: int) -> DataFrame:
+    listed = f"places {uuid.uuid4().hex}"
+    with scope(listed):
+        places = materialize(anchored(rows, kind, width, gram, level), "places")
     # the first shuffle moves anchors alone; what follows sees the places of those that are there twice, and a few more
     twice = places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
     places = materialize(only_maybe(places, "anchor", bitmap(twice.select(F.col("anchor").alias("key")))), "repeated-places")
+    release(rows.sparkSession, listed)
     counted = places.groupBy("anchor", "block").agg(F.count("*").alias("n"))
     by_anchor = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     repeated = materialize(counted.join(by_anchor, "anchor").select("anchor", "block", "n", "kinds"), "repeated")
@@ -243,7 +259,7 @@ def repeated_spans(rows: DataFrame, kind: str, width: int, gram: int, resolver:
     found = only_maybe(places, "block", bitmap(results.select(key))).join(results, ["anchor", "block"])
     moved = F.transform("cover", lambda c: F.struct((F.col("p") + c.f).alias("f"), (F.col("p") + c.t).alias("t")))
     spans = found.select("row", moved.alias("spans"))
-    return materialize(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    return spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _COVER = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
