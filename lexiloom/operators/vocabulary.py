@@ -16,8 +16,8 @@ from lexiloom.functions.tokenizing import tokens
 from lexiloom.sources.corpus import settled, ship
 
 END = "</w>"
-#: Words that learning takes to the driver.
-MOST_WORDS = 20_000_000
+#: Characters of a word table that learning takes to the driver.
+MOST_CHARS = 2_000_000
 #: Encoded words that a task keeps.
 KEPT_WORDS = 500_000
 
@@ -69,18 +69,20 @@ def pair_counts(vocab: DataFrame) -> DataFrame:
     return pairs.select("left", F.get("s", F.col("i") + 1).alias("right"), "freq").groupBy("left", "right").agg(F.sum("freq").alias("freq"))
 
 
-def learn_merges(vocab: DataFrame, operations: int, least: int = 2, least_freq: int = 1, most_words: int = MOST_WORDS) -> list[tuple[str, str]]:
+def learn_merges(vocab: DataFrame, operations: int, least: int = 2, least_freq: int = 1, most_words: int | None = None, most_chars: int = MOST_CHARS) -> list[tuple[str, str]]:
     """Byte-pair merges from word counts, most frequent pair first, ties to the greatest pair.
 
-    Only the aggregated word table comes to the driver, and only if it has at
-    most ``most_words`` words, some 200 bytes each; a larger corpus is learned
-    from the words of ``least_freq`` or more occurrences.
+    A word table of up to ``most_chars`` characters comes to the driver; larger
+    ones stay where they are (``SpreadMerger``), and only counts of pairs come.
+    ``most_words``: refuse tables with more words.
     """
     rows = vocab.where(F.length("token") > 0).where(F.col("freq") >= least_freq)
     rows = settled(rows.select("token", F.col("freq").cast("bigint").alias("freq")))
-    n = rows.count()
-    if n > most_words:
-        raise ValueError(f"{n} words are more than {most_words}: raise least_freq or most_words")
+    size = rows.agg(F.count("*").alias("words"), F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("chars")).first()
+    if most_words is not None and size.words > most_words:
+        raise ValueError(f"{size.words} words are more than {most_words}: raise least_freq or most_words")
+    if size.chars > most_chars:
+        return SpreadMerger(rows, most_chars).run(operations, least)
     table = rows.toArrow()
     return Merger(table.column("token"), table.column("freq").to_numpy()).run(operations, least)
 
@@ -168,6 +170,254 @@ class Merger:
         self.counts.pop(key, None)
 
 
+class SpreadMerger:
+    """Merges of a word table that stays on the executors.
+
+    A guess of the merges is applied to all words there, and every merge's
+    changes of pair counts come back, summed over all words.  The driver follows
+    them from the first pair counts on: as long as the guess is the most frequent
+    pair of these exact counts, the merge is settled; where it isn't, the right
+    one is known, and the next round goes on from it with a better guess.  So
+    each round settles one merge at least, and no guess decides a result.  The
+    first guess comes from words drawn by frequency.
+
+    Symbols are numbers: a character's code point, with the end mark
+    ``1 << 21`` above it, and merged ones from ``1 << 22`` on, by their text.
+    """
+
+    BITS = 23  # of a symbol
+    STEPS = 17  # bits of a merge's place
+    ROUND = 2000  # merges whose changes come to the driver at once
+
+    def __init__(self, rows: DataFrame, most_chars: int):
+        ship(rows.sparkSession)
+        self.rows, self.most_chars = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)), most_chars
+        self.made: list[str] = []
+        self.number: dict[str, int] = {}
+        self.order: dict[int, tuple[int, ...]] = {}
+        self.rounds = 0
+
+    def _number(self, name: str) -> int:
+        if len(name) == 1 or name[1:] == END:
+            return ord(name[0]) + (1 << 21 if len(name) > 1 else 0)
+        if name not in self.number:
+            self.number[name] = (1 << 22) + len(self.made)
+            self.made.append(name)
+        return self.number[name]
+
+    def _name(self, number: int) -> str:
+        return self.made[number - (1 << 22)] if number >> 22 else chr(number & 0x1FFFFF) + (END if number >> 21 else "")
+
+    def _key(self, pair: tuple[str, str]) -> int:
+        return self._number(pair[0]) << self.BITS | self._number(pair[1])
+
+    def _named(self, key: int) -> tuple[str, str]:
+        return self._name(key >> self.BITS), self._name(key & ((1 << self.BITS) - 1))
+
+    def _entry(self, key: int, count: int) -> tuple:
+        parts = key >> self.BITS, key & ((1 << self.BITS) - 1)
+        for p in parts:
+            if p not in self.order:
+                self.order[p] = _descending((self._name(p), ""))[0]
+        return -count, self.order[parts[0]], self.order[parts[1]], key
+
+    def _first_guess(self, operations: int, least: int) -> list[tuple[str, str]]:
+        """Merges of words drawn with a chance that grows with their frequency, up to a bound from which all are drawn."""
+        bins = self.rows.groupBy(F.floor(F.log2("freq") * 4).alias("bin")).agg(F.sum(F.col("freq").cast("double")).alias("freq"), F.sum(F.length("token")).alias("chars")).collect()
+        bound = 1.0
+        while sum(min(1.0, 2 ** (r.bin / 4) / bound) * r.chars for r in bins) > max(1, self.most_chars / 2):
+            bound *= 1.1
+        chance = F.pmod(F.xxhash64("token"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        some = self.rows.where(F.length("token") <= 64).where(chance * bound < F.col("freq"))
+        table = some.select("token", F.greatest("freq", F.lit(int(bound))).alias("freq")).toArrow()
+        return Merger(table.column("token"), table.column("freq").to_numpy()).run(operations, least) if len(table) else []
+
+    def _changes(self, merges: list[int], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(step, pair, change) over all words; without a ``first``, step 0 has the counts before any merge; the merge at place ``first`` + i is step i + 1."""
+        pairs = np.array(merges, np.int64)
+        made = np.array([self._number("".join(self._named(k))) for k in merges], np.int64)
+        bits, steps = self.BITS, self.STEPS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            replay = Replay(pairs, made, first, bits, steps)
+            for b in batches:
+                replay.add(b.column("token"), b.column("freq"))
+            keys, sums = replay.result()
+            for i in range(0, len(keys), 50_000):
+                yield pa.record_batch({"key": pa.array(keys[i : i + 50_000]), "n": pa.array(sums[i : i + 50_000])})
+
+        table = self.rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
+        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        return key >> 2 * bits, key & ((1 << 2 * bits) - 1), n
+
+    def run(self, operations: int, least: int) -> list[tuple[str, str]]:
+        if operations > 100_000:
+            raise ValueError(f"{operations} merges are more than 100000")
+        spare = operations // 10 + 10  # guessed merges may come later than they should
+        guess = [self._key(p) for p in self._first_guess(min(operations, self.ROUND) + spare, least)]
+        done: list[int] = []
+        counts: dict[int, int] = {}
+        heap: list[tuple] = []
+        while True:
+            self.rounds += 1
+            first = len(done)
+            guess = guess[: self.ROUND + spare]
+            step, pair, n = self._changes(done + guess, first)
+            cuts = np.searchsorted(step, np.arange(len(guess) + 2))
+            changes = [(pair[i:j].tolist(), n[i:j].tolist()) for i, j in zip(cuts, cuts[1:])]
+            if self.rounds == 1:
+                self._apply(counts, heap, changes[0])
+            while len(done) < operations:
+                best = self._best(counts, heap, least)
+                if best is None:
+                    return [self._named(k) for k in done]
+                at = len(done) - first
+                if at == len(guess) or guess[at] != best:
+                    break
+                done.append(best)
+                self._apply(counts, heap, changes[at + 1])
+            if len(done) >= operations:
+                return [self._named(k) for k in done]
+            later = dict(zip(guess[len(done) - first :], changes[len(done) - first + 1 :]))
+            guess = self._guess(dict(counts), list(heap), later, min(operations - len(done), self.ROUND) + spare, least)
+
+    def _guess(self, counts: dict[int, int], heap: list[tuple], changes: dict[int, tuple[list[int], list[int]]], most: int, least: int) -> list[int]:
+        """Further merges by the changes of the last round, as if they didn't depend on the order."""
+        out: list[int] = []
+        while len(out) < most and (best := self._best(counts, heap, least)) is not None:
+            out.append(best)
+            self._apply(counts, heap, changes.pop(best, ([], [])))
+            counts.pop(best, None)
+        return out
+
+    def _apply(self, counts: dict[int, int], heap: list[tuple], change: tuple[list[int], list[int]]) -> None:
+        for key, n in zip(*change):
+            count = counts.get(key, 0) + n
+            if count:
+                counts[key] = count
+            else:
+                counts.pop(key, None)
+            if count > 0:
+                heapq.heappush(heap, self._entry(key, count))
+
+    @staticmethod
+    def _best(counts: dict[int, int], heap: list[tuple], least: int) -> int | None:
+        """The most frequent pair, which stays in the heap."""
+        while heap and counts.get(heap[0][-1], 0) != -heap[0][0]:
+            heapq.heappop(heap)
+        return heap[0][-1] if heap and -heap[0][0] >= least else None
+
+
+class Replay:
+    """Applies merges in their order to words, and sums up how each changes the counts of pairs.
+
+    In each round every word that isn't done merges the places of the first
+    merge that follows its last one; words are taken in pieces of bounded size.
+    """
+
+    CHARS = 1_000_000
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, pairs: np.ndarray, made: np.ndarray, first: int, bits: int, steps: int):
+        self.made, self.first, self.bits, self.steps = made, first, bits, steps
+        self.places = np.sort(pairs << steps | np.arange(len(pairs)))
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
+        self.chars = 0
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, tokens: pa.Array, freqs: pa.Array) -> None:
+        self.words.append((tokens, freqs.to_numpy(zero_copy_only=False)))
+        self.chars += pc.sum(pc.utf8_length(tokens)).as_py() or 0
+        if self.chars > self.CHARS:
+            self._work()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self._work()
+        self._sum_up()
+        return self.sums[0] if self.sums else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _sum_up(self) -> None:
+        if len(self.sums) > 1:
+            self.sums = [_summed(*(np.concatenate(x) for x in zip(*self.sums)))]
+
+    def _pairs(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return symbol[at] << self.bits | symbol[at + 1]
+
+    def _work(self) -> None:
+        words, self.words, self.chars = self.words, [], 0
+        tokens = [t for b, _ in words for t in b.to_pylist()]
+        if not tokens:
+            return
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        symbol = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32).astype(np.int64)
+        symbol[np.cumsum(length) - 1] += 1 << 21
+        weight = np.repeat(np.concatenate([f for _, f in words]), length)
+        word = np.repeat(np.arange(len(tokens)), length)
+        last = np.full(len(tokens), -1, np.int64)
+        keys, sums = [], []
+
+        def note(step: np.ndarray | int, at: np.ndarray, sign: int) -> None:
+            keys.append(step << 2 * self.bits | self._pairs(symbol, at))
+            sums.append(sign * weight[at])
+
+        joined = np.flatnonzero(word[:-1] == word[1:])
+        if not self.first:
+            note(0, joined, 1)
+        while len(symbol) > 1 and len(self.places):
+            rank = np.full(len(symbol), self.NONE)
+            joined = np.flatnonzero(word[:-1] == word[1:])
+            pair = self._pairs(symbol, joined)
+            at = np.minimum(np.searchsorted(self.places, pair << self.steps | (last[word[joined]] + 1)), len(self.places) - 1)
+            hit = self.places[at] >> self.steps == pair
+            # a pair may come again later on: its next place after the word's last merge
+            place = self.places[at[hit]] & ((1 << self.steps) - 1)
+            later = place > last[word[joined[hit]]]
+            rank[joined[hit][later]] = place[later]
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(start, len(word)))
+            least = np.repeat(np.minimum.reduceat(rank, start), size)
+            still = least < self.NONE
+            symbol, word, weight, rank, least = symbol[still], word[still], weight[still], rank[still], least[still]
+            if not len(symbol):
+                break
+            at = np.flatnonzero(rank == least)
+            if len(at) > 1:  # of overlapping places the first, third, ..
+                chained = np.concatenate([[False], (at[:-1] + 1 == at[1:]) & (word[at[:-1]] == word[at[1:]])])
+                begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            last[word[at]] = rank[at]
+            counted = np.flatnonzero(least[at] >= self.first)
+            touched = np.zeros(len(symbol) + 2, bool)
+            for shift in (-1, 0, 1):
+                touched[at[counted] + shift] = True  # -1 is the last entry, which is never a pair
+            near = np.flatnonzero(touched[: len(symbol) - 1] & (word[:-1] == word[1:]))
+            note(least[near] - self.first + 1, near, -1)
+            symbol[at] = self.made[rank[at]]
+            fresh = np.zeros(len(symbol), bool)
+            fresh[at[counted]] = True
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            symbol, word, weight, least, fresh = symbol[keep], word[keep], weight[keep], least[keep], fresh[keep]
+            near = np.flatnonzero((fresh[:-1] | fresh[1:]) & (word[:-1] == word[1:]))
+            note(least[near] - self.first + 1, near, 1)
+        if keys:
+            self.sums.append(_summed(np.concatenate(keys), np.concatenate(sums)))
+        if sum(len(k) for k, _ in self.sums) > 2_000_000:
+            self._sum_up()
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values' sum of each key, in the order of keys."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[start], np.add.reduceat(values, start)
+
+
 def _descending(pair: tuple[str, str]) -> tuple[tuple[int, ...], ...]:
     return tuple(tuple(-ord(c) for c in s) + (1,) for s in pair)
 

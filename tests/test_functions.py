@@ -132,6 +132,21 @@ def test_learned_merges_equal_recounting(spark):
     assert vocabulary.learn_merges(vocab, 40) == naive_merges(words, 40)
 
 
+@pytest.mark.parametrize("most_chars", [0, 40, 200])
+def test_merges_of_a_large_table_are_learned_where_it_lies(spark, monkeypatch, most_chars):
+    """The driver gets no more than a guess is made from, however poor that is."""
+    random.seed(most_chars)
+    words = {"".join(random.choice("abé</w>") for _ in range(random.randint(1, 20))): random.randint(1, 9) for _ in range(60)}
+    words |= {"aaaa": 3, "aaaaa": 2, "abababa": 4, "x": 100}
+    taken = [0]
+    plain = vocabulary.Merger.__init__
+    monkeypatch.setattr(vocabulary.Merger, "__init__", lambda self, tokens, freqs: (taken.append(sum(map(len, tokens.to_pylist()))), plain(self, tokens, freqs))[1])
+    monkeypatch.setattr(vocabulary.SpreadMerger, "ROUND", 15)
+    vocab = spark.createDataFrame(list(words.items()), "token string, freq long").repartition(3)
+    assert vocabulary.learn_merges(vocab, 60, most_chars=most_chars) == naive_merges(words, 60)
+    assert max(taken) < 2 * most_chars + 50 < sum(map(len, words))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcdé", min_size=1, max_size=12))
 def test_pieces_join_to_the_word(word):
