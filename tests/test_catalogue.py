@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from lexiloom.plans.queries import ORACLE_SQL, QUERIES
+from lexiloom.operators import vocabulary
+from lexiloom.plans.queries import ORACLE_SQL, QUERIES, counts
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,3 +37,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["bpe_learn"])
+def test_merges_of_queries_are_learned_without_the_words(spark, monkeypatch, name):
+    """With a table over the bound the driver gets a bounded draw of words, and the result stays the same."""
+    want = sorted(map(repr, QUERIES[name](spark, FOLDER).collect()))
+    taken, bound = [], 10_000
+    plain, learn = vocabulary.Merger.__init__, vocabulary.learn_merges
+    monkeypatch.setattr(vocabulary.Merger, "__init__", lambda self, tokens, freqs: (taken.append(sum(map(len, tokens.to_pylist()))), plain(self, tokens, freqs))[1])
+    monkeypatch.setattr(vocabulary, "learn_merges", lambda vocab, n: learn(vocab, n, most_chars=bound))
+    assert sorted(map(repr, QUERIES[name](spark, FOLDER).collect())) == want
+    assert max(taken) < bound < sum(len(r.token) for r in counts(spark, FOLDER).collect())
