@@ -451,6 +451,7 @@ class WordEncoder:
             self.ranks.setdefault(m, i)
         self.allowed, self.glossary, self.version, self.mark = allowed, glossary or [], version, mark
         self.halves = {a + b: (a, b) for a, b in reversed(self.ranks)}
+        self.splits: dict[tuple[str, bool], list[str]] = {}
 
     def many(self) -> Callable[[list[str]], list[list[str]]]:
         """The same for a list of non-empty words."""
@@ -474,9 +475,16 @@ class WordEncoder:
 
     def constrained(self, parts: list[str]) -> list[str]:
         """Merged parts split back to what is allowed, with marks."""
-        pieces = [x for i, p in enumerate(parts) for x in self._split(p, i == len(parts) - 1)]
+        pieces = [x for i, p in enumerate(parts) for x in self._split_once(p, i == len(parts) - 1)]
         return [p + self.mark for p in pieces[:-1]] + pieces[-1:]
 
+    def _split_once(self, piece: str, final: bool) -> list[str]:
+        """At most two entries for each merge and character."""
+        key = piece, final
+        if key not in self.splits:
+            self.splits[key] = self._split(piece, final)
+        return self.splits[key]
+
     def _pieces(self, part: str) -> list[str]:
         """Without marks; the end mark is taken off the last one."""
         if part in self.glossary or not part:
@@ -592,6 +600,21 @@ def encode_words(words: DataFrame, merges: list[tuple[str, str]], allowed: set[s
     return words.select("token").where("token <> ''").distinct().mapInArrow(run, "token string, pieces array<string>")
 
 
+def piece_counts(words: DataFrame, merges: list[tuple[str, str]], allowed: set[str] | None = None, **how) -> DataFrame:
+    """(token, freq) of the pieces of a word table (token, freq), without a join; each batch sends its sums; ``how`` as for ``WordEncoder``."""
+    ship(words.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = WordEncoder(merges, allowed, **how).many()
+        for b in batches:
+            pieces = pa.array(many(b.column("token").to_pylist()), pa.list_(pa.string()))
+            flat = pa.table({"token": pieces.flatten(), "freq": b.column("freq").take(pc.list_parent_indices(pieces))})
+            yield from flat.group_by("token").aggregate([("freq", "sum")]).rename_columns(["token", "freq"]).to_batches()
+
+    rows = words.where("token <> ''").select("token", F.col("freq").cast("bigint").alias("freq"))
+    return rows.mapInArrow(run, "token string, freq bigint").groupBy("token").agg(F.sum("freq").alias("freq"))
+
+
 def encode(rows: DataFrame, key: list[str], column: str, merges: list[tuple[str, str]], allowed: set[str] | None = None, **how) -> DataFrame:
     """``key`` and the pieces of each row's tokens, without a shuffle; ``how`` as for ``WordEncoder``.
 

@@ -605,19 +605,13 @@ def bpe_encode(spark, d):
     return vocabulary.encode(lines(spark, d), ["doc_id", "line_no"], "line", _learned(spark, d)).select("doc_id", "line_no", F.array_join("pieces", " ").alias("text"))
 
 
-def _piece_counts(spark, d, merges: list[tuple[str, str]]) -> DataFrame:
-    words = counts(spark, d)
-    coded = words.join(vocabulary.encode_words(words, merges), "token")
-    return coded.select(F.explode("pieces").alias("token"), "freq").groupBy("token").agg(F.sum("freq").alias("freq"))
-
-
 _PIECES = f"{_LEARNED}, vo AS (SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(ps) AS token, freq FROM pc) GROUP BY token)"
 
 
 @query("bpe_vocabulary", f"WITH RECURSIVE {_PIECES} SELECT token, freq FROM vo WHERE freq >= {_LEAST}")
 def bpe_vocabulary(spark, d):
     """The pieces of the encoded corpus, counted over distinct words."""
-    return vocabulary.cut(_piece_counts(spark, d, _learned(spark, d)), _LEAST)
+    return vocabulary.cut(vocabulary.piece_counts(counts(spark, d), _learned(spark, d)), _LEAST)
 
 
 @query(
@@ -637,8 +631,9 @@ def bpe_vocabulary(spark, d):
 )
 def bpe_vocab_encode(spark, d):
     """Pieces that occur fewer than 1,000 times are split back along the merges."""
-    merges = _learned(spark, d)
-    allowed = {r.token for r in vocabulary.cut(_piece_counts(spark, d, merges), 1000).select("token").collect()}  # at most a piece a merge and character
+    words = corpus.settled(counts(spark, d))
+    merges = vocabulary.learn_merges(words, _MERGES)
+    allowed = {r.token for r in vocabulary.cut(vocabulary.piece_counts(words, merges), 1000).select("token").collect()}  # at most a piece a merge and character
     return vocabulary.encode(lines(spark, d), ["doc_id", "line_no"], "line", merges, allowed).select("doc_id", "line_no", F.array_join("pieces", " ").alias("text"))
 
 
