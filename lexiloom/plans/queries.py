@@ -610,8 +610,9 @@ _PIECES = f"{_LEARNED}, vo AS (SELECT token, CAST(sum(freq) AS BIGINT) AS freq F
 
 @query("bpe_vocabulary", f"WITH RECURSIVE {_PIECES} SELECT token, freq FROM vo WHERE freq >= {_LEAST}")
 def bpe_vocabulary(spark, d):
-    """The pieces of the encoded corpus, counted over distinct words."""
-    return vocabulary.cut(vocabulary.piece_counts(counts(spark, d), _learned(spark, d)), _LEAST)
+    """The pieces of the encoded corpus, counted over distinct words; the words themselves are counted once."""
+    words = corpus.settled(counts(spark, d))
+    return vocabulary.cut(vocabulary.piece_counts(words, vocabulary.learn_merges(words, _MERGES)), _LEAST)
 
 
 @query(

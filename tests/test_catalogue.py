@@ -40,7 +40,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["bpe_learn", "bpe_vocab_encode"])
+@pytest.mark.parametrize("name", ["bpe_learn", "bpe_vocab_encode", "bpe_vocabulary"])
 def test_merges_of_queries_are_learned_without_the_words(spark, monkeypatch, name):
     """With a table over the bound the driver gets a bounded draw of words, and the result stays the same."""
     want = sorted(map(repr, QUERIES[name](spark, FOLDER).collect()))
@@ -52,9 +52,9 @@ def test_merges_of_queries_are_learned_without_the_words(spark, monkeypatch, nam
     assert max(taken) < bound < sum(len(r.token) for r in counts(spark, FOLDER).collect())
 
 
-@pytest.mark.parametrize("name", ["bpe_vocab_encode"])
+@pytest.mark.parametrize("name", ["bpe_vocab_encode", "bpe_vocabulary"])
 def test_pieces_are_counted_over_words_that_are_counted_once(spark, monkeypatch, name):
     read, plain = [], queries.lines
     monkeypatch.setattr(queries, "lines", lambda *a: (read.append(a), plain(*a))[1])
     QUERIES[name](spark, FOLDER)
-    assert len(read) == {"bpe_vocab_encode": 2}[name]  # for the words, and for their lines
+    assert len(read) == {"bpe_vocab_encode": 2, "bpe_vocabulary": 1}[name]  # for the words, and for their lines
