@@ -90,7 +90,10 @@ def learn_merges(vocab: DataFrame, operations: int, least: int = 2, least_freq:
 class Merger:
     """Words as one array of symbols, linked to their neighbours, with the places of each pair.
 
-    A merge touches the places of its pair alone, all at once.
+    A merge touches the places of its pair alone, all at once.  The pairs of
+    single characters, which can be as many as the characters of the table, stay
+    in arrays: sorted for their places, and by count for the heap, which gets
+    them when it comes down to their count.
     """
 
     def __init__(self, tokens: pa.ChunkedArray, freqs: np.ndarray):
@@ -105,38 +108,76 @@ class Merger:
         self.next, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
         self.next[last] = -1
         self.before[last - length + 1] = -1
-        self.counts: dict[int, int] = {}
-        self.places: dict[int, list[np.ndarray]] = {}
-        self.heap: list[tuple[int, tuple, int]] = []
-        self._count(np.flatnonzero(self.next >= 0), 1)
+        self.counts: dict[int, int] = {}  # of pairs that merges have touched
+        self.places: dict[int, list[np.ndarray]] = {}  # that merges have made
+        self.heap: list[tuple[int, tuple[int, ...], tuple[int, ...], int]] = []
+        self.order: dict[int, tuple[int, ...]] = {}
+        self.first, self.sums, self.start, self.at = self._grouped(np.flatnonzero(self.next >= 0))
+        self.falling = np.argsort(-self.sums, kind="stable")
+        self.fed = 0
 
     def _pairs(self, at: np.ndarray) -> np.ndarray:
         return self.symbol[at] << 32 | self.symbol[self.next[at]]
 
-    def _count(self, at: np.ndarray, sign: int) -> None:
-        """Add the pairs that begin at ``at`` to the counts, or take them off."""
-        if not len(at):
-            return
+    def _grouped(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that begin at ``at``, their sums, where each one's places begin, and the places."""
         keys = self._pairs(at)
         order = np.argsort(keys, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        sums = np.add.reduceat(self.weight[at][order], start)
-        for key, total, group in zip(keys[order][start].tolist(), sums.tolist(), np.split(at[order], start[1:])):
-            count = self.counts.get(key, 0) + sign * total
+        keys, at = keys[order], at[order]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(self.weight[at], start) if len(start) else np.zeros(0, np.int64)
+        return keys[start], sums, np.append(start, len(at)), at
+
+    def _first(self, key: int) -> int | None:
+        """The place of a pair among those before any merge."""
+        i = int(np.searchsorted(self.first, key))
+        return i if i < len(self.first) and self.first[i] == key else None
+
+    def _now(self, key: int) -> int:
+        if key in self.counts:
+            return self.counts[key]
+        i = self._first(key)
+        return 0 if i is None else int(self.sums[i])
+
+    def _push(self, key: int, count: int) -> None:
+        for x in (key >> 32, key & 0xFFFFFFFF):
+            if x not in self.order:
+                self.order[x] = _descending((self.names[x], ""))[0]
+        heapq.heappush(self.heap, (-count, self.order[key >> 32], self.order[key & 0xFFFFFFFF], key))
+
+    def _count(self, at: np.ndarray, sign: int) -> None:
+        """Add the pairs that begin at ``at`` to the counts, or take them off."""
+        keys, sums, start, at = self._grouped(at)
+        for key, total, i, j in zip(keys.tolist(), sums.tolist(), start.tolist(), start[1:].tolist()):
+            count = self._now(key) + sign * total
             self.counts[key] = count
             if sign > 0:
-                self.places.setdefault(key, []).append(group)
+                self.places.setdefault(key, []).append(at[i:j])
             if count > 0:
-                heapq.heappush(self.heap, (-count, _descending(self._named(key)), key))
+                self._push(key, count)
+
+    def _feed(self, least: int) -> None:
+        """Put those first pairs into the heap that may be the most frequent now."""
+        while self.fed < len(self.falling):
+            i = self.falling[self.fed]
+            count = int(self.sums[i])
+            if count < least or self.heap and count < -self.heap[0][0]:
+                return
+            self.fed += 1
+            if int(self.first[i]) not in self.counts:
+                self._push(int(self.first[i]), count)
 
     def _named(self, key: int) -> tuple[str, str]:
         return self.names[key >> 32], self.names[key & 0xFFFFFFFF]
 
     def run(self, operations: int, least: int) -> list[tuple[str, str]]:
         out: list[tuple[str, str]] = []
-        while self.heap and len(out) < operations:
-            count, _, key = heapq.heappop(self.heap)
-            if self.counts.get(key, 0) != -count:
+        while len(out) < operations:
+            self._feed(least)
+            if not self.heap:
+                break
+            count, *_, key = heapq.heappop(self.heap)
+            if self._now(key) != -count:
                 continue
             if -count < least:
                 break
@@ -146,7 +187,10 @@ class Merger:
 
     def _merge(self, key: int) -> None:
         left, right = key >> 32, key & 0xFFFFFFFF
-        at = np.unique(np.concatenate(self.places.pop(key)))
+        places, i = self.places.pop(key, []), self._first(key)
+        if i is not None:
+            places.append(self.at[self.start[i] : self.start[i + 1]])
+        at = np.unique(np.concatenate(places))
         at = at[(self.symbol[at] == left) & (self.next[at] >= 0)]
         at = at[self.symbol[self.next[at]] == right]
         if left == right and len(at) > 1:  # of overlapping places the first, third, ..
@@ -167,7 +211,7 @@ class Merger:
         touched = np.unique(np.concatenate([self.before[at], at]))
         touched = touched[touched >= 0]
         self._count(touched[self.next[touched] >= 0], 1)
-        self.counts.pop(key, None)
+        self.counts[key] = 0
 
 
 class SpreadMerger:
@@ -175,11 +219,17 @@ class SpreadMerger:
 
     A guess of the merges is applied to all words there, and every merge's
     changes of pair counts come back, summed over all words.  The driver follows
-    them from the first pair counts on: as long as the guess is the most frequent
-    pair of these exact counts, the merge is settled; where it isn't, the right
-    one is known, and the next round goes on from it with a better guess.  So
-    each round settles one merge at least, and no guess decides a result.  The
-    first guess comes from words drawn by frequency.
+    them from the counts before the round on: as long as the guess is the most
+    frequent pair of these exact counts, the merge is settled; where it isn't, the
+    right one is settled, and the next round goes on after it with a better guess.
+    No guess decides a result.  The first guess comes from words drawn by
+    frequency.
+
+    There can be as many pairs as characters, so only those come that get highest
+    by their first count and all that the guess adds to it.  All others stay below
+    the last of these, and a pair at or above it is the most frequent of all.
+    Further down nothing is settled before the next round; after a round that
+    settled nothing it has no guess, and then its first pair is the right one.
 
     Symbols are numbers: a character's code point, with the end mark
     ``1 << 21`` above it, and merged ones from ``1 << 22`` on, by their text.
@@ -188,6 +238,8 @@ class SpreadMerger:
     BITS = 23  # of a symbol
     STEPS = 17  # bits of a merge's place
     ROUND = 2000  # merges whose changes come to the driver at once
+    PAIRS = 100_000  # pairs that come to the driver at once
+    ROWS = 300_000  # their counts and changes
 
     def __init__(self, rows: DataFrame, most_chars: int):
         ship(rows.sparkSession)
@@ -206,7 +258,7 @@ class SpreadMerger:
         return self.number[name]
 
     def _name(self, number: int) -> str:
-        return self.made[number - (1 << 22)] if number >> 22 else chr(number & 0x1FFFFF) + (END if number >> 21 else "")
+        return _symbol_name(number, self.made)
 
     def _key(self, pair: tuple[str, str]) -> int:
         return self._number(pair[0]) << self.BITS | self._number(pair[1])
@@ -232,25 +284,56 @@ class SpreadMerger:
         table = some.select("token", F.greatest("freq", F.lit(int(bound))).alias("freq")).toArrow()
         return Merger(table.column("token"), table.column("freq").to_numpy()).run(operations, least) if len(table) else []
 
-    def _changes(self, merges: list[int], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(step, pair, change) over all words; without a ``first``, step 0 has the counts before any merge; the merge at place ``first`` + i is step i + 1."""
+    def _changes(self, merges: list[int], first: int) -> tuple[list[tuple[list[int], list[int]]], tuple | None]:
+        """For each step (pairs, changes) over all words, and the last pair's entry if others are left out.
+
+        Step 0 has the counts before the merge at place ``first``; the merge at place ``first`` + i is step i + 1.
+        """
         pairs = np.array(merges, np.int64)
         made = np.array([self._number("".join(self._named(k))) for k in merges], np.int64)
-        bits, steps = self.BITS, self.STEPS
+        bits, steps, texts_made = self.BITS, self.STEPS, list(self.made)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[pa.RecordBatch]:
+                keys, sums = replay.result()
+                for i in range(0, len(keys), 50_000):
+                    k = keys[i : i + 50_000]
+                    yield pa.record_batch({"pair": pa.array(k & ((1 << 2 * bits) - 1)), "step": pa.array((k >> 2 * bits).astype(np.int32)), "n": pa.array(sums[i : i + 50_000])})
+
             replay = Replay(pairs, made, first, bits, steps)
             for b in batches:
                 replay.add(b.column("token"), b.column("freq"))
-            keys, sums = replay.result()
-            for i in range(0, len(keys), 50_000):
-                yield pa.record_batch({"key": pa.array(keys[i : i + 50_000]), "n": pa.array(sums[i : i + 50_000])})
+                if replay.full():
+                    yield from rows()
+            yield from rows()
 
-        table = self.rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        return key >> 2 * bits, key & ((1 << 2 * bits) - 1), n
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pair = b.column("pair").to_numpy()
+                texts = []
+                for part in (pair >> bits, pair & ((1 << bits) - 1)):
+                    known, where = np.unique(part, return_inverse=True)
+                    texts.append(pa.array([_symbol_name(x, texts_made) for x in known.tolist()], pa.string()).take(pa.array(where)))
+                yield pa.record_batch([*b.columns, *texts], names=[*b.schema.names, "left", "right"])
+
+        changed = self.rows.mapInArrow(run, "pair bigint, step int, n bigint").repartition("pair")
+        changed = changed.groupBy("pair", "step").agg(F.sum("n").alias("n")).where("n <> 0")
+        reach = changed.groupBy("pair").agg(F.sum(F.greatest("n", F.lit(0))).alias("reach"), F.collect_list(F.struct("step", "n")).alias("each"))
+        reach = settled(reach.mapInArrow(named, "pair bigint, reach bigint, each array<struct<step:int,n:bigint>>, left string, right string"))
+        order = F.desc("reach"), F.desc("left"), F.desc("right")
+        top = reach.select("reach", "left", "right", F.size("each").alias("rows")).orderBy(*order).limit(self.PAIRS + 1).toArrow()
+        fit = min(self.PAIRS, max(1, int(np.searchsorted(np.cumsum(top.column("rows").to_numpy()), self.ROWS, "right"))))
+        cut = None
+        if fit < len(top):
+            n, left, right = (top.column(c)[fit - 1].as_py() for c in ("reach", "left", "right"))
+            reach = reach.where((F.col("reach") > n) | (F.col("reach") == n) & ((F.col("left") > left) | (F.col("left") == left) & (F.col("right") >= right)))
+            cut = -n, *_descending((left, right))
+        table = reach.select("pair", F.explode("each").alias("x")).select("pair", "x.step", "x.n").toArrow()
+        step, pair, n = (table.column(c).to_numpy() for c in ("step", "pair", "n"))
+        by = np.argsort(step, kind="stable")
+        step, pair, n = step[by], pair[by], n[by]
+        cuts = np.searchsorted(step, np.arange(len(merges) - first + 2))
+        return [(pair[i:j].tolist(), n[i:j].tolist()) for i, j in zip(cuts, cuts[1:])], cut
 
     def run(self, operations: int, least: int) -> list[tuple[str, str]]:
         if operations > 100_000:
@@ -258,30 +341,31 @@ class SpreadMerger:
         spare = operations // 10 + 10  # guessed merges may come later than they should
         guess = [self._key(p) for p in self._first_guess(min(operations, self.ROUND) + spare, least)]
         done: list[int] = []
-        counts: dict[int, int] = {}
-        heap: list[tuple] = []
-        while True:
+        while len(done) < operations:
             self.rounds += 1
-            first = len(done)
+            first, at = len(done), 0
             guess = guess[: self.ROUND + spare]
-            step, pair, n = self._changes(done + guess, first)
-            cuts = np.searchsorted(step, np.arange(len(guess) + 2))
-            changes = [(pair[i:j].tolist(), n[i:j].tolist()) for i, j in zip(cuts, cuts[1:])]
-            if self.rounds == 1:
-                self._apply(counts, heap, changes[0])
+            changes, cut = self._changes(done + guess, first)
+            counts: dict[int, int] = {}
+            heap: list[tuple] = []
+            self._apply(counts, heap, changes[0])
+            later = dict(zip(guess, changes[1:]))
             while len(done) < operations:
                 best = self._best(counts, heap, least)
-                if best is None:
+                if best is None and (cut is None or -cut[0] < least):
                     return [self._named(k) for k in done]
-                at = len(done) - first
-                if at == len(guess) or guess[at] != best:
+                if best is None or cut is not None and heap[0][:3] > cut:
                     break
                 done.append(best)
-                self._apply(counts, heap, changes[at + 1])
-            if len(done) >= operations:
-                return [self._named(k) for k in done]
-            later = dict(zip(guess[len(done) - first :], changes[len(done) - first + 1 :]))
-            guess = self._guess(dict(counts), list(heap), later, min(operations - len(done), self.ROUND) + spare, least)
+                right = at < len(guess) and guess[at] == best
+                self._apply(counts, heap, changes[at + 1] if right else later.pop(best, ([], [])))
+                if not right:
+                    counts.pop(best, None)
+                    break
+                later.pop(best, None)
+                at += 1
+            guess = self._guess(counts, heap, later, min(operations - len(done), self.ROUND) + spare, least) if len(done) > first else []
+        return [self._named(k) for k in done]
 
     def _guess(self, counts: dict[int, int], heap: list[tuple], changes: dict[int, tuple[list[int], list[int]]], most: int, least: int) -> list[int]:
         """Further merges by the changes of the last round, as if they didn't depend on the order."""
@@ -315,9 +399,11 @@ class Replay:
 
     In each round every word that isn't done merges the places of the first
     merge that follows its last one; words are taken in pieces of bounded size.
+    Step 0 has the counts of pairs before the merge at place ``first``.
     """
 
     CHARS = 1_000_000
+    KEPT = 2_000_000  # sums that are kept apart; half as many are passed on
     NONE = np.int64(1 << 40)
 
     def __init__(self, pairs: np.ndarray, made: np.ndarray, first: int, bits: int, steps: int):
@@ -334,9 +420,14 @@ class Replay:
             self._work()
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sums since the last result."""
         self._work()
         self._sum_up()
-        return self.sums[0] if self.sums else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out, self.sums = self.sums, []
+        return out[0] if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def full(self) -> bool:
+        return len(self.sums) == 1 and len(self.sums[0][0]) > self.KEPT // 2
 
     def _sum_up(self) -> None:
         if len(self.sums) > 1:
@@ -362,22 +453,24 @@ class Replay:
             keys.append(step << 2 * self.bits | self._pairs(symbol, at))
             sums.append(sign * weight[at])
 
-        joined = np.flatnonzero(word[:-1] == word[1:])
-        if not self.first:
-            note(0, joined, 1)
-        while len(symbol) > 1 and len(self.places):
+        begun = np.zeros(len(tokens), bool)  # with its pairs in step 0
+        while len(symbol) > 1:
             rank = np.full(len(symbol), self.NONE)
             joined = np.flatnonzero(word[:-1] == word[1:])
             pair = self._pairs(symbol, joined)
-            at = np.minimum(np.searchsorted(self.places, pair << self.steps | (last[word[joined]] + 1)), len(self.places) - 1)
-            hit = self.places[at] >> self.steps == pair
-            # a pair may come again later on: its next place after the word's last merge
-            place = self.places[at[hit]] & ((1 << self.steps) - 1)
-            later = place > last[word[joined[hit]]]
-            rank[joined[hit][later]] = place[later]
+            if len(self.places):
+                at = np.minimum(np.searchsorted(self.places, pair << self.steps | (last[word[joined]] + 1)), len(self.places) - 1)
+                hit = self.places[at] >> self.steps == pair
+                # a pair may come again later on: its next place after the word's last merge
+                place = self.places[at[hit]] & ((1 << self.steps) - 1)
+                later = place > last[word[joined[hit]]]
+                rank[joined[hit][later]] = place[later]
             start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             size = np.diff(np.append(start, len(word)))
             least = np.repeat(np.minimum.reduceat(rank, start), size)
+            begins = (least >= self.first) & ~begun[word]
+            note(0, joined[begins[joined]], 1)
+            begun[word[begins]] = True
             still = least < self.NONE
             symbol, word, weight, rank, least = symbol[still], word[still], weight[still], rank[still], least[still]
             if not len(symbol):
@@ -404,7 +497,7 @@ class Replay:
             note(least[near] - self.first + 1, near, 1)
         if keys:
             self.sums.append(_summed(np.concatenate(keys), np.concatenate(sums)))
-        if sum(len(k) for k, _ in self.sums) > 2_000_000:
+        if sum(len(k) for k, _ in self.sums) > self.KEPT:
             self._sum_up()
 
 
@@ -418,6 +511,10 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(values, start)
 
 
+def _symbol_name(number: int, made: list[str]) -> str:
+    return made[number - (1 << 22)] if number >> 22 else chr(number & 0x1FFFFF) + (END if number >> 21 else "")
+
+
 def _descending(pair: tuple[str, str]) -> tuple[tuple[int, ...], ...]:
     return tuple(tuple(-ord(c) for c in s) + (1,) for s in pair)
 

@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,6 +150,56 @@ def test_merges_of_a_large_table_are_learned_where_it_lies(spark, monkeypatch, m
     assert max(taken) < 2 * most_chars + 50 < sum(map(len, words))
 
 
+@pytest.mark.parametrize("most,rows", [(1, 1), (7, 1000), (25, 20)])
+def test_the_driver_gets_a_bounded_number_of_pairs(spark, monkeypatch, most, rows):
+    """Of many characters there are far more pairs than merges; most are tied here."""
+    random.seed(most)
+    words = {"".join(random.choice("abcdefghijklmnopqrstuvwxyzäöüé") for _ in range(random.randint(1, 9))): random.choice([1, 1, 2]) for _ in range(300)}
+    words |= {"aaaa": 3, "aaaaa": 2, "abababa": 4}
+    taken = []
+    monkeypatch.setattr(vocabulary.SpreadMerger, "PAIRS", most, raising=False)
+    monkeypatch.setattr(vocabulary.SpreadMerger, "ROWS", rows, raising=False)
+    plain = vocabulary.SpreadMerger._apply
+    monkeypatch.setattr(vocabulary.SpreadMerger, "_apply", lambda self, counts, heap, change: (plain(self, counts, heap, change), taken.append(len(counts)))[0])
+    vocab = spark.createDataFrame(list(words.items()), "token string, freq long").repartition(3)
+    assert vocabulary.learn_merges(vocab, 12, most_chars=0) == naive_merges(words, 12)
+    assert 0 < max(taken) <= most
+
+
+def test_merges_of_many_characters_need_little_memory():
+    """Nearly every pair is another one; the driver must not hold objects for each."""
+    random.seed(5)
+    words = ["".join(chr(random.randint(0x4E00, 0x9EFF)) for _ in range(8)) for _ in range(20_000)]
+    table, freqs = pa.chunked_array([pa.array(words)]), np.array([random.randint(1, 9) for _ in words])
+    tracemalloc.start()
+    try:
+        assert len(vocabulary.Merger(table, freqs).run(20, 2)) == 20
+        assert tracemalloc.get_traced_memory()[1] < 300 * 8 * len(words)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kept", [4, 2_000_000])
+def test_counts_before_a_later_merge(monkeypatch, kept):
+    """Replay counts pairs as they are when the first merges are done, also in several results."""
+    monkeypatch.setattr(vocabulary.Replay, "KEPT", kept, raising=False)
+    monkeypatch.setattr(vocabulary.Replay, "CHARS", 0)
+    bits = vocabulary.SpreadMerger.BITS
+    key = lambda a, b: a << bits | b
+    a, b, end, ab = ord("a"), ord("b"), 1 << 21, 1 << 22
+    replay = vocabulary.Replay(np.array([key(a, b), key(ab, ab)]), np.array([ab, ab + 1]), 1, bits, vocabulary.SpreadMerger.STEPS)
+    total = {}
+    for token, freq in (("ababa", 2), ("ab", 5), ("bb", 7), ("a", 1)):
+        replay.add(pa.array([token]), pa.array([freq]))
+        for k, n in zip(*replay.result()) if replay.full() else ():
+            total[k] = total.get(k, 0) + n
+    for k, n in zip(*replay.result()):
+        total[k] = total.get(k, 0) + n
+    step = 1 << 2 * bits
+    want = {key(ab, ab): 2, key(ab, a + end): 2, key(a, b + end): 5, key(b, b + end): 7, step | key(ab, ab): -2, step | key(ab, a + end): -2, step | key(ab + 1, a + end): 2}
+    assert {k: n for k, n in total.items() if n} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcdé", min_size=1, max_size=12))
 def test_pieces_join_to_the_word(word):
